@@ -101,9 +101,11 @@ class Words:
         self.first = np.searchsorted(self.start, self.doc_start)  # first word of each text
         self.count = np.diff(np.append(self.first, len(self.start)))
 
-    def hashes(self) -> np.ndarray:
-        h = runs_hash(self.data.astype(np.uint64) + np.uint64(1), self.start, self.end, _BASE)
-        return mix(h ^ ((self.end - self.start).astype(np.uint64) << np.uint64(56)))
+    def hashes(self, prefix: int | None = None) -> np.ndarray:
+        """A hash of each word, or of its first bytes."""
+        end = self.end if prefix is None else np.minimum(self.end, self.start + prefix)
+        h = runs_hash(self.data.astype(np.uint64) + np.uint64(1), self.start, end, _BASE)
+        return mix(h ^ ((end - self.start).astype(np.uint64) << np.uint64(56)))
 
     def windows(self, size: int) -> np.ndarray:
         """Indices of the words that start a window of size words of one text."""

@@ -132,7 +132,11 @@ def license_scan(docs: DataFrame) -> DataFrame:
     # lower() folds more than A-Z, so it may only open the gate; what is matched is folded exactly
     gate = F.lower("raw").rlike(GATE)
     df = df.withColumn("norm", F.when(gate, F.translate("raw", upper, lower)))
-    base = F.concat(*[F.transform(_find(F.col("norm"), F.lit(p)), lambda x, label=label: F.struct(x["a"].alias("a"), F.lit(label).alias("label"))) for p, label in BASE_PHRASES])
+
+    def places(phrase: str, label: str) -> Column:
+        return F.transform(_find(F.col("norm"), F.lit(phrase)), lambda x: F.struct(x["a"].alias("a"), F.lit(label).alias("label")))
+
+    base = F.concat(*[places(*b) for b in BASE_PHRASES])
     has_base = F.col("norm").rlike("(?:mit|apache|general public) license ")
     df = df.withColumn("base", F.when(has_base, base))
     known = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(label).alias("label"), F.lit(k).alias("k"), F.lit(e).alias("e"), F.lit(s).alias("s")) for p, label, k, e, s in rules()])

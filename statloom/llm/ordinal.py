@@ -1,8 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on hashed text.
 
 P(grade > k) = sigmoid(w.x - t_k) with one weight vector for all thresholds and ordered
-thresholds t_0 < t_1 < ...  Features are hashed: presence of each lower-cased letter run,
-presence of each word shape, and the share of words of each shape in steps.
+thresholds t_0 < t_1 < ...  Features are hashed: presence of each lower-cased letter run
+and of its first PREFIX bytes, presence of each word shape, and the share of words of each shape in steps.
 
 Grades are fitted on a bounded, documented sample; every document is scored on its whole
 text.  Defined results: null and empty text have no features and get the thresholds' own
@@ -23,7 +23,9 @@ from .text_stats import labelled_sample
 
 #: Labelled documents used for fitting, at most.
 SAMPLE_ROWS = 8000
-LOG2_WEIGHTS = 18
+LOG2_WEIGHTS = 22
+#: Bytes of a letter run that count as its stem.
+PREFIX = 4
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -64,18 +66,16 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         echo[1:] = (plain[1:] == plain[:-1]) & (words.doc[1:] == words.doc[:-1])
     shape = np.where(echo, mix(np.full(1, 77, np.uint64))[0], shape)
     # the share of each shape, in steps of an eighth
-    key = np.stack([words.doc.astype(np.uint64), shape])
-    order = np.lexsort(key[::-1])
-    key = key[:, order]
-    edge = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0))) if key.shape[1] else np.zeros(0, np.int64)
-    count = np.diff(np.append(edge, key.shape[1]))
-    doc = key[0, edge].astype(np.int64)
-    kind = key[1, edge]
+    key, count = np.unique((words.doc.astype(np.uint64) << np.uint64(40)) | (shape >> np.uint64(24)), return_counts=True)
+    doc, kind = (key >> np.uint64(40)).astype(np.int64), key & np.uint64((1 << 40) - 1)
     step = (8 * count / np.maximum(words.count[doc], 1)).astype(np.uint64)
-    every_doc = np.concatenate([letters.doc, doc, doc])
-    every = np.concatenate([letters.hashes(), mix(kind ^ np.uint64(0x5EED)), mix(kind + mix(step + np.uint64(1)))]) >> np.uint64(64) - n_slots
-    packed = np.unique((every_doc.astype(np.uint64) << n_slots) | every)
-    return (packed >> n_slots).astype(np.int64), (packed & np.uint64((1 << LOG2_WEIGHTS) - 1)).astype(np.int64)
+    stem = letters.hashes(PREFIX)
+    every_doc = np.concatenate([letters.doc, letters.doc, doc, doc])
+    every = np.concatenate([letters.hashes(), mix(stem ^ np.uint64(0x57E3)), mix(kind ^ np.uint64(0x5EED)), mix(kind + mix(step + np.uint64(1)))]) >> np.uint64(64) - n_slots
+    kind_of = np.uint32 if len(texts) <= 1 << (32 - LOG2_WEIGHTS) else np.uint64
+    packed = np.sort((every_doc.astype(kind_of) << kind_of(n_slots)) | every.astype(kind_of))
+    packed = packed[np.append(True, packed[1:] != packed[:-1])] if len(packed) else packed
+    return (packed >> kind_of(n_slots)).astype(np.int64), (packed & kind_of((1 << LOG2_WEIGHTS) - 1)).astype(np.int64)
 
 
 @dataclass
@@ -94,18 +94,40 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_ordinal(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades: int, least: int = 4, ridge: float = 2e-4, rounds: int = 250, rate: float = 0.05) -> Ordinal:
-    """Maximum likelihood by full-batch Adam; slots in fewer than ``least`` sampled documents keep weight 0."""
+def informative(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades: int, least_g: float = 24.0) -> np.ndarray:
+    """Slots whose presence depends on the grade, by a G-test: invented and rare words are mostly noise."""
+    size = 1 << LOG2_WEIGHTS
+    total = np.bincount(slot, minlength=size).astype(float)
+    g = np.zeros(size)
+    for k in range(n_grades):
+        share = max((grade == k).mean(), 1e-9) if len(grade) else 1.0
+        own = np.bincount(slot[grade[doc] == k], minlength=size)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            g += np.where(own > 0, 2 * own * np.log(own / (total * share)), 0)
+    return g >= least_g
+
+
+def fit_ordinal(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades: int, least: int = 4, ridge: float = 5e-4, rounds: int = 250, rate: float = 0.05, screen: np.ndarray | None = None, lowering: bool = True) -> Ordinal:
+    """Maximum likelihood by full-batch Adam; slots in fewer than ``least`` sampled documents, or that tell nothing of the grade, keep weight 0.
+
+    With ``lowering`` weights are held at or below 0: text can only speak against a
+    document, so a short one is not rejected for want of evidence.
+    """
     size = 1 << LOG2_WEIGHTS
-    common = np.bincount(slot, minlength=size) >= least
-    doc, slot = doc[common[slot]], slot[common[slot]]
     n = max(len(grade), 1)
+    telling = informative(doc, slot, grade, n_grades) if screen is None else screen
+    common = (np.bincount(slot, minlength=size) >= least) & telling
+    doc, slot = doc[common[slot]], slot[common[slot]]
     share = np.array([((grade > k).sum() + 0.5) / (n + 1) for k in range(n_grades - 1)])
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(n_grades - 1) * 1e-3)
-    weights = np.zeros(size)
     if len(np.unique(grade)) < 2:
         only = int(grade[0]) if len(grade) else n_grades - 1
-        return Ordinal(weights, np.where(np.arange(n_grades - 1) < only, -40.0, 40.0))
+        return Ordinal(np.zeros(size, np.float32), np.where(np.arange(n_grades - 1) < only, -40.0, 40.0))
+    used, slot = np.unique(slot, return_inverse=True)
+    size, weights = len(used), np.zeros(len(used))
+    # rarer grades weigh more, by the square root of how much rarer they are
+    counts = np.bincount(grade, minlength=n_grades)
+    weight = np.sqrt(len(grade) / (n_grades * np.maximum(counts, 1)))
     free = np.concatenate([[start[0]], np.log(np.maximum(np.diff(start), 1e-2))])
     state = [np.zeros(size), np.zeros(size), np.zeros(len(free)), np.zeros(len(free))]
     for t in range(1, rounds + 1):
@@ -117,10 +139,10 @@ def fit_ordinal(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades:
         rows = np.arange(len(grade))
         p = np.maximum(full[rows, grade] - full[rows, grade + 1], 1e-9)
         up, down = slope[rows, grade] / p, slope[rows, grade + 1] / p  # d log p / d score is up - down
-        g_score = -(up - down) / n
+        g_score = -(up - down) * weight[grade] / n
         g_cut = np.zeros(n_grades - 1)
         for k in range(n_grades - 1):
-            g_cut[k] = (up[grade == k + 1].sum() - down[grade == k].sum()) / n
+            g_cut[k] = (weight[k + 1] * up[grade == k + 1].sum() - weight[k] * down[grade == k].sum()) / n
         g_w = np.bincount(slot, g_score[doc], size) + ridge * weights
         tail = np.cumsum(g_cut[::-1])[::-1]
         g_free = np.concatenate([[tail[0]], tail[1:] * np.exp(free[1:])])
@@ -128,8 +150,12 @@ def fit_ordinal(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades:
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        if lowering:
+            np.minimum(weights, 0, out=weights)
     cuts = np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
-    return Ordinal(weights, cuts)
+    every = np.zeros(1 << LOG2_WEIGHTS, np.float32)
+    every[used] = weights
+    return Ordinal(every, cuts)
 
 
 def fit_grades(docs: DataFrame, graded: DataFrame, n_grades: int, most: int = SAMPLE_ROWS) -> Ordinal:
