@@ -630,7 +630,7 @@ def brute_lines(rows, width=12):
             if re.search(r"[^ \t\r\x0B\f]", line):
                 places[line].append((big if i is None else i, t, pos))
                 w = [x for x in re.split(r"[ \t\r\x0B\f]+", line.strip(" "))]
-                sets[line] = {" ".join(w[a : a + 4])[:width] for a in range(len(w))}
+                sets[line] = {" ".join(w[a : a + 3])[:width] for a in range(len(w))}
     names = list(sets)
     up = list(range(len(names)))
 
