@@ -77,7 +77,7 @@ TEMPLATES: tuple[tuple[str, str, float], ...] = (
     (r"(?:is|are|be)? ?(?:dual )?licen[cs]ed (?:under|according to|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{})(?: licen[cs]e)?", "licen", 0.95),
     (r"(?:released|distributed|published|available|provided|redistributed|shared|offered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{})(?: licen[cs]e)?", "under", 0.9),
     (r"(?:covered|governed) by (?:the )?(?:{})(?: licen[cs]e)?", "ed by", 0.85),
-    (r"(?:see|read) (?:the )?(?:{})(?: licen[cs]e)? for (?:more )?(?:details|terms)", "for", 0.8),
+    (r"(?:see|read) (?:the )?(?:{}) licen[cs]e for (?:more )?(?:details|terms)", "licen", 0.8),
     (r"(?:{})(?: public)? licen[cs]e", "licen", 0.7),
 )
 #: Wording that grants or withholds rights without a name.
@@ -104,7 +104,7 @@ def rules() -> list[tuple[int, str, str, str, float]]:
 
 
 #: One of these stands in every text that a rule can match.
-GATE = r"licen[cs]e|spdx|copyright|under |for |ed by|all rights reserved|warranty|commercial|confidential|unauthorized|redistributions|advertising materials|permission (?:is hereby|to use)|altered source|free and unencumbered|related or neighboring|possible under law|invariant sections| file"
+GATE = r"licen[cs]e|spdx|copyright|(?:released|distributed|published|available|provided|redistributed|shared|offered) under|(?:covered|governed) by|all rights reserved|warranty|commercial|confidential|unauthorized|redistributions|advertising materials|permission (?:is hereby|to use)|altered source|free and unencumbered|related or neighboring|possible under law|invariant sections|neither the name of|(?:license|copying|notice) file"
 
 
 def _find(text: Column, expression: Column) -> Column:

@@ -52,34 +52,68 @@ def _of_words(tok, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]
     return ids, at
 
 
-def token_ids(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i+1]]."""
+#: Distinct words that a worker remembers between chunks; beyond that it starts anew.
+REMEMBERED = 1 << 20
+
+
+class _Memory:
+    """Ids of the words seen so far by this process."""
+
+    def __init__(self):
+        import pyarrow as pa
+
+        self.words = pa.array([], pa.string())
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def places(self, tok, words) -> np.ndarray:
+        """The place of each distinct word; new ones are tokenized and kept."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if len(self.words) > REMEMBERED:
+            self.__init__()
+        found = pc.index_in(words, value_set=self.words)
+        new = words.filter(pc.is_null(found))
+        if len(new):
+            ids, at = _of_words(tok, new.to_pylist(), "<|endoftext|>")
+            place = np.array(pc.fill_null(found, -1), np.int64)
+            place[place < 0] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
+            self.ids = np.concatenate([self.ids, ids])
+            return place
+        return np.array(found, np.int64)
+
+
+_MEMORY: dict[str, _Memory] = {}
+
+
+def _coded(path: str, texts: list[bytes]):
+    """(memory, place of each word, first word of each text and the end)."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    tok = load(path)
+    tok, memory = load(path), _MEMORY.setdefault(path, _Memory())
     split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
     first = split.offsets.to_numpy()
     coded = split.flatten().dictionary_encode()
-    ids, at = _of_words(tok, coded.dictionary.to_pylist(), "<|endoftext|>")
-    word = coded.indices.to_numpy()
-    size = np.diff(at)[word]
+    place = memory.places(tok, coded.dictionary)
+    return memory, place[coded.indices.to_numpy()], first - first[0]
+
+
+def token_ids(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i+1]]."""
+    memory, word, first = _coded(path, texts)
+    size = np.diff(memory.at)[word]
     stop = np.concatenate([[0], np.cumsum(size)])
-    where = np.arange(stop[-1]) + np.repeat(at[:-1][word] - stop[:-1], size)
-    return ids[where], stop[first - first[0]]
+    where = np.arange(stop[-1]) + np.repeat(memory.at[word] - stop[:-1], size)
+    return memory.ids[where], stop[first]
 
 
 def token_counts(path: str, texts: list[bytes]) -> np.ndarray:
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    tok = load(path)
-    split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).cast(pa.string()))
-    first = split.offsets.to_numpy()
-    coded = split.flatten().dictionary_encode()
-    _, at = _of_words(tok, coded.dictionary.to_pylist(), "<|endoftext|>")
-    stop = np.concatenate([[0], np.cumsum(np.diff(at)[coded.indices.to_numpy()])])
-    return np.diff(stop[first - first[0]])
+    memory, word, first = _coded(path, texts)
+    stop = np.concatenate([[0], np.cumsum(np.diff(memory.at)[word])])
+    return np.diff(stop[first])
 
 
 def gathered(batches, text: str, columns: list[str], limit: int = 12 << 20):
