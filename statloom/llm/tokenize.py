@@ -31,25 +31,18 @@ def default_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _of_words(tok, words: list[str], mark: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, offsets) of words; words are parted by a special token in long strings."""
-    mark_id = tok.token_to_id(mark)
-    specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-    odd = {i for i, w in enumerate(words) if "<|" in w and any(s in w for s in specials)}
-    asked = ["" if i in odd else w for i, w in enumerate(words)]
-    calls = [mark.join(asked[i : i + CALL_WORDS]) for i in range(0, len(asked), CALL_WORDS)]
+def _of_words(tok, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of words; they are joined to long strings, and each id belongs to the word in which it starts."""
     flat, size = [], []
-    for e in tok.encode_batch_fast(calls, add_special_tokens=False):
-        ids = np.array(e.ids, np.uint32)
-        marks = np.flatnonzero(ids == mark_id)
-        size.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
-        flat.append(np.delete(ids, marks))
+    for i in range(0, len(words), CALL_WORDS):
+        some = words[i : i + CALL_WORDS]
+        length = np.fromiter(map(len, some), np.int64, len(some)) + 1
+        e = tok.encode(" ".join(some), add_special_tokens=False)
+        begin = np.fromiter((o[0] for o in e.offsets), np.int64, len(e.ids))
+        flat.append(np.array(e.ids, np.uint32))
+        size.append(np.bincount(np.searchsorted(np.cumsum(length), begin, side="right"), minlength=len(some)))
     ids = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    at = np.concatenate([[0], np.cumsum(np.concatenate(size))]) if size else np.zeros(1, np.int64)
-    if odd:
-        parts = [np.array(tok.encode(w, add_special_tokens=False).ids, np.uint32) if i in odd else ids[at[i] : at[i + 1]] for i, w in enumerate(words)]
-        ids, at = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-    return ids, at
+    return ids, np.concatenate([[0], np.cumsum(np.concatenate(size))]) if size else np.zeros(1, np.int64)
 
 
 #: Distinct words that a worker remembers between chunks; beyond that it starts anew.
@@ -75,7 +68,7 @@ class _Memory:
         found = pc.index_in(words, value_set=self.words)
         new = words.filter(pc.is_null(found))
         if len(new):
-            ids, at = _of_words(tok, new.to_pylist(), "<|endoftext|>")
+            ids, at = _of_words(tok, new.to_pylist())
             place = np.array(pc.fill_null(found, -1), np.int64)
             place[place < 0] = len(self.words) + np.arange(len(new))
             self.words = pa.concat_arrays([self.words, new])
