@@ -323,6 +323,6 @@ def _bitmap(family: DataFrame) -> np.ndarray:
 
     merged = family.select("doc_id").mapInArrow(fill, "at int, bits binary").groupBy("at").applyInPandas(merge, "at int, bits binary")
     out = np.zeros((1 << _BITMAP_LOG2) // 8, np.uint8)
-    for r in merged.toLocalIterator():
+    for r in merged.collect():  # 2 MB at most, whatever the corpus; one job, not one for each partition
         out[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return out
