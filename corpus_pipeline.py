@@ -38,11 +38,12 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, to the nearest whole number."""
+    """Each document as often as the mix takes it, to the nearest whole number.  Rows that share an id, or have none, are taken as often as the most taken of them."""
     mixed = mixing.mix_sources(docs)
     times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
     chosen = mixed.select("doc_id", times.alias("times")).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    return docs.join(chosen, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
+    chosen = chosen.withColumnRenamed("doc_id", "_id")
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["_id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
