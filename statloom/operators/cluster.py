@@ -1,7 +1,8 @@
 """k-means with an automatic number of clusters.
 
-Exact mode trains on a systematic sample of at most TRAIN_ROWS rows (a documented bound),
-taken by an explicit order, and assigns every row by a Spark expression over the centroids.
+Training takes at most about TRAIN_ROWS rows (a documented bound): of rows that are equal, their
+share, rounded up or down by a hash of the values.  Every row is assigned by a Spark expression
+over the centroids.
 """
 
 from __future__ import annotations
@@ -44,9 +45,13 @@ def _training(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarra
     scale = np.array([stats[f"s{i}"] if stats[f"s{i}"] > 1e-12 else 1.0 for i in range(len(features))])
     keys = [f"_{i}" for i in range(len(features))]
     if n > TRAIN_ROWS:
-        step = -(-n // TRAIN_ROWS)
-        v = v.where(F.pmod(F.xxhash64(*keys), F.lit(step)) == 0).limit(TRAIN_ROWS)
-    rows = np.array([tuple(r) for r in v.collect()], float).reshape(-1, len(features))
+        step = n / (0.95 * TRAIN_ROWS)  # rounding moves the sum by far less than the twentieth left
+        part = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        taken = v.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, F.floor(F.col("_n") / F.lit(step) + part).cast("int").alias("_n")).where("_n > 0")
+        got = np.array([tuple(r) for r in taken.collect()], float).reshape(-1, len(features) + 1)
+        rows = np.repeat(got[:, :-1], got[:, -1].astype(int), axis=0)
+    else:
+        rows = np.array([tuple(r) for r in v.collect()], float).reshape(-1, len(features))
     rows = rows[np.lexsort(rows.T[::-1])]
     return (rows - mean) / scale, mean, scale, n
 
