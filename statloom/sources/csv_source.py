@@ -1,6 +1,7 @@
 """Delimited text: encoding and delimiter are found, types are inferred from a sample.
 
-The text is parsed by Spark, split over tasks; only the head is looked at on the driver.
+The text is parsed by Spark, split over tasks unless it has quotes; only the head is looked at
+on the driver, and encoding and quotes are sought in the whole file.
 """
 
 from __future__ import annotations
@@ -45,7 +46,11 @@ class CsvConnector(Connector):
     def raw(self, spark: SparkSession, path: str, options: ImportOptions) -> tuple[DataFrame, list[str]]:
         """(all data records as text, short ones padded with null; names)."""
         head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("c")).first()["c"]
-        encoding = sniff_encoding(bytes(head))
+        encoding, quoted = sniff_encoding(bytes(head)), b'"' in bytes(head)
+        if len(head) >= HEAD:  # the rest of the file, by its raw lines: both encodings have line ends and quotes in bytes of their own
+            raw = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(F.col("value").contains('"')).alias("quoted")).first()
+            encoding = "UTF-8" if raw["utf8"] else "Shift_JIS"
+            quoted = quoted or bool(raw["quoted"])
         text = bytes(head).decode(encoding, "replace").removeprefix("﻿")
         delimiter = sniff_delimiter(path, text.split("\n", 1)[0], options.delimiter)
         if encoding != "UTF-8":
@@ -58,7 +63,7 @@ class CsvConnector(Connector):
         if len(head) >= HEAD:
             width = max(width, lines.agg(F.max("n")).first()[0] or 1)
         schema = ", ".join(f"_c{i} string" for i in range(width))
-        df = spark.read.schema(schema).csv(path, sep=delimiter, header=False, quote='"', escape='"', encoding=encoding, multiLine='"' in text, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, enforceSchema=True)
+        df = spark.read.schema(schema).csv(path, sep=delimiter, header=False, quote='"', escape='"', encoding=encoding, multiLine=quoted, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, enforceSchema=True)
         header = whole[options.header_row - 1] if 0 < options.header_row <= len(whole) else []
         names = unique_names([header[i] if i < len(header) else None for i in range(width)])
         if before:
