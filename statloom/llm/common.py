@@ -12,11 +12,10 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 CHUNK_BYTES = 4 << 20
-#: Rows of an Arrow batch; texts may be long, so batches are kept short.
-ARROW_ROWS = 512
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -25,15 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Long texts make default Arrow batches too large for a bounded worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is named."""
+    """The shared folder of the cluster.  None is named in a local session only, which then gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="statloom-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -46,6 +42,32 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that scratch() wrote and nothing reads any more."""
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    jvm = df.sparkSession._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+#: A key that holds more than one row in so many is joined apart; there are fewer such keys than this.
+HOT_SHARE = 1000
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: list[str], total: int) -> DataFrame:
+    """rows joined (inner) to the one row of keyed for their key, where keyed.n counts the key's rows among total.
+
+    Keys with more than total / HOT_SHARE rows are fewer than HOT_SHARE, so their side is broadcast
+    and their rows stay where they are; all others are shuffled.  keyed is read three times.
+    """
+    hot = F.col("n") * HOT_SHARE > total
+    often = F.broadcast(keyed.where(hot))
+    apart = rows.join(often.drop("n"), key)
+    rest = rows.join(often.select(*key), key, "left_anti").join(keyed.where(~hot).drop("n"), key)
+    return apart.unionByName(rest)
+
+
 # --- vectorised words -------------------------------------------------------
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -122,16 +144,43 @@ def window_hash(hashes: np.ndarray, at: np.ndarray, size: int, salt: int) -> np.
 
 
 def chunks(batches, text: str, limit: int = CHUNK_BYTES):
-    """(Arrow table slice, texts as bytes) with about limit bytes of text each; nulls become b''."""
+    """(Arrow batch slice, texts as bytes) with about limit bytes of text each; nulls become b''.
+
+    Spark bounds a batch by bytes; only the slice at hand is turned into Python objects.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        column = batch.column(text).cast(pa.binary())
+        total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start, n = 0, len(total)
+        while start < n:
+            before = total[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(total, before + limit, side="right")))
+            yield batch.slice(start, stop - start), [t or b"" for t in column.slice(start, stop - start).to_pylist()]
+            start = stop
+
+
+def grouped_runs(batches, keys: tuple[str, ...]):
+    """(key, table) for each run of equal keys of sorted Arrow batches; a run may go over several batches."""
     import pyarrow as pa
 
+    held, key = [], None
     for batch in batches:
-        texts = [t or b"" for t in batch.column(text).cast(pa.binary()).to_pylist()]
-        start = held = 0
-        for i, t in enumerate(texts):
-            if held and held + len(t) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += len(t)
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy() for k in keys]
+        change = np.zeros(batch.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        edges = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            now = tuple(int(c[a]) for c in columns)
+            if held and now != key:
+                yield key, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            key = now
+    if held:
+        yield key, pa.Table.from_batches(held)

@@ -5,23 +5,24 @@ equal sets form a class; only class representatives are compared.
 
 The tree's upper levels are spread over the cluster, its lower levels live in tasks:
 
-* level 1, size ranges: sets that can reach the threshold differ in size by a bounded
-  factor, so a set is routed to its own size band and, near the lower edge, to the band
-  below;
-* level 2, slices of the token space: a band fixes how many tokens two linked sets can
-  differ by (d).  The space is cut into more slices than d, so linked sets agree wholly on
-  a slice; sets that agree on none cannot reach the overlap.  Equal slices are routed
-  together, and sets that slices connect form a family;
+* candidates: tokens have one order for all sets, rare ones first, by a merged count sketch of
+  the whole corpus (any order gives the same result; this one keeps passages that many documents
+  share out of the way).  Linked sets share a token among their first ones: of the smaller set
+  those that it can lack and still reach ``2t / (1 + t)`` of itself, of the larger those that
+  it can lack and still reach ``t`` of itself.  Sets that such tokens connect form a family;
+  sets of different families never link;
 * lower levels: within a family, nodes hold OR-combined token bitmaps and size ranges.  A
   dual traversal drops node pairs whose largest possible overlap is too small; surviving
   leaf pairs are verified exactly.
 
-Families larger than ``block`` are dealt in pairs of blocks, so no task holds an unbounded
-group.  Only a spanning set of verified links leaves a task.
+Families larger than ``block`` are dealt in blocks, so no task holds an unbounded group: each
+block is joined with itself, then one set of each block's main part with those of others.
+What is then in the family's main part needs no more comparing with itself; only sets outside of it
+are sent to all blocks.  Only a spanning set of verified links leaves a task.
 
 Defined results: null text, empty text and text without words give an empty set, linked
 with nothing; a text with fewer than n words has one shingle, the whole sequence; null ids
-take no part in links; rows that share an id are one node of the graph.
+take no part in links; rows that share an id are one node of the graph; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,16 +31,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, scratch, small_batches, window_hash
+from .common import Words, chunks, grouped_runs, mix, scratch, spread_join, window_hash
 from .union_find import components
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-#: Slices beyond the largest difference: so many empty slices a set may have.
-SLACK = 4
 #: Bits of a node's bitmap at most.
 MAP_BITS = 1 << 16
 FANOUT = 8
+#: Cells of the count sketch that orders tokens: 16 MB are broadcast, whatever the corpus.
+LOG2_CELLS = 24
+#: Cells of a part of the sketch that travels and is merged as one row.
+LOG2_PART = 16
+#: Fragments of one part that a task merges in the first step, about: partitions are dealt by this modulus.
+FAN_IN = 256
+#: Tokens of a block at most, about.
+BLOCK_TOKENS = 4_000_000
 
 
 def shingle_sets(texts: list[bytes], n: int):
@@ -59,55 +66,26 @@ def shingle_sets(texts: list[bytes], n: int):
     return token, np.searchsorted(doc, np.arange(len(texts) + 1))
 
 
-def bands(size: int, num: int, den: int) -> list[int]:
-    """Size bands (lower edges 1, then growing by half) in which a set of this size must stand: its own, and the one below if a smaller partner may be there."""
-    own = band_of(size)
-    low = band_edge(own)
-    return [own] if own == 0 or -(-num * size // den) >= low else [own, own - 1]
-
-
-def band_edge(band: int) -> int:
-    edge = 1
-    for _ in range(band):
-        edge = max(edge + 1, edge * 3 // 2)
-    return edge
-
-
-def band_of(size: int) -> int:
-    band, edge = 0, 1
-    while True:
-        edge = max(edge + 1, edge * 3 // 2)
-        if size < edge:
-            return band
-        band += 1
-
-
-def largest_difference(band: int, num: int, den: int) -> int:
-    """Most tokens by which linked sets can differ if the smaller is in the band."""
-    small = band_edge(band + 1) - 1
-    # overlap >= t (a + b) / (1 + t), so difference <= (1 - t) (a + b) / (1 + t), with b <= a / t
-    most = 0
-    for b in (small * den // num, small):
-        most = max(most, (den - num) * (small + b) // (den + num))
-    return most
-
-
-def _routes(tokens: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys of the slices of one set."""
-    out = []
-    for band in bands(len(tokens), num, den):
-        m = largest_difference(band, num, den) + 1 + SLACK
-        part = (mix(tokens ^ np.uint64(band + 1)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part = part[order]
-        edge = np.flatnonzero(np.diff(part, prepend=-1))
-        total = np.add.reduceat(mix(tokens[order] ^ np.uint64(0x51A9)), edge)
-        key = mix(total ^ mix(part[edge].astype(np.uint64) + np.uint64(band << 32)))
-        if m - len(edge) > SLACK:  # so many empty slices that these may be all that linked sets agree on
-            empty = np.setdiff1d(np.arange(m), part[edge]).astype(np.uint64)
-            key = np.concatenate([key, mix(mix(empty + np.uint64(band << 32)) ^ np.uint64(0xE3779B97))])
-        out.append(key)
-    return np.concatenate(out)
+def prefix_lengths(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many first tokens a set needs as the smaller one of a linked pair, and as either one."""
+    smaller = size - -(-2 * num * size // (num + den)) + 1
+    either = size - -(-num * size // den) + 1
+    return np.minimum(smaller, size), np.minimum(either, size)
+
+
+def _cell(tokens: np.ndarray) -> np.ndarray:
+    return (mix(tokens ^ np.uint64(0x7F4A7C159E3779B9)) >> np.uint64(64 - LOG2_CELLS)).astype(np.int64)
+
+
+def prefixes(tokens: np.ndarray, at: np.ndarray, num: int, den: int, rank: np.ndarray):
+    """(tokens, whether needed as the smaller set's, offsets): the first tokens of each set, in the order of their cells' rank, then of their hash."""
+    size = np.diff(at)
+    doc = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((mix(tokens), rank[_cell(tokens)], doc))
+    place = np.arange(len(tokens)) - np.repeat(at[:-1], size)
+    smaller, either = prefix_lengths(size, num, den)
+    keep = place < np.repeat(either, size)
+    return tokens[order][keep], (place < np.repeat(smaller, size))[keep], np.concatenate([[0], np.cumsum(either)])
 
 
 class _Sets:
@@ -158,8 +136,8 @@ def signature_tree(tokens: list[np.ndarray], bits: int | None = None):
     return levels, order, exact
 
 
-def tree_links(tokens: list[np.ndarray], num: int, den: int, bits: int | None = None) -> list[tuple[int, int]]:
-    """A spanning set of the links between the sets, by dual traversal of their signature tree with itself."""
+def tree_links(tokens: list[np.ndarray], num: int, den: int, bits: int | None = None, parts: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning set of the links between the sets, by dual traversal of their signature tree with itself.  Sets of one part count as linked already."""
     if len(tokens) < 2:
         return []
     levels, order, exact = signature_tree(tokens, bits)
@@ -175,6 +153,8 @@ def tree_links(tokens: list[np.ndarray], num: int, den: int, bits: int | None =
         maps, lo, hi, extra = levels[depth]
         if depth == 0:
             ok = a < b
+            if parts is not None:
+                ok &= parts[order[a]] != parts[order[b]]
             a, b = a[ok], b[ok]
         keep = np.zeros(len(a), bool)
         step = max(1, (1 << 22) // maps.shape[1])
@@ -187,6 +167,10 @@ def tree_links(tokens: list[np.ndarray], num: int, den: int, bits: int | None =
             keep[s : s + step] &= (den * hi[x] >= num * lo[y]) & (den * hi[y] >= num * lo[x])
         a, b = a[keep], b[keep]
     sets, links = _Sets(len(tokens)), []
+    if parts is not None:
+        _, first, inverse = np.unique(parts, return_index=True, return_inverse=True)
+        for i, f in enumerate(first[inverse].tolist()):
+            sets.join(i, f)
     for i, j in zip(order[a].tolist(), order[b].tolist()):
         if sets.find(i) == sets.find(j):
             continue
@@ -199,15 +183,15 @@ def tree_links(tokens: list[np.ndarray], num: int, den: int, bits: int | None =
     return links
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10, block: int = 512) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs; sets link when den * overlap >= num * union."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def _describe(n: int):
+    """For each row its id, set size and 128-bit set digest; then the partition's count sketch in parts."""
 
     def describe(batches):
         import pyarrow as pa
+        from pyspark import TaskContext
 
+        names = ["doc_id", "n_shingles", "d1", "d2", "part", "bucket", "cells"]
+        count = np.zeros(1 << LOG2_CELLS, np.uint8)
         for batch, texts in chunks(batches, "text"):
             tokens, at = shingle_sets(texts, n)
             size = np.diff(at)
@@ -216,113 +200,190 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for i, salt in enumerate((3, 5)):
                 if len(full):
                     digest[i, full] = mix(np.add.reduceat(mix(tokens ^ np.uint64(salt)), at[full]) ^ size[full].astype(np.uint64))
-            routes = [_routes(tokens[a:b], num, den).view(np.int64) if b > a else np.zeros(0, np.int64) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            ends = np.cumsum([0] + [len(r) for r in routes]).astype(np.int32)
+            cell, times = np.unique(_cell(tokens), return_counts=True)
+            count[cell] = np.minimum(count[cell] + times, 255)
+            none = pa.nulls(len(texts))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(routes) if routes else np.zeros(0, np.int64)))],
-                names=["doc_id", "n_shingles", "d1", "d2", "routes"],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=names
             )
+        parts = count.reshape(-1, 1 << LOG2_PART)
+        for i in np.flatnonzero(parts.any(axis=1)).tolist():
+            one = pa.nulls(1)
+            bucket = TaskContext.get().partitionId() % FAN_IN
+            yield pa.RecordBatch.from_arrays([*[one.cast(pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([bucket], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], names=names)
 
-    shape = "doc_id long, n_shingles long, d1 long, d2 long"
-    described = docs.mapInArrow(describe, shape + ", routes array<long>")
-    # the routes of a class are those of any member; the class's name is its least id
-    routed = described.where("doc_id is not null and n_shingles > 0").select(F.explode("routes").alias("route"), "d1", "d2", "doc_id")
-    routed = routed.groupBy("route", "d1", "d2").agg(F.min("doc_id").alias("doc_id"))
-    pairs = scratch(_families(routed), "links")
-    family = components(pairs).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    family = scratch(family, "families")
-    sized = family.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("n_blocks"))
-    dealt = family.join(sized, "family").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("n_blocks")).cast("int"))
+    return describe
 
-    wanted = spark.sparkContext.broadcast(_bitmap(family))
 
-    def tokens_of(batches):
-        import pyarrow as pa
+def _ranks(fragments: DataFrame) -> np.ndarray:
+    """For each cell eight times the binary logarithm of its count, 255 at most: the partitions' sketches, merged in two steps."""
 
-        for batch, texts in chunks(batches, "text"):
-            ids = batch.column("doc_id")
-            keys = np.array(ids.fill_null(0)).view(np.uint64)
-            bit = (mix(keys) >> np.uint64(64 - _BITMAP_LOG2)).astype(np.int64)
-            hit = np.flatnonzero((wanted.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
-            if len(hit):
-                tokens, at = shingle_sets([texts[i] for i in hit], n)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), pa.array([tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "tokens"])
+    def merge(rows, width):
+        total = np.zeros(1 << LOG2_PART, np.uint32)
+        for r in rows:
+            total += np.minimum(np.frombuffer(r, width), (1 << 32) - 1 - total).astype(np.uint32)
+        return total
+
+    def first(key, pdf):
+        import pandas as pd
 
-    tokens = docs.where("doc_id is not null").mapInArrow(tokens_of, "doc_id long, tokens binary")
-    placed = dealt.join(tokens, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    placed = placed.select("family", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "doc_id", "tokens")
+        return pd.DataFrame({"part": [key[0]], "cells": [merge(pdf["cells"], np.uint8).tobytes()]})
 
-    def join(pdf):
+    def last(key, pdf):
         import pandas as pd
 
-        pdf = pdf.drop_duplicates(["doc_id", "tokens"])
-        ids = pdf["doc_id"].tolist()
-        links = tree_links([np.frombuffer(t, np.uint64) for t in pdf["tokens"]], num, den)
-        return pd.DataFrame({"u": [ids[i] for i, _ in links], "v": [ids[j] for _, j in links]}, dtype="int64")
+        total = merge(pdf["cells"], np.uint32)
+        return pd.DataFrame({"part": [key[0]], "cells": [np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8).tobytes()]})
 
-    links = placed.groupBy("family", "i", "j").applyInPandas(join, "u long, v long")
-    linked = components(links).select(F.col("node").alias("least"), "component")
+    shape = "part int, cells binary"
+    merged = fragments.groupBy("part", "bucket").applyInPandas(first, shape).groupBy("part").applyInPandas(last, shape)
+    out = np.zeros((1 << (LOG2_CELLS - LOG2_PART), 1 << LOG2_PART), np.uint8)
+    for r in merged.collect():  # 2**LOG2_CELLS bytes at most, whatever the corpus
+        out[r["part"]] = np.frombuffer(r["cells"], np.uint8)
+    return out.ravel()
 
-    described = docs.mapInArrow(_plain(n), shape)
-    classes = described.where("doc_id is not null and n_shingles > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
-    classes = classes.join(linked, "least", "left").select("d1", "d2", F.coalesce("component", "least").alias("found"))
-    empty = F.col("n_shingles") == 0
-    return (
-        described.join(classes, ["d1", "d2"], "left")
-        .select("doc_id", "n_shingles", F.when(empty | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("found")).alias("component_id"))
-    )
 
+def _verified(dealt: DataFrame, keys: tuple[str, ...], num: int, den: int) -> DataFrame:
+    """Links (u, v) within each group of dealt (keys, part, doc_id, tokens); groups are bounded by how they are dealt."""
 
-def _plain(n: int):
-    """Like describe, without routes."""
+    def verify(batches):
+        import pyarrow as pa
 
-    def describe(batches):
+        for _, group in grouped_runs(batches, keys):
+            ids, parts = group.column("doc_id").to_numpy(), group.column("part").to_numpy()
+            sets = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
+            links = np.array(tree_links(sets, num, den, parts=parts), np.int64).reshape(-1, 2)
+            if len(links):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], names=["u", "v"])
+
+    # two sets are one part only if they are known to be linked; rows that share an id are
+    sorted_ = dealt.select(*keys, "part", "doc_id", "tokens").repartition(*keys).sortWithinPartitions(*keys)
+    return scratch(sorted_.mapInArrow(verify, "u long, v long"), "links")
+
+
+def _dealt(rows: DataFrame, key: str, name: str, block: int) -> DataFrame:
+    """rows with name (the block of the row) and name_n (how many blocks its group has)."""
+    sized = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.length("tokens")) / (8 * BLOCK_TOKENS))).cast("int").alias(f"{name}_n"))
+    return rows.join(sized, key).withColumn(name, F.pmod(F.xxhash64("doc_id"), F.col(f"{name}_n")).cast("int"))
+
+
+def _parts(rows: DataFrame, links: DataFrame) -> DataFrame:
+    found = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("_c"))
+    return rows.drop("part").join(found, "doc_id", "left").withColumn("part", F.coalesce("_c", "doc_id")).drop("_c")
+
+
+def family_links(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
+    """Links that span those within each family; rows: family, doc_id, tokens."""
+    dealt = scratch(_dealt(rows, "family", "mine", block).withColumn("part", F.col("doc_id")), "dealt")
+    links = _verified(dealt, ("family", "mine"), num, den)
+    large = dealt.where("mine_n > 1")
+    if large.isEmpty():
+        return links
+    # one set of the main part of each block
+    named = scratch(_parts(large, links), "parts")
+    main = named.groupBy("family", "mine", "part").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    main = main.groupBy("family", "mine").agg(F.max_by("doc_id", F.struct("n", "doc_id")).alias("doc_id"))
+    some = named.join(main, ["family", "mine", "doc_id"]).withColumn("mine", F.floor(F.col("mine") / block).cast("int"))
+    links = links.unionByName(_verified(some, ("family", "mine"), num, den))
+    # what is still outside of the family's main part meets every block
+    named = scratch(_parts(large, links), "parts")
+    main = named.groupBy("family", "part").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    named = named.join(main, "family")
+    out = _dealt(named.where("part <> main").select("family", "doc_id", "tokens", "part", "mine_n"), "family", "i", block)
+    out = scratch(out, "outside")
+    n_out = out.select("family", "i_n").distinct()
+    shape = ("family", "i", "j", "part", "doc_id", "tokens")
+    inside = named.where("part = main").join(n_out, "family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)))
+    sent = out.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("mine_n") - 1)))
+    both = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1))).withColumn("j", -1 - F.greatest("i", "k")).withColumn("i", F.least("i", "k"))
+    met = inside.withColumn("j", F.col("mine")).select(*shape).unionByName(sent.select(*shape)).unionByName(both.select(*shape))
+    return links.unionByName(_verified(met, ("family", "i", "j"), num, den))
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10, block: int = 512) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs; sets link when den * overlap >= num * union."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    read = scratch(docs.mapInArrow(_describe(n), "doc_id long, n_shingles long, d1 long, d2 long, part int, bucket int, cells binary"), "described")
+    described = read.where("part is null").select("doc_id", "n_shingles", "d1", "d2")
+    rank = spark.sparkContext.broadcast(_ranks(read.where("part is not null").select("part", "bucket", "cells")))
+
+    named = described.where("doc_id is not null and n_shingles > 0")
+    classes = scratch(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+
+    def first_tokens(batches):
         import pyarrow as pa
 
         for batch, texts in chunks(batches, "text"):
-            tokens, at = shingle_sets(texts, n)
-            size = np.diff(at)
-            digest = np.zeros((2, len(texts)), np.uint64)
-            full = np.flatnonzero(size)
-            for i, salt in enumerate((3, 5)):
-                if len(full):
-                    digest[i, full] = mix(np.add.reduceat(mix(tokens ^ np.uint64(salt)), at[full]) ^ size[full].astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64))], names=["doc_id", "n_shingles", "d1", "d2"])
+            tokens, small, at = prefixes(*shingle_sets(texts, n), num, den, rank.value)
+            # the lowest bit says whether the token counts for the smaller set; what remains of the hash is enough for candidates
+            held = (tokens & ~np.uint64(1) | small).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(held))], names=["doc_id", "tokens"])
+
+    reps = classes.select(F.col("least").alias("doc_id")).distinct()
+    first = docs.where("doc_id is not null").mapInArrow(first_tokens, "doc_id long, tokens array<long>").join(reps, "doc_id", "left_semi")
+    first = scratch(first, "first")
+    posted = first.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.shiftright("t", 1).alias("token"), F.col("t").bitwiseAND(1).alias("small"))
+    hubs = posted.groupBy("token").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w"), F.max("small").alias("small"), F.count("*").alias("n")).where("v < w and small = 1").select("token", "v", "n")
+    hubs = scratch(hubs, "hubs")
+    total = hubs.agg(F.sum("n")).first()[0] or 0
+    stars = spread_join(posted.select("token", "doc_id"), hubs, ["token"], total).where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
+    family = scratch(components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
 
-    return describe
+    wanted = spark.sparkContext.broadcast(_bitmap(family))
+
+    def tokens_of(batches):
+        import pyarrow as pa
+
+        for batch, texts in chunks(batches, "text"):
+            ids = batch.column("doc_id")
+            bit = _bit(np.array(ids), len(wanted.value))
+            hit = np.flatnonzero((wanted.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
+            if len(hit):
+                tokens, at = shingle_sets([texts[i] for i in hit], n)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), pa.array([tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "tokens"])
 
+    tokens = docs.where("doc_id is not null").mapInArrow(tokens_of, "doc_id long, tokens binary").where("length(tokens) > 0")
+    links = family_links(tokens.join(family, "doc_id"), num, den, block)
 
-def _families(routed: DataFrame) -> DataFrame:
-    """Links from each set on a route to the least set on it; sets alone on a route give none."""
-    least = routed.groupBy("route").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w")).where("v < w").select("route", "v")
-    return routed.join(least, "route").where("doc_id > v").select(F.col("doc_id").alias("u"), "v").distinct()
+    # a row whose id stands for several sets ties their classes together
+    several = named.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).where("a <> b").select("doc_id")
+    tied = named.join(several, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
+    linked = components(links.unionByName(tied)).select(F.col("node").alias("least"), "component")
+    found = scratch(classes.join(linked, "least", "left").select("d1", "d2", "n", F.coalesce("component", "least").alias("component_id")), "found")
+    total = described.count()
+    alone = described.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return spread_join(named, found, ["d1", "d2"], total).select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
 
-_BITMAP_LOG2 = 24
+def _bit(ids: np.ndarray, size: int) -> np.ndarray:
+    return (mix(ids.view(np.uint64)) & np.uint64(8 * size - 1)).astype(np.int64)
 
 
 def _bitmap(family: DataFrame) -> np.ndarray:
-    """A Bloom filter with one hash of the ids in families: 2 MB whatever their number."""
+    """A Bloom filter with one hash of the ids in families: 16 bits an id, from 128 kB to 16 MB.  Beyond that it lets more texts pass to the exact join."""
+    log2 = min(27, max(20, int(16 * family.count()).bit_length()))
+    block = 1 << 14
 
     def fill(batches):
         import pyarrow as pa
 
-        bits = np.zeros(1 << _BITMAP_LOG2, bool)
+        bits = np.zeros(1 << log2 - 3, np.uint8)
         for batch in batches:
-            bits[(mix(np.array(batch.column("doc_id")).view(np.uint64)) >> np.uint64(64 - _BITMAP_LOG2)).astype(np.int64)] = True
-        packed = np.packbits(bits)
-        block = 1 << 12
-        for i in range(0, len(packed), block):
-            if packed[i : i + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed[i : i + block].tobytes()], pa.binary())], names=["at", "bits"])
+            bit = _bit(np.array(batch.column("doc_id")), len(bits))
+            np.bitwise_or.at(bits, bit >> 3, np.uint8(128) >> (bit & 7).astype(np.uint8))
+        for i in range(0, len(bits), block):
+            if bits[i : i + block].any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([bits[i : i + block].tobytes()], pa.binary())], names=["at", "bits"])
 
     def merge(key, pdf):
         import pandas as pd
 
         return pd.DataFrame({"at": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
 
-    merged = family.select("doc_id").mapInArrow(fill, "at int, bits binary").groupBy("at").applyInPandas(merge, "at int, bits binary")
-    out = np.zeros((1 << _BITMAP_LOG2) // 8, np.uint8)
-    for r in merged.collect():  # 2 MB at most, whatever the corpus; one job, not one for each partition
+    # dealt by id into a fixed number of parts, so a merging task gets few fragments whatever the partitions
+    filled = family.select("doc_id").repartition(64, "doc_id").mapInArrow(fill, "at int, bits binary")
+    out = np.zeros(1 << log2 - 3, np.uint8)
+    for r in filled.groupBy("at").applyInPandas(merge, "at int, bits binary").collect():  # 16 MB at most
         out[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
     return out

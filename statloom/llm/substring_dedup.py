@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, small_batches, window_hash
+from .common import Words, chunks, mix, window_hash
 
 BLOCK_BITS = 18
 _ROW_SALT = (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -154,7 +154,6 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, size: int, gra
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 10, log2_cells: int = 26, depth: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for each row of docs."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     windows = repeated_windows(docs, "doc_id", "text", size, gram, log2_cells, depth)
     last = (1 << 63) - 1

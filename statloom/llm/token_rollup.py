@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
 from .tokenize import default_path, gathered, token_counts
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -24,7 +23,6 @@ KEYS = ("source", "lang", "tokenizer_version")
 
 def counted(docs: DataFrame, tokenizer: str | None = None, version: str = "word_bpe_49k", text_col: str = "text") -> DataFrame:
     """source, lang, tokenizer_version, n_tokens for each document."""
-    small_batches(docs.sparkSession)
     path = tokenizer or default_path()
 
     def count(batches):

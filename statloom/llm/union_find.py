@@ -2,7 +2,7 @@
 
 Only DataFrame operations; each round's edges are written to the shared folder, and no
 label or link is collected.  A node with very many neighbours costs one pre-aggregated
-minimum and a join that can be split.
+minimum and a join in which such nodes' rows stay where they are.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import discard, scratch, spread_join
 
 
 def _state(edges: DataFrame):
@@ -22,13 +22,17 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     edges = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
     edges = scratch(edges, "edges")
     before = _state(edges)
-    while True:
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        large = spread_join(both, least, ["u"], 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = scratch(large, "stars")
+        # each node now points at few smaller ones: the hubs are on the other side
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        edges = scratch(small, "edges")
+        last, edges = edges, scratch(small, "edges")
+        discard(large)
+        discard(last)
         after = _state(edges)
         if after == before:
             break

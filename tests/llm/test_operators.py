@@ -149,15 +149,46 @@ def test_tree_loses_no_link(bits, seed):
 
 
 @pytest.mark.parametrize("num,den", [(9, 10), (8, 10), (1, 2)])
-def test_linked_sets_share_a_route(num, den):
+def test_linked_sets_share_a_first_token(num, den):
     rng = np.random.default_rng(1)
+    rank = rng.integers(0, 3, 1 << ngram_join.LOG2_CELLS).astype(np.uint8)
+    linked = 0
     for _ in range(1500):
         n = int(rng.integers(1, 60))
         a = rng.integers(0, 1 << 62, n).astype(np.uint64)
         b = np.concatenate([a[: n - int(rng.integers(0, n // 4 + 1))], rng.integers(0, 1 << 62, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)])
         both = len(np.intersect1d(a, b))
         if den * both >= num * (len(a) + len(b) - both):
-            assert np.intersect1d(ngram_join._routes(np.sort(a), num, den), ngram_join._routes(np.sort(b), num, den)).size
+            linked += 1
+            a, b = sorted((np.sort(a), np.sort(b)), key=len)
+            tokens, small, at = ngram_join.prefixes(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), num, den, rank)
+            first = tokens[: at[1]][small[: at[1]]]
+            assert np.intersect1d(first, tokens[at[1] :]).size
+    assert linked > 200
+
+
+@pytest.mark.parametrize("block", [4, 40])
+def test_large_families_lose_no_link(spark, block):
+    """A near-copy group with a main part, strays that hang on to it by one link, and chains."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 60)
+    sets = [np.unique(np.concatenate([base[rng.random(60) > 0.04], rng.integers(0, 1 << 62, 2)])) for _ in range(60)]
+    for _ in range(20):  # each near one other set, drifting away from the base
+        other = sets[int(rng.integers(len(sets)))]
+        sets.append(np.unique(np.concatenate([other[rng.random(len(other)) > 0.06], rng.integers(0, 1 << 62, 3)])))
+    sets = [s.astype(np.uint64) for s in sets]
+    rows = spark.createDataFrame([(1, i, s.tobytes()) for i, s in enumerate(sets)], "family long, doc_id long, tokens binary")
+    got = ngram_join._Sets(len(sets))
+    for r in ngram_join.family_links(rows, 8, 10, block).collect():
+        got.join(r["u"], r["v"])
+    want = ngram_join._Sets(len(sets))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 10 * both >= 8 * (len(sets[i]) + len(sets[j]) - both):
+                want.join(i, j)
+    assert [got.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
+    assert len({want.find(i) for i in range(len(sets))}) > 1
 
 
 def test_union_find(spark):
