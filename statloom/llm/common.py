@@ -68,6 +68,29 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: list[str], total: int) -
     return apart.unionByName(rest)
 
 
+#: Rows of a bitmap that says which keys are wanted: 4 kB each, 16 MB at most.
+MOST_BUCKETS = 1 << 12
+
+
+def maybe_in(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """rows with a flag ``maybe``: false only if the column's value is not among those of wanted (one column).
+
+    A bitmap of hashes of at most MOST_BUCKETS rows is broadcast; with far more than 10**8 values more
+    flags are true.  Only DataFrame functions.  wanted is read twice.
+    """
+    buckets, need = 16, 16 * wanted.count()
+    while buckets < MOST_BUCKETS and buckets << 15 < need:
+        buckets <<= 1
+    hashed = wanted.toDF("_h").select(F.xxhash64("_h").alias("_h"))
+    hashed = hashed.select(F.pmod(F.shiftright("_h", 15), buckets).alias("_bucket"), F.pmod("_h", F.lit(1 << 15)).alias("_at"))
+    maps = F.broadcast(hashed.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_map")))
+    h = F.xxhash64(column)
+    at = F.pmod(h, F.lit(1 << 15))
+    byte = F.conv(F.hex(F.substring("_map", (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    flagged = rows.withColumn("_bucket", F.pmod(F.shiftright(h, 15), buckets)).join(maps, "_bucket", "left")
+    return flagged.withColumn("maybe", F.coalesce(F.getbit(byte, at.bitwiseAND(7).cast("int")) == 1, F.lit(False))).drop("_bucket", "_map")
+
+
 # --- vectorised words -------------------------------------------------------
 
 _BLANK = np.zeros(256, dtype=bool)

@@ -18,7 +18,7 @@ The tree's upper levels are spread over the cluster, its lower levels live in ta
 Families larger than ``block`` are dealt in blocks, so no task holds an unbounded group: each
 block is joined with itself, then one set of each block's main part with those of others.
 What is then in the family's main part needs no more comparing with itself; only sets outside of it
-are sent to all blocks.  Only a spanning set of verified links leaves a task.
+are sent to all blocks.  Only labels of what links reach leave a task.
 
 Defined results: null text, empty text and text without words give an empty set, linked
 with nothing; a text with fewer than n words has one shingle, the whole sequence; null ids
@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, grouped_runs, mix, scratch, spread_join, window_hash
+from .common import Words, chunks, grouped_runs, maybe_in, mix, scratch, spread_join, window_hash
 from .union_find import components
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -42,7 +42,7 @@ FANOUT = 8
 #: Cells of the count sketch that orders tokens: 16 MB are broadcast, whatever the corpus.
 LOG2_CELLS = 24
 #: Cells of a part of the sketch that travels and is merged as one row.
-LOG2_PART = 16
+LOG2_PART = 18
 #: Fragments of one part that a task merges in the first step, about: partitions are dealt by this modulus.
 FAN_IN = 256
 #: Tokens of a block at most, about.
@@ -206,11 +206,11 @@ def _describe(n: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=names
             )
-        parts = count.reshape(-1, 1 << LOG2_PART)
-        for i in np.flatnonzero(parts.any(axis=1)).tolist():
-            one = pa.nulls(1)
-            bucket = TaskContext.get().partitionId() % FAN_IN
-            yield pa.RecordBatch.from_arrays([*[one.cast(pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([bucket], pa.int32()), pa.array([parts[i].tobytes()], pa.binary())], names=names)
+        one, bucket = pa.nulls(1), TaskContext.get().partitionId() % FAN_IN
+        for i, part in enumerate(count.reshape(-1, 1 << LOG2_PART)):
+            held = np.flatnonzero(part).astype(np.uint32)
+            if len(held):
+                yield pa.RecordBatch.from_arrays([*[one.cast(pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([bucket], pa.int32()), pa.array([held.tobytes() + part[held].astype(np.uint32).tobytes()], pa.binary())], names=names)
 
     return describe
 
@@ -218,21 +218,24 @@ def _describe(n: int):
 def _ranks(fragments: DataFrame) -> np.ndarray:
     """For each cell eight times the binary logarithm of its count, 255 at most: the partitions' sketches, merged in two steps."""
 
-    def merge(rows, width):
+    def merge(rows):
         total = np.zeros(1 << LOG2_PART, np.uint32)
         for r in rows:
-            total += np.minimum(np.frombuffer(r, width), (1 << 32) - 1 - total).astype(np.uint32)
+            at, count = np.frombuffer(r, np.uint32).reshape(2, -1)
+            total[at] += np.minimum(count, (1 << 32) - 1 - total[at])
         return total
 
     def first(key, pdf):
         import pandas as pd
 
-        return pd.DataFrame({"part": [key[0]], "cells": [merge(pdf["cells"], np.uint8).tobytes()]})
+        total = merge(pdf["cells"])
+        at = np.flatnonzero(total).astype(np.uint32)
+        return pd.DataFrame({"part": [key[0]], "cells": [at.tobytes() + total[at].tobytes()]})
 
     def last(key, pdf):
         import pandas as pd
 
-        total = merge(pdf["cells"], np.uint32)
+        total = merge(pdf["cells"])
         return pd.DataFrame({"part": [key[0]], "cells": [np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8).tobytes()]})
 
     shape = "part int, cells binary"
@@ -244,21 +247,27 @@ def _ranks(fragments: DataFrame) -> np.ndarray:
 
 
 def _verified(dealt: DataFrame, keys: tuple[str, ...], num: int, den: int) -> DataFrame:
-    """Links (u, v) within each group of dealt (keys, part, doc_id, tokens); groups are bounded by how they are dealt."""
+    """(keys, node, label) for each group of dealt (keys, part, doc_id, tokens): label is the least part that links reach from part node; groups are bounded by how they are dealt.
+
+    Sets of one part count as linked.
+    """
 
     def verify(batches):
         import pyarrow as pa
 
-        for _, group in grouped_runs(batches, keys):
-            ids, parts = group.column("doc_id").to_numpy(), group.column("part").to_numpy()
+        for key, group in grouped_runs(batches, keys):
+            parts = group.column("part").to_numpy()
             sets = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
-            links = np.array(tree_links(sets, num, den, parts=parts), np.int64).reshape(-1, 2)
-            if len(links):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[links[:, 0]]), pa.array(ids[links[:, 1]])], names=["u", "v"])
+            known, first, inverse = np.unique(parts, return_index=True, return_inverse=True)
+            labels = _Sets(len(known))
+            for i, j in tree_links(sets, num, den, parts=inverse):
+                labels.join(int(inverse[i]), int(inverse[j]))
+            label = known[[labels.find(i) for i in range(len(known))]]
+            yield pa.RecordBatch.from_arrays([*[pa.array([k] * len(known), group.schema.field(c).type) for k, c in zip(key, keys)], pa.array(known), pa.array(label)], names=[*keys, "node", "label"])
 
-    # two sets are one part only if they are known to be linked; rows that share an id are
     sorted_ = dealt.select(*keys, "part", "doc_id", "tokens").repartition(*keys).sortWithinPartitions(*keys)
-    return scratch(sorted_.mapInArrow(verify, "u long, v long"), "links")
+    shape = ", ".join(f"{k} {dict(dealt.dtypes)[k]}" for k in keys)
+    return sorted_.mapInArrow(verify, f"{shape}, node long, label long")
 
 
 def _dealt(rows: DataFrame, key: str, name: str, block: int) -> DataFrame:
@@ -267,37 +276,32 @@ def _dealt(rows: DataFrame, key: str, name: str, block: int) -> DataFrame:
     return rows.join(sized, key).withColumn(name, F.pmod(F.xxhash64("doc_id"), F.col(f"{name}_n")).cast("int"))
 
 
-def _parts(rows: DataFrame, links: DataFrame) -> DataFrame:
-    found = components(links).select(F.col("node").alias("doc_id"), F.col("component").alias("_c"))
-    return rows.drop("part").join(found, "doc_id", "left").withColumn("part", F.coalesce("_c", "doc_id")).drop("_c")
-
-
-def family_links(rows: DataFrame, num: int, den: int, block: int) -> DataFrame:
-    """Links that span those within each family; rows: family, doc_id, tokens."""
+def family_parts(rows: DataFrame, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(node, label: for each id the least one that links within its block reach) and links (u, v) between such labels; rows: family, doc_id, tokens."""
     dealt = scratch(_dealt(rows, "family", "mine", block).withColumn("part", F.col("doc_id")), "dealt")
-    links = _verified(dealt, ("family", "mine"), num, den)
-    large = dealt.where("mine_n > 1")
+    first = scratch(_verified(dealt, ("family", "mine"), num, den), "parts")
+    nodes = first.select("node", "label")
+    large = dealt.where("mine_n > 1").drop("part")
     if large.isEmpty():
-        return links
-    # one set of the main part of each block
-    named = scratch(_parts(large, links), "parts")
-    main = named.groupBy("family", "mine", "part").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
-    main = main.groupBy("family", "mine").agg(F.max_by("doc_id", F.struct("n", "doc_id")).alias("doc_id"))
-    some = named.join(main, ["family", "mine", "doc_id"]).withColumn("mine", F.floor(F.col("mine") / block).cast("int"))
-    links = links.unionByName(_verified(some, ("family", "mine"), num, den))
+        return nodes, nodes.where("false").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    # one set of the main part of each block of a family; with more than 8 * block blocks by groups of these
+    large = large.join(nodes, F.col("doc_id") == F.col("node")).drop("node")
+    main = first.groupBy("family", "mine", "label").agg(F.count("*").alias("n")).groupBy("family", "mine").agg(F.max_by("label", F.struct("n", "label")).alias("doc_id"))
+    some = large.join(main, ["family", "mine", "doc_id"]).withColumn("mine", F.floor(F.col("mine") / (8 * block)).cast("int")).withColumn("part", F.col("label"))
+    joined = scratch(_verified(some, ("family", "mine"), num, den), "parts").select(F.col("node").alias("label"), F.col("label").alias("part"))
+    named = scratch(large.join(joined, "label", "left").withColumn("part", F.coalesce("part", "label")), "large")
     # what is still outside of the family's main part meets every block
-    named = scratch(_parts(large, links), "parts")
-    main = named.groupBy("family", "part").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-    named = named.join(main, "family")
-    out = _dealt(named.where("part <> main").select("family", "doc_id", "tokens", "part", "mine_n"), "family", "i", block)
-    out = scratch(out, "outside")
+    most = named.groupBy("family", "part").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    named = named.join(most, "family")
+    out = scratch(_dealt(named.where("part <> main").select("family", "doc_id", "tokens", "part", "mine_n"), "family", "i", block), "outside")
     n_out = out.select("family", "i_n").distinct()
     shape = ("family", "i", "j", "part", "doc_id", "tokens")
     inside = named.where("part = main").join(n_out, "family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)))
     sent = out.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("mine_n") - 1)))
     both = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1))).withColumn("j", -1 - F.greatest("i", "k")).withColumn("i", F.least("i", "k"))
     met = inside.withColumn("j", F.col("mine")).select(*shape).unionByName(sent.select(*shape)).unionByName(both.select(*shape))
-    return links.unionByName(_verified(met, ("family", "i", "j"), num, den))
+    links = _verified(met, ("family", "i", "j"), num, den).select(F.col("node").alias("u"), F.col("label").alias("v"))
+    return nodes, links.unionByName(joined.select(F.col("label").alias("u"), F.col("part").alias("v"))).where("u <> v")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10, block: int = 512) -> DataFrame:
@@ -330,60 +334,27 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stars = spread_join(posted.select("token", "doc_id"), hubs, ["token"], total).where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
     family = scratch(components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
 
-    wanted = spark.sparkContext.broadcast(_bitmap(family))
-
     def tokens_of(batches):
         import pyarrow as pa
 
         for batch, texts in chunks(batches, "text"):
-            ids = batch.column("doc_id")
-            bit = _bit(np.array(ids), len(wanted.value))
-            hit = np.flatnonzero((wanted.value[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1)
-            if len(hit):
-                tokens, at = shingle_sets([texts[i] for i in hit], n)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(hit)), pa.array([tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["doc_id", "tokens"])
+            tokens, at = shingle_sets(texts, n)
+            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("doc_id"), pa.array([tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["family", "doc_id", "tokens"])
 
-    tokens = docs.where("doc_id is not null").mapInArrow(tokens_of, "doc_id long, tokens binary").where("length(tokens) > 0")
-    links = family_links(tokens.join(family, "doc_id"), num, den, block)
+    members = maybe_in(docs.where("doc_id is not null"), "doc_id", family.select("doc_id")).where("maybe").join(family, "doc_id")
+    tokens = members.select("family", "doc_id", "text").mapInArrow(tokens_of, "family long, doc_id long, tokens binary").where("length(tokens) > 0")
+    nodes, links = family_parts(tokens, num, den, block)
 
     # a row whose id stands for several sets ties their classes together
     several = named.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).where("a <> b").select("doc_id")
     tied = named.join(several, "doc_id", "left_semi").join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), F.col("least").alias("v"))
-    linked = components(links.unionByName(tied)).select(F.col("node").alias("least"), "component")
-    found = scratch(classes.join(linked, "least", "left").select("d1", "d2", "n", F.coalesce("component", "least").alias("component_id")), "found")
+    for end in ("u", "v"):
+        tied = tied.join(nodes.select(F.col("node").alias(end), "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    linked = components(links.unionByName(tied.select("u", "v"))).select(F.col("node").alias("label"), "component")
+    # an id with no links of its own may still be tied to others
+    labels = classes.select("least").distinct().join(nodes.withColumnRenamed("node", "least"), "least", "left").withColumn("label", F.coalesce("label", "least"))
+    linked = labels.join(linked, "label", "left").select("least", F.coalesce("component", "label").alias("component"))
+    found = scratch(classes.join(linked, "least").select("d1", "d2", "n", F.col("component").alias("component_id")), "found")
     total = described.count()
     alone = described.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return spread_join(named, found, ["d1", "d2"], total).select("doc_id", "n_shingles", "component_id").unionByName(alone)
-
-
-def _bit(ids: np.ndarray, size: int) -> np.ndarray:
-    return (mix(ids.view(np.uint64)) & np.uint64(8 * size - 1)).astype(np.int64)
-
-
-def _bitmap(family: DataFrame) -> np.ndarray:
-    """A Bloom filter with one hash of the ids in families: 16 bits an id, from 128 kB to 16 MB.  Beyond that it lets more texts pass to the exact join."""
-    log2 = min(27, max(20, int(16 * family.count()).bit_length()))
-    block = 1 << 14
-
-    def fill(batches):
-        import pyarrow as pa
-
-        bits = np.zeros(1 << log2 - 3, np.uint8)
-        for batch in batches:
-            bit = _bit(np.array(batch.column("doc_id")), len(bits))
-            np.bitwise_or.at(bits, bit >> 3, np.uint8(128) >> (bit & 7).astype(np.uint8))
-        for i in range(0, len(bits), block):
-            if bits[i : i + block].any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([bits[i : i + block].tobytes()], pa.binary())], names=["at", "bits"])
-
-    def merge(key, pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"at": [key[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
-
-    # dealt by id into a fixed number of parts, so a merging task gets few fragments whatever the partitions
-    filled = family.select("doc_id").repartition(64, "doc_id").mapInArrow(fill, "at int, bits binary")
-    out = np.zeros(1 << log2 - 3, np.uint8)
-    for r in filled.groupBy("at").applyInPandas(merge, "at int, bits binary").collect():  # 16 MB at most
-        out[r["at"] : r["at"] + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
-    return out

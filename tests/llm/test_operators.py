@@ -173,14 +173,17 @@ def test_large_families_lose_no_link(spark, block):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 62, 60)
     sets = [np.unique(np.concatenate([base[rng.random(60) > 0.04], rng.integers(0, 1 << 62, 2)])) for _ in range(60)]
+    for _ in range(5):
+        sets.append(np.unique(np.concatenate([base[rng.random(60) > 0.3], rng.integers(0, 1 << 62, 12)])))
     for _ in range(20):  # each near one other set, drifting away from the base
         other = sets[int(rng.integers(len(sets)))]
         sets.append(np.unique(np.concatenate([other[rng.random(len(other)) > 0.06], rng.integers(0, 1 << 62, 3)])))
     sets = [s.astype(np.uint64) for s in sets]
     rows = spark.createDataFrame([(1, i, s.tobytes()) for i, s in enumerate(sets)], "family long, doc_id long, tokens binary")
     got = ngram_join._Sets(len(sets))
-    for r in ngram_join.family_links(rows, 8, 10, block).collect():
-        got.join(r["u"], r["v"])
+    nodes, links = ngram_join.family_parts(rows, 8, 10, block)
+    for r in [*nodes.collect(), *links.collect()]:
+        got.join(*r)
     want = ngram_join._Sets(len(sets))
     for i in range(len(sets)):
         for j in range(i):
@@ -660,8 +663,8 @@ def brute_lines(rows, width=12):
         for pos, line in enumerate((t or "").split("\n")):
             if re.search(r"[^ \t\r\x0B\f]", line):
                 places[line].append((big if i is None else i, t, pos))
-                w = [x for x in re.split(r"[ \t\r\x0B\f]+", line.strip(" "))]
-                sets[line] = {" ".join(w[a : a + 3])[:width] for a in range(len(w))}
+                x = re.sub(r"[ \t\r\x0B\f]+", " ", line.strip(" ")).encode("utf-16-be")
+                sets[line] = {x[a : a + 2 * width] for a in range(0, max(1, len(x) - 2 * width + 1), 2)}
     names = list(sets)
     up = list(range(len(names)))
 
