@@ -53,19 +53,24 @@ def discard(df: DataFrame) -> None:
 
 #: A key that holds more than one row in so many is joined apart; there are fewer such keys than this.
 HOT_SHARE = 1000
+#: Rows that one task can take, whatever their key.
+TASK_ROWS = 1_000_000
 
 
 def spread_join(rows: DataFrame, keyed: DataFrame, key: list[str], total: int) -> DataFrame:
     """rows joined (inner) to the one row of keyed for their key, where keyed.n counts the key's rows among total.
 
     Keys with more than total / HOT_SHARE rows are fewer than HOT_SHARE, so their side is broadcast
-    and their rows stay where they are; all others are shuffled.  keyed is read three times.
+    and their rows stay where they are; all others are shuffled.  keyed is read three times.  No key can be
+    too much for a task if there are no more than TASK_ROWS rows in all.
     """
+    if total <= TASK_ROWS:
+        return rows.join(keyed.drop("n"), key)
     hot = F.col("n") * HOT_SHARE > total
     often = F.broadcast(keyed.where(hot))
     apart = rows.join(often.drop("n"), key)
     rest = rows.join(often.select(*key), key, "left_anti").join(keyed.where(~hot).drop("n"), key)
-    return apart.unionByName(rest)
+    return apart.unionByName(rest.select(*apart.columns))
 
 
 #: Rows of a bitmap that says which keys are wanted: 4 kB each, 16 MB at most.

@@ -1,10 +1,15 @@
 """License scans by ordered signature rules.  DataFrame and SQL functions only.
 
 A rule is a regular expression over the normalised text (lower-case words parted by one
-space), with a keyword that must be there before the expression is tried.  Detections are
-word intervals.  A detection is suppressed if its interval lies in that of a rule of
-higher priority (a lesser number), or in a longer one of equal priority, or repeats one.
-All of it happens inside the row: no join, no shuffle.
+space), with a keyword that must be there before the expression is tried.  Texts without any of a
+few stems are not even normalised.  Detections are word intervals.  A detection is suppressed if its
+interval lies in that of a rule of higher priority (a lesser number), or in a longer one of
+equal priority, or repeats one.
+
+All of it happens inside the row: no join, no shuffle.  Expressions are constants, compiled
+once.  An expression's places are marked in one pass over the text, which is then split into words once;
+detections are sorted, and each is compared only with those that start shortly before it, so time grows
+with the text and its detections, not with their square.
 
 Defined results: null text is empty, has no words, no labels and score 0; rows are judged
 one by one; extra columns are ignored.
@@ -12,151 +17,106 @@ one by one; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .license_rules import CC_BY, LONGEST, STEMS, rules
+
 #: Phrases of the base contract and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
+#: Detections before one that are looked at first; where more start within LONGEST words, all are.
+NEAR = 128
+_OPEN, _CLOSE = "\x01", "\x02"
+_DETECTIONS = "array<struct<a:int,back:int,p:int,label:string,s:double>>"
+
+
+def _bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once where f uses it within a lambda."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _spans(marked: Column) -> Column:
+    """Array of (a, z), first and last word from 0, of the marked places of `` w0 w1 ... ``."""
+
+    def at(words: Column, mark: str) -> Column:
+        return F.filter(F.transform(words, lambda w, i: F.when(F.contains(w, F.lit(mark)), i)), lambda i: i.isNotNull())
+
+    def both(words: Column) -> Column:
+        return F.zip_with(at(words, _OPEN), at(words, _CLOSE), lambda a, z: F.struct(a.alias("a"), z.alias("z")))
+
+    return _bound(F.split(F.trim(marked), " "), both)
+
 
-V = r"(?: v| version)?"
-#: label, names (regular expressions over normalised words), keyword that all its signatures hold, distinctive sentences.
-FAMILIES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
-    ("mit", r"mit|expat", "", ("permission is hereby granted free of charge to any person obtaining a copy", "the software is provided as is without warranty of any kind")),
-    ("mit-0", r"mit 0|mit no attribution", "mit", ()),
-    ("apache-1.1", rf"apache(?: software)?(?: license)?{V} 1 1", "apache", ()),
-    ("apache-2.0", rf"apache(?: software)?(?: license)?{V} 2(?: 0)?", "apache", ("you may not use this file except in compliance with the license", "limitations under the license")),
-    ("bsd-2-clause", r"(?:simplified|freebsd|2 clause) bsd|bsd 2 clause", "bsd", ("redistributions of source code must retain the above copyright notice",)),
-    ("bsd-3-clause", r"(?:new|revised|modified|3 clause) bsd|bsd 3 clause", "bsd", ("neither the name of the copyright holder nor the names of its contributors",)),
-    ("bsd-4-clause", r"(?:original|4 clause) bsd|bsd 4 clause", "bsd", ("all advertising materials mentioning features or use of this software",)),
-    ("0bsd", r"0bsd|zero clause bsd|bsd zero clause", "bsd", ()),
-    ("isc", r"isc", "isc", ("permission to use copy modify and or distribute this software for any purpose",)),
-    ("zlib", r"zlib|zlib libpng", "zlib", ("altered source versions must be plainly marked as such",)),
-    ("gpl-1.0", rf"(?:gnu )?(?:general public license|gpl){V} 1(?: 0)?", "g", ()),
-    ("gpl-2.0", rf"(?:gnu )?(?:general public license|gpl){V} 2(?: 0)?", "g", ()),
-    ("gpl-3.0", rf"(?:gnu )?(?:general public license|gpl){V} 3(?: 0)?", "g", ()),
-    ("lgpl-2.0", rf"(?:gnu )?(?:library|lesser) (?:general public license|gpl){V} 2(?: 0)?", "l", ()),
-    ("lgpl-2.1", rf"(?:gnu )?lesser general public license{V} 2 1|lgpl{V} 2 1", "l", ()),
-    ("lgpl-3.0", rf"(?:gnu )?lesser general public license{V} 3(?: 0)?|lgpl{V} 3(?: 0)?", "l", ()),
-    ("agpl-3.0", rf"(?:gnu )?affero general public license{V} 3(?: 0)?|agpl{V} 3(?: 0)?", "a", ()),
-    ("mpl-1.1", rf"mozilla public license{V} 1 1|mpl 1 1", "m", ()),
-    ("mpl-2.0", rf"mozilla public license{V} 2(?: 0)?|mpl 2 0", "m", ()),
-    ("epl-1.0", rf"eclipse public license{V} 1(?: 0)?|epl 1 0", "e", ()),
-    ("epl-2.0", rf"eclipse public license{V} 2(?: 0)?|epl 2 0", "e", ()),
-    ("eupl-1.2", rf"european union public licen[cs]e{V} 1 2|eupl{V} 1 2", "eu", ()),
-    ("cddl-1.0", rf"common development and distribution license{V} 1(?: 0)?|cddl 1 0", "d", ()),
-    ("cpl-1.0", rf"common public license{V} 1(?: 0)?|cpl 1 0", "c", ()),
-    ("artistic-1.0", rf"artistic license{V} 1(?: 0)?", "artistic", ()),
-    ("artistic-2.0", rf"artistic license{V} 2(?: 0)?", "artistic", ()),
-    ("bsl-1.0", rf"boost software license{V} 1(?: 0)?", "boost", ()),
-    ("busl-1.1", rf"business source license{V} 1 1|busl 1 1", "bus", ()),
-    ("sspl-1.0", rf"server side public license{V} 1(?: 0)?|sspl{V} 1(?: 0)?", "s", ()),
-    ("elastic-2.0", rf"elastic license{V} 2(?: 0)?", "elastic", ()),
-    ("unlicense", r"(?:the )?unlicense", "unlicense", ("this is free and unencumbered software released into the public domain",)),
-    ("wtfpl", r"wtfpl|do what the fuck you want to public license", "w", ()),
-    ("cc0-1.0", rf"cc0(?: 1 0)?|creative commons zero{V}(?: 1 0)?", "c", ("to the extent possible under law", "waived all copyright and related or neighboring rights")),
-    ("cc-by-nc-nd", rf"cc by nc nd(?:{V} \d 0)?|creative commons attribution noncommercial no ?derivatives(?:{V} \d 0)?", "c", ()),
-    ("cc-by-nc-sa", rf"cc by nc sa(?:{V} \d 0)?|creative commons attribution noncommercial share ?alike(?:{V} \d 0)?", "c", ()),
-    ("cc-by-nc", rf"cc by nc(?:{V} \d 0)?|creative commons attribution non ?commercial(?:{V} \d 0)?", "c", ()),
-    ("cc-by-nd", rf"cc by nd(?:{V} \d 0)?|creative commons attribution no ?derivatives(?:{V} \d 0)?", "c", ()),
-    ("cc-by-sa", rf"cc by sa(?:{V} \d 0)?|creative commons attribution share ?alike(?:{V} \d 0)?", "c", ()),
-    ("cc-by", rf"cc by(?:{V} \d 0)?|creative commons attribution(?:{V} \d 0)?", "c", ()),
-    ("odbl-1.0", rf"open (?:data commons open )?database license{V}(?: 1 0)?|odbl", "o", ()),
-    ("odc-by", r"open data commons attribution license|odc by", "od", ()),
-    ("ofl-1.1", rf"(?:sil )?open font license{V}(?: 1 1)?|ofl 1 1", "o", ()),
-    ("gfdl", rf"(?:gnu )?free documentation license(?:{V} 1 [123])?|gfdl", "f", ("with no invariant sections no front cover texts and no back cover texts",)),
-    ("openrail", r"(?:creativeml )?open ?rail(?: m)?", "rail", ()),
-    ("postgresql", r"postgresql", "postgresql", ()),
-    ("python-2.0", r"python software foundation license(?: version 2)?|psf license", "p", ()),
-    ("upl-1.0", rf"universal permissive license{V}(?: 1 0)?", "universal", ()),
-    ("public-domain", r"public domain", "public domain", ()),
-)
-
-#: Wording around a license's name: regular expression, keyword, score.
-TEMPLATES: tuple[tuple[str, str, float], ...] = (
-    (r"spdx license identifier (?:{})(?: only| or later)?", "spdx", 1.0),
-    (r"(?:is|are|be)? ?(?:dual )?licen[cs]ed (?:under|according to|by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{})(?: licen[cs]e)?", "licen", 0.95),
-    (r"(?:released|distributed|published|available|provided|redistributed|shared|offered) under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{})(?: licen[cs]e)?", "under", 0.9),
-    (r"(?:covered|governed) by (?:the )?(?:{})(?: licen[cs]e)?", "ed by", 0.85),
-    (r"(?:see|read) (?:the )?(?:{}) licen[cs]e for (?:more )?(?:details|terms)", "licen", 0.8),
-    (r"(?:{})(?: public)? licen[cs]e", "licen", 0.7),
-)
-#: Wording that grants or withholds rights without a name.
-GENERAL: tuple[tuple[str, str, str, float], ...] = (
-    ("all-rights-reserved", r"all rights reserved", "all rights reserved", 0.6),
-    ("copyright-notice", r"copyright (?:c )?(?:19|20)\d\d(?: (?:19|20)\d\d)?", "copyright", 0.5),
-    ("proprietary", r"(?:proprietary and confidential|strictly confidential|unauthorized copying of this file)", "", 0.6),
-    ("non-commercial", r"(?:for )?non ?commercial (?:use|purposes)(?: only)?", "commercial", 0.4),
-    ("no-warranty", r"without (?:any )?warranty(?: of any kind)?", "warranty", 0.3),
-    ("unnamed-license", r"(?:see|refer to) the (?:accompanying )?(?:license|copying|notice) file", " file", 0.3),
-    ("unnamed-license", r"licen[cs]ed under", "licen", 0.2),
-)
-
-
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """(priority, label, keyword, expression, score), in order of priority."""
-    found: list[tuple[str, str, str, float]] = []
-    for template, keyword, score in TEMPLATES:
-        found += [(label, keyword, template.format(names), score) for label, names, _, _ in FAMILIES]
-    for label, _, _, sentences in FAMILIES:
-        found += [(label, s, s, 0.9) for s in sentences]
-    found += [(label, keyword, e, score) for label, e, keyword, score in GENERAL]
-    return [(i, *r) for i, r in enumerate(found)]
-
-
-#: One of these stands in every text that a rule can match.
-GATE = r"licen[cs]e|spdx|copyright|(?:released|distributed|published|available|provided|redistributed|shared|offered) under|(?:covered|governed) by|all rights reserved|warranty|commercial|confidential|unauthorized|redistributions|advertising materials|permission (?:is hereby|to use)|altered source|free and unencumbered|related or neighboring|possible under law|invariant sections|neither the name of|(?:license|copying|notice) file"
-
-
-def _find(text: Column, expression: Column) -> Column:
-    """Array of (first word, last word) of all places of an expression in `` w0 w1 ... ``."""
-    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" ")))
-    whole = F.concat(F.lit("(?<= )(?:"), expression, F.lit(")(?= )"))
-    gaps = F.transform(F.split(text, whole, -1), spaces)
-    hits = F.transform(F.regexp_extract_all(text, whole, F.lit(0)), spaces)
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-
-    def place(hit, i):
-        first = total(F.slice(gaps, 1, i + 1)) + total(F.slice(hits, 1, i)) - 1
-        return F.struct(first.cast("long").alias("a"), (first + hit).cast("long").alias("z"))
-
-    return F.transform(hits, place)
+def _marked(column: str, named: list[tuple[str, str, str]]) -> Column:
+    """Array of (what, m): for each (SQL of a struct, keyword, expression) whose expression has places, the text with these marked."""
+    one = "struct({} AS what, CASE WHEN contains({}, '{}') THEN regexp_replace({}, r'(?<= )(?:{})(?= )', '{}$0{}') END AS m)"
+    every = F.expr("array(" + ", ".join(one.format(what, column, k, column, e, _OPEN, _CLOSE) for what, k, e in named) + ")")
+    return F.filter(every, lambda x: F.contains(x["m"], F.lit(_OPEN)))
+
+
+def _found(column: str) -> Column:
+    """All detections of all rules, by start, longest first, then by priority."""
+    marked = _marked(column, [(f"named_struct('p', {p}, 'label', '{label}', 's', {score}D)", k, e) for p, label, k, e, score in rules()])
+
+    def detected(x: Column) -> Column:
+        # back: minus the last word, so that of equal starts the longest sorts first
+        return F.transform(_spans(x["m"]), lambda w: F.struct(w["a"].alias("a"), (-w["z"]).alias("back"), x["what"]["p"].alias("p"), x["what"]["label"].alias("label"), x["what"]["s"].alias("s")))
+
+    return F.sort_array(F.flatten(F.transform(marked, detected)))
+
+
+def _kept(found: Column) -> Column:
+    """Sorted detections without those that another covers.  What covers a detection sorts before it and starts less than LONGEST words before it."""
+
+    def covered(y: Column, before: Column) -> Column:
+        covers = lambda x: (x["back"] <= y["back"]) & ((x["p"] < y["p"]) | ((x["p"] == y["p"]) & ((x["a"] < y["a"]) | (x["back"] < y["back"]))))
+        return F.exists(before, covers)
+
+    def kept(d: Column) -> Column:
+        crowded = F.exists(F.zip_with(d, F.slice(d, NEAR + 1, F.greatest(F.size(d) - NEAR, F.lit(0))), lambda x, y: y["a"] - x["a"] < LONGEST), lambda c: c)
+        near = F.filter(d, lambda y, i: ~covered(y, F.slice(d, F.greatest(i - NEAR, F.lit(0)) + 1, F.least(i, F.lit(NEAR)))))
+        every = F.filter(d, lambda y, i: ~covered(y, F.slice(d, 1, i)))
+        return F.when(crowded, every).otherwise(near)
+
+    return _bound(found, kept)
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
-    not_word = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (a, z, p, label, s)."""
+    word, not_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    core = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), not_word, " "))
-    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit(" "), core, F.lit(" ")).alias("raw"))
-    df = df.withColumn("n_words", F.when(F.col("raw") == "  ", 0).otherwise(F.length("raw") - F.length(F.replace("raw", F.lit(" "))) - 1).cast("long"))
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("raw"))
+
     # lower() folds more than A-Z, so it may only open the gate; what is matched is folded exactly
-    gate = F.lower("raw").rlike(GATE)
-    df = df.withColumn("norm", F.when(gate, F.translate("raw", upper, lower)))
-
-    def places(phrase: str, label: str) -> Column:
-        return F.transform(_find(F.col("norm"), F.lit(phrase)), lambda x: F.struct(x["a"].alias("a"), F.lit(label).alias("label")))
-
-    base = F.concat(*[places(*b) for b in BASE_PHRASES])
-    has_base = F.col("norm").rlike("(?:mit|apache|general public) license ")
-    df = df.withColumn("base", F.when(has_base, base))
-    known = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(label).alias("label"), F.lit(k).alias("k"), F.lit(e).alias("e"), F.lit(s).alias("s")) for p, label, k, e, s in rules()])
-    opened = F.filter(known, lambda r: F.contains(F.col("norm"), r["k"]) & F.regexp_like("norm", F.concat(F.lit(" (?:"), r["e"], F.lit(") "))))
-    found = F.flatten(F.transform(opened, lambda r: F.transform(_find(F.col("norm"), r["e"]), lambda x: F.struct(r["p"].alias("p"), x["a"].alias("a"), x["z"].alias("z"), r["label"].alias("label"), r["s"].alias("s")))))
-    df = df.withColumn("found", F.when(F.col("norm").isNotNull(), found))
-    # (priority, -length, start) orders detections; the first that covers another suppresses it
-    covers = lambda x, y: (x["a"] <= y["a"]) & (x["z"] >= y["z"]) & ((x["p"] < y["p"]) | ((x["p"] == y["p"]) & ((x["a"] < y["a"]) | (x["z"] > y["z"]))))
-    df = df.withColumn("detections", F.filter("found", lambda y: ~F.exists("found", lambda x: covers(x, y))))
-    none = F.array().cast("array<string>")
-    base_labels = F.array_sort(F.array_distinct(F.coalesce(F.transform("base", lambda x: x["label"]), none)))
-    more = F.coalesce(F.transform("detections", lambda x: x["label"]), none)
+    def gate(t: Column) -> Column:
+        opened = t.rlike(CC_BY)
+        for stem in STEMS:
+            opened = F.contains(t, F.lit(stem)) | opened
+        return opened
+
+    df = df.withColumn("open", _bound(F.lower("raw"), gate))
+    norm = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("raw", upper, lower), not_word, " ")), F.lit(" "))
+    df = df.withColumn("norm", F.when(F.col("open"), norm))
+    df = df.withColumn("n_words", F.regexp_count("raw", F.lit(word)).cast("long"))
+
+    stated = _marked("norm", [(f"'{label}'", phrase, phrase) for phrase, label in BASE_PHRASES])
+    base = F.flatten(F.transform(stated, lambda x: F.transform(_spans(x["m"]), lambda w: F.struct(w["a"].alias("a"), x["what"].alias("label")))))
+    df = df.withColumn("base", F.when(F.contains("norm", F.lit(" license ")), base))
+    df = df.withColumn("kept", F.when(F.col("open"), _kept(_found("norm"))))
+    strings = F.array().cast("array<string>")
+    base_labels = F.array_sort(F.array_distinct(F.coalesce(F.transform("base", lambda x: x["label"]), strings)))
+    more = F.coalesce(F.transform("kept", lambda x: x["label"]), strings)
+    shown = F.transform(F.coalesce("kept", F.array().cast(_DETECTIONS)), lambda x: F.struct(x["a"].cast("long").alias("a"), (-x["back"]).cast("long").alias("z"), x["p"].alias("p"), x["label"].alias("label"), x["s"].alias("s")))
     return df.select(
         "doc_id",
         "n_words",
         F.when(F.col("base").isNull(), 0).otherwise(F.size("base")).cast("long").alias("n_base"),
-        F.array_min(F.transform("base", lambda x: x["a"])).alias("first_word"),
-        F.array_max(F.transform("base", lambda x: x["a"])).alias("last_word"),
+        F.array_min(F.transform("base", lambda x: x["a"])).cast("long").alias("first_word"),
+        F.array_max(F.transform("base", lambda x: x["a"])).cast("long").alias("last_word"),
         F.array_join(base_labels, ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base_labels, more)), ",").alias("labels"),
-        F.round(F.greatest(F.coalesce(F.array_max(F.transform("detections", lambda x: x["s"])), F.lit(0.0)), F.when(F.size(base_labels) > 0, 0.9).otherwise(0.0)), 4).alias("score"),
-        F.coalesce("detections", F.array().cast("array<struct<p:int,a:bigint,z:bigint,label:string,s:double>>")).alias("detections"),
+        F.round(F.greatest(F.coalesce(F.array_max(F.transform("kept", lambda x: x["s"])), F.lit(0.0)), F.when(F.size(base_labels) > 0, 0.9).otherwise(0.0)), 4).alias("score"),
+        shown.alias("detections"),
     )

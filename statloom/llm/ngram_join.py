@@ -39,10 +39,10 @@ _FOLD[65:91] += 32
 #: Bits of a node's bitmap at most.
 MAP_BITS = 1 << 16
 FANOUT = 8
-#: Cells of the count sketch that orders tokens: 16 MB are broadcast, whatever the corpus.
-LOG2_CELLS = 24
+#: Cells of the count sketch that orders tokens: 4 MB are broadcast, whatever the corpus.
+LOG2_CELLS = 22
 #: Cells of a part of the sketch that travels and is merged as one row.
-LOG2_PART = 18
+LOG2_PART = 16
 #: Fragments of one part that a task merges in the first step, about: partitions are dealt by this modulus.
 FAN_IN = 256
 #: Tokens of a block at most, about.
@@ -327,6 +327,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     reps = classes.select(F.col("least").alias("doc_id")).distinct()
     first = docs.where("doc_id is not null").mapInArrow(first_tokens, "doc_id long, tokens array<long>").join(reps, "doc_id", "left_semi")
     first = scratch(first, "first")
+    rank.destroy()
     posted = first.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.shiftright("t", 1).alias("token"), F.col("t").bitwiseAND(1).alias("small"))
     hubs = posted.groupBy("token").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w"), F.max("small").alias("small"), F.count("*").alias("n")).where("v < w and small = 1").select("token", "v", "n")
     hubs = scratch(hubs, "hubs")

@@ -10,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from statloom.llm import license_scan, line_dedup, media, mixing, ngram_join, ordinal, packing, quality_rules, queries, substring_dedup, text_stats, token_rollup, tokenize
+from statloom.llm import common, license_rules, license_scan, line_dedup, media, mixing, ngram_join, ordinal, packing, quality_rules, queries, substring_dedup, text_stats, token_rollup, tokenize
 from statloom.llm.union_find import components
 
 SF = "/root/testdata/sf0.001"
@@ -200,6 +200,23 @@ def test_union_find(spark):
     assert got == {i: 1 for i in range(1, 41)} | {100: 90, 90: 90, 95: 90} | {x: 200 for x in range(200, 260)}
 
 
+def test_spread_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "TASK_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_SHARE", 3)
+    rows = spark.createDataFrame([(i % 2 and 7, i) for i in range(40)] + [(k, 100 + k) for k in range(20)], "k int, v int")
+    keyed = rows.groupBy("k").count().withColumnRenamed("count", "n").withColumn("w", __import__("pyspark").sql.functions.col("k") * 2)
+    got = common.spread_join(rows, keyed.where("k <> 3"), ["k"], rows.count())
+    want = rows.join(keyed.where("k <> 3").drop("n"), ["k"])
+    assert spark_rows(got, ["k", "v", "w"]) == spark_rows(want, ["k", "v", "w"])
+
+
+def test_maybe_in_misses_nothing(spark):
+    rows = spark.range(30_000).withColumnRenamed("id", "v")
+    flagged = common.maybe_in(rows, "v", rows.where("v % 100 = 3"))
+    assert flagged.where("v % 100 = 3 and not maybe").count() == 0
+    assert flagged.where("v % 100 <> 3 and maybe").count() < 300 and flagged.count() == 30_000
+
+
 # 3 -------------------------------------------------------------------------
 
 
@@ -441,7 +458,7 @@ def brute_license(text):
         p = phrase.split()
         base += [(a, label) for a in range(len(w)) if w[a : a + len(p)] == p]
     found = []
-    for p, label, k, e, s in license_scan.rules():
+    for p, label, k, e, s in license_rules.rules():
         if k in norm:
             for m in re.finditer(f"(?<= )(?:{e})(?= )", norm):
                 if m.end() > m.start():
@@ -464,19 +481,68 @@ LICENSES = [
 def test_license_scan(spark, cases, empty):
     more = spark.createDataFrame([(i, t) for i, t in enumerate(LICENSES)], "doc_id long, text string")
     columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
-    assert len(license_scan.rules()) > 250
+    assert len(license_rules.rules()) > 250
     for df in (cases, more, docs(spark)):
         got = spark_rows(license_scan.license_scan(df), columns)
         assert got == sorted(((i, *brute_license(t)) for i, t in rows_of(df)), key=repr)
     assert license_scan.license_scan(empty).count() == 0
 
 
-def test_license_gate():
-    gate = re.compile(license_scan.GATE)
-    for _, _, _, e, _ in license_scan.rules():
-        # each rule's own wording opens the gate
-        parts = re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", re.sub(r"\(\?: [^()]*\)\?", "", e))
-        assert gate.search(f" {parts} ".replace("[cs]", "c")) or "{" in parts, e
+def samples(expression, rng):
+    """A text that an expression matches, with random choices."""
+    from re import _constants as c
+    from re import _parser
+
+    def walk(parts):
+        out = ""
+        for op, arg in parts:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op is c.SUBPATTERN:
+                out += walk(arg[3])
+            elif op is c.BRANCH:
+                out += walk(arg[1][rng.integers(len(arg[1]))])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                most = 12 if arg[2][0][0] is c.IN and "+" in expression else arg[1]  # only a word may be long
+                out += "".join(walk(arg[2]) for _ in range(rng.integers(arg[0], most + 1)))
+            elif op is c.IN:
+                kind, what = arg[rng.integers(len(arg))]
+                out += "7" if kind is c.CATEGORY else chr(what) if kind is c.LITERAL else chr(rng.integers(what[0], what[1] + 1))
+            else:
+                raise AssertionError(op)
+        return out
+
+    return walk(_parser.parse(expression))
+
+
+def test_license_gate_opens_for_every_rule():
+    rng = np.random.default_rng(0)
+    for p, label, keyword, expression, score in license_rules.rules():
+        for _ in range(40):
+            text = samples(expression, rng)
+            assert keyword in text, (text, keyword)
+            raw = re.sub(" ", lambda m: rng.choice([" ", "-", ", \n", "/"]), text)
+            assert any(s in raw for s in license_rules.STEMS) or re.search(license_rules.CC_BY, raw), raw
+            assert 0 < len(text.split()) <= license_rules.LONGEST and "\x01" not in text
+
+
+def test_every_license_rule_is_found(spark):
+    rng = np.random.default_rng(1)
+    texts = [(i, "x " + samples(e, rng).upper() + " y") for i, _, _, e, _ in license_rules.rules()]
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    got = license_scan.license_scan(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert spark_rows(got, columns) == sorted(((i, *brute_license(t)) for i, t in texts), key=repr)
+    assert all(r["labels"] for r in got.collect())
+
+
+def test_license_scan_of_many_hits_is_quick(spark):
+    import time
+
+    license_scan.license_scan(spark.createDataFrame([(0, LICENSES[0])], "doc_id long, text string")).collect()
+    start = time.time()
+    r = license_scan.license_scan(spark.createDataFrame([(1, "Licensed under the MIT license. " * 50_000 + "mit license " * 50_000)], "doc_id long, text string")).first()
+    assert time.time() - start < 40
+    assert r["n_base"] == 100_000 and r["labels"] == "mit" and len(r["detections"]) == 100_000
 
 
 # 8 -------------------------------------------------------------------------
