@@ -96,7 +96,7 @@ def _sigmoid(x):
 
 def informative(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades: int, least_g: float = 24.0) -> np.ndarray:
     """Slots whose presence depends on the grade, by a G-test: invented and rare words are mostly noise."""
-    size = 1 << LOG2_WEIGHTS
+    size = int(slot.max(initial=-1)) + 1
     total = np.bincount(slot, minlength=size).astype(float)
     g = np.zeros(size)
     for k in range(n_grades):
@@ -113,16 +113,16 @@ def fit_ordinal(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades:
     With ``lowering`` weights are held at or below 0: text can only speak against a
     document, so a short one is not rejected for want of evidence.
     """
-    size = 1 << LOG2_WEIGHTS
     n = max(len(grade), 1)
-    telling = informative(doc, slot, grade, n_grades) if screen is None else screen
-    common = (np.bincount(slot, minlength=size) >= least) & telling
+    known, slot = np.unique(slot, return_inverse=True)  # far fewer than there are weights
+    telling = informative(doc, slot, grade, n_grades) if screen is None else screen[known]
+    common = (np.bincount(slot, minlength=len(known)) >= least) & telling
     doc, slot = doc[common[slot]], slot[common[slot]]
     share = np.array([((grade > k).sum() + 0.5) / (n + 1) for k in range(n_grades - 1)])
     start = np.maximum.accumulate(-np.log(share / (1 - share)) + np.arange(n_grades - 1) * 1e-3)
     if len(np.unique(grade)) < 2:
         only = int(grade[0]) if len(grade) else n_grades - 1
-        return Ordinal(np.zeros(size, np.float32), np.where(np.arange(n_grades - 1) < only, -40.0, 40.0))
+        return Ordinal(np.zeros(1 << LOG2_WEIGHTS, np.float32), np.where(np.arange(n_grades - 1) < only, -40.0, 40.0))
     used, slot = np.unique(slot, return_inverse=True)
     size, weights = len(used), np.zeros(len(used))
     # rarer grades weigh more, by the square root of how much rarer they are
@@ -154,7 +154,7 @@ def fit_ordinal(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades:
             np.minimum(weights, 0, out=weights)
     cuts = np.concatenate([[free[0]], free[0] + np.cumsum(np.exp(free[1:]))])
     every = np.zeros(1 << LOG2_WEIGHTS, np.float32)
-    every[used] = weights
+    every[known[used]] = weights
     return Ordinal(every, cuts)
 
 
@@ -172,8 +172,8 @@ def fit_grades(docs: DataFrame, graded: DataFrame, n_grades: int, most: int = SA
     sample = labelled_sample(docs, graded, ["grade"], most).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"), "text")
     rows = sample.mapInArrow(hashed, "doc_id long, grade int, slots binary").toPandas().sort_values(["doc_id", "slots"])  # at most `most` rows
     slots = [np.frombuffer(s, np.int32) for s in rows["slots"]]
-    doc = np.repeat(np.arange(len(slots)), [len(s) for s in slots])
-    slot = np.concatenate(slots).astype(np.int64) if slots else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(slots), dtype=np.int32), [len(s) for s in slots])
+    slot = np.concatenate(slots) if slots else np.zeros(0, np.int32)
     return fit_ordinal(doc, slot, rows["grade"].to_numpy(np.int64), n_grades)
 
 
