@@ -3,16 +3,21 @@
 A window is ``size`` consecutive words of one document.  A word is removed if a window
 that covers it also starts in a document with a smaller id.
 
-Pass 1 builds one saturating count-min sketch per partition and merges the sketches
-block by block.  A window is counted under its anchor: the ``gram``-word run inside it
-with the least hash.  Equal windows have equal anchors, so the sketch's count of the
-documents that hold the anchor is at least the count of those that hold the window.
-Pass 2 emits only windows whose estimate is two or more and groups these exactly, by a
-96-bit fingerprint of the word sequence.  Hot windows are safe: the minimum is
-pre-aggregated, and the join back can be split by key.
-
-The merged sketch has ``depth * 2**log2_cells`` bits (16 MB by default) whatever the input;
-with a far larger corpus more windows pass it, and none is ever lost.
+A window is counted under its anchor: the ``gram``-word run inside it with the least hash.
+Equal windows have equal anchors, so the count of the documents that hold an anchor is at
+least the count of those that hold the window.
+
+Pass 1 makes a count-min sketch of each partition (sparse: only cells with a count) and merges
+these by cell.  The sketch has ``2**log2_cells`` cells in each of ``depth`` rows, far more than
+there are anchors, as it is never held whole: cells that are counted twice or more go into
+a bitmap of bounded size that is broadcast.  A corpus that fills the bitmap (some 10**9 anchors) lets more anchors
+pass, which costs pass 2 about a third of the text in shuffled rows at most; none is ever lost.
+
+Pass 2 emits only windows whose estimate is two or more, as runs of consecutive windows with one
+anchor.  Runs are grouped exactly, by a 96-bit fingerprint of all their words: all but the run in
+the least document go.  That run's windows are compared one by one with those of other runs with
+its anchor, by 96-bit fingerprints too.  So copies cost a row for a run, not for a window.  Hot keys
+are safe: minima are pre-aggregated, and rows of hot keys stay where they are.
 
 Defined results: null or empty text has no words; null ids count as larger than any id;
 rows that share an id share their windows and are judged one by one; extra columns are
@@ -28,10 +33,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, window_hash
+from .common import Words, chunks, maybe_in, mix, runs_hash, scratch, spread_join, window_hash
 
-BLOCK_BITS = 18
+LAST = (1 << 63) - 1
 _ROW_SALT = (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_STEP = np.uint64(0xC6A4A7935BD1E995)
 
 
 def _sliding(values: np.ndarray, width: int, op) -> np.ndarray:
@@ -57,113 +63,123 @@ def _anchors(words: Words, size: int, gram: int):
 
 
 def _cells(anchor: np.ndarray, row: int, log2_cells: int) -> np.ndarray:
-    return mix(anchor ^ np.uint64(_ROW_SALT[row])) >> np.uint64(64 - log2_cells)
+    """The anchor's cell in a row of the sketch; the row is part of the number."""
+    return (mix(anchor ^ np.uint64(_ROW_SALT[row])) >> np.uint64(64 - log2_cells) | np.uint64(row << log2_cells)).view(np.int64)
 
 
 def _signed(crc: int) -> int:
     return crc - (1 << 32) if crc >> 31 else crc
 
 
-def merged_sketch(docs: DataFrame, id_col: str, text_col: str, size: int, gram: int, log2_cells: int, depth: int) -> list[np.ndarray]:
-    """For each row of the sketch a packed bit array: set where the merged count is at least 2."""
-    block_bits = min(BLOCK_BITS, log2_cells)
+def _anchors_by_document(texts: list[bytes], size: int, gram: int) -> np.ndarray:
+    """Each anchor once for each document that holds it."""
+    words = Words(texts)
+    at, anchor, _ = _anchors(words, size, gram)
+    if not len(at):
+        return anchor
+    both = np.stack([words.doc[at].astype(np.uint64), anchor])
+    both = both[:, np.lexsort(both)]
+    return both[1, np.append(True, (both[:, 1:] != both[:, :-1]).any(axis=0))]
+
+
+def merged_sketch(docs: DataFrame, text_col: str, size: int, gram: int, log2_cells: int, depth: int) -> DataFrame:
+    """(cell, n): cells of the merged sketch that count two or more documents."""
 
     def sketch(batches):
         import pyarrow as pa
 
-        seen = []
         for _, texts in chunks(batches, text_col):
-            words = Words(texts)
-            at, anchor, _ = _anchors(words, size, gram)
-            if len(at):
-                # once for each document
-                both = np.stack([words.doc[at].astype(np.uint64), anchor])
-                order = np.lexsort(both)
-                both = both[:, order]
-                new = np.append(True, (both[:, 1:] != both[:, :-1]).any(axis=0))
-                seen.append(both[1, new])
-        if not seen:
-            return
-        anchor = np.concatenate(seen)
-        for row in range(depth):
-            cell, count = np.unique(_cells(anchor, row, log2_cells), return_counts=True)
-            block = (cell >> np.uint64(block_bits)).astype(np.int64)
-            edge = np.flatnonzero(np.diff(block, prepend=-1))
-            place = (cell & np.uint64((1 << block_bits) - 1)).astype(np.uint32)
-            many = (count > 1).astype(np.uint8)
-            stop = np.append(edge[1:], len(block))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([row] * len(edge), pa.int32()), pa.array(block[edge], pa.int64()), pa.array([place[a:b].tobytes() for a, b in zip(edge, stop)], pa.binary()), pa.array([many[a:b].tobytes() for a, b in zip(edge, stop)], pa.binary())],
-                names=["row", "block", "place", "many"],
-            )
-
-    def merge(key, pdf):
-        import pandas as pd
-
-        count = np.zeros(1 << block_bits, np.uint8)
-        for place, many in zip(pdf["place"], pdf["many"]):
-            i = np.frombuffer(place, np.uint32)
-            count[i] = np.minimum(count[i] + 1 + np.frombuffer(many, np.uint8), 2)
-        return pd.DataFrame({"row": [key[0]], "block": [key[1]], "bits": [np.packbits(count > 1).tobytes()]})
-
-    parts = docs.select(text_col).mapInArrow(sketch, "row int, block long, place binary, many binary")
-    merged = parts.groupBy("row", "block").applyInPandas(merge, "row int, block long, bits binary")
-    out = [np.zeros((1 << log2_cells) // 8 or 1, np.uint8) for _ in range(depth)]
-    span = (1 << block_bits) // 8 or 1
-    for r in merged.toLocalIterator():  # depth * 2**log2_cells bits at most
-        out[r["row"]][r["block"] * span : (r["block"] + 1) * span] = np.frombuffer(r["bits"], np.uint8)
-    return out
-
+            anchor = _anchors_by_document(texts, size, gram)
+            for row in range(depth):
+                cell, n = np.unique(_cells(anchor, row, log2_cells), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
-def _estimated_repeated(bits: list[np.ndarray], anchor: np.ndarray, log2_cells: int) -> np.ndarray:
-    keep = np.ones(len(anchor), bool)
-    for row, packed in enumerate(bits):
-        cell = _cells(anchor, row, log2_cells)
-        keep &= (packed[(cell >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8))) & 1 == 1
-    return keep
+    counted = docs.select(text_col).mapInArrow(sketch, "cell long, n long")
+    return counted.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, size: int, gram: int, log2_cells: int, depth: int) -> DataFrame:
-    """(h1, h2, doc_id, at) of the windows that the merged sketch takes for repeated; at: the text's CRC-32, then the first word's index."""
-    held = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, id_col, text_col, size, gram, log2_cells, depth))
+def runs(docs: DataFrame, size: int, gram: int, log2_cells: int, depth: int) -> DataFrame:
+    """k, crc, anchor, h1, h2 (fingerprint of all words), first, last (its windows' starts), cells, w1, w2 (the windows' fingerprints) of each run of windows with one anchor; docs: k, text."""
 
     def emit(batches):
         import pyarrow as pa
 
-        for batch, texts in chunks(batches, text_col):
+        names = ["k", "crc", "anchor", "h1", "h2", "first", "last", *[f"cell{r}" for r in range(depth)], "w1", "w2"]
+        for batch, texts in chunks(batches, "text"):
             words = Words(texts)
             at, anchor, hashes = _anchors(words, size, gram)
-            keep = _estimated_repeated(held.value, anchor, log2_cells)
-            at = at[keep]
             if not len(at):
                 continue
-            doc = words.doc[at]
-            crc = np.fromiter((_signed(zlib.crc32(t)) for t in texts), np.int64, len(texts))
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1) | (words.doc[at[1:]] != words.doc[at[:-1]]))
+            edge = np.flatnonzero(new)
+            stop = np.append(edge[1:], len(at))
+            first, last, doc = at[edge], at[stop - 1], words.doc[at[edge]]
+            length = (last - first).astype(np.uint64)
+            full = []
+            for salt in (11, 12):
+                salted = mix(hashes ^ np.uint64(salt * 0x5851F42D4C957F2D & (1 << 64) - 1))
+                full.append(mix(runs_hash(salted, first, last + size, _STEP) ^ mix(length + np.uint64(salt))))
+            crc = np.fromiter((_signed(zlib.crc32(t)) for t in texts), np.int32, len(texts))
+            ends = pa.array(np.append(0, stop).astype(np.int32))
+            w = [window_hash(hashes, at, size, 1).view(np.int64), (window_hash(hashes, at, size, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32)]
+            own = words.first[doc]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(window_hash(hashes, at, size, 1).view(np.int64)),
-                    pa.array((window_hash(hashes, at, size, 2) >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                    batch.column(id_col).take(pa.array(doc)),
-                    pa.array(crc[doc] << 32 | at - words.first[doc]),
+                    batch.column("k").take(pa.array(doc)), pa.array(crc[doc]), pa.array(anchor[edge].view(np.int64)), pa.array(full[0].view(np.int64)), pa.array((full[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    pa.array((first - own).astype(np.int32)), pa.array((last - own).astype(np.int32)), *[pa.array(_cells(anchor[edge], r, log2_cells)) for r in range(depth)],
+                    *[pa.ListArray.from_arrays(ends, pa.array(x)) for x in w],
                 ],
-                names=["h1", "h2", "doc_id", "at"],
-            )
-
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(emit, "h1 long, h2 int, doc_id long, at long")
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 10, log2_cells: int = 26, depth: int = 2) -> DataFrame:
+                names=names,
+            )
+
+    cells = "".join(f"cell{r} long, " for r in range(depth))
+    return docs.mapInArrow(emit, f"k long, crc int, anchor long, h1 long, h2 int, first int, last int, {cells}w1 array<long>, w2 array<int>")
+
+
+def repeated_runs(docs: DataFrame, size: int, gram: int, log2_cells: int, depth: int) -> DataFrame:
+    """The runs whose anchor the merged sketch takes for repeated."""
+    sketch = scratch(merged_sketch(docs, "text", size, gram, log2_cells, depth), "sketch").select("cell")
+    found = runs(docs, size, gram, log2_cells, depth)
+    for r in range(depth):
+        found = maybe_in(found, f"cell{r}", sketch).where("maybe").drop("maybe", f"cell{r}")
+    return found
+
+
+def _later(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): rows with ``least``, the least k of their key, where it is not the only one; groups of two k or more."""
+    groups = rows.groupBy(*key).agg(F.min("k").alias("least"), F.max("k").alias("most"), F.count("*").alias("n")).where("least < most").drop("most")
+    groups = scratch(groups, "groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    return spread_join(rows, groups, key, total), groups
+
+
+def removed_windows(docs: DataFrame, size: int, gram: int, log2_cells: int, depth: int) -> DataFrame:
+    """(k, crc, first, last): ranges of window starts that a document with a smaller id holds too."""
+    found = scratch(repeated_runs(docs, size, gram, log2_cells, depth), "runs")
+    copies, _ = _later(found.select("k", "crc", "h1", "h2", "first", "last"), ["h1", "h2"])
+    gone = scratch(copies.where("k > least").select("k", "crc", "first", "last"), "copies")
+    # of each run its least document's; those whose anchor no other run has need no more
+    kinds = found.groupBy("anchor", "h1", "h2").agg(F.min("k").alias("k"))
+    several = kinds.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    kinds = kinds.join(several, "anchor", "left_semi").select("h1", "h2", "k")
+    kept = found.join(kinds, ["h1", "h2", "k"], "left_semi")
+    windows = kept.select("k", "crc", "first", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")).select("k", "crc", (F.col("first") + F.col("i")).alias("at"), "w.w1", "w.w2")
+    windows = scratch(windows, "windows")
+    single, _ = _later(windows, ["w1", "w2"])
+    return gone.unionByName(single.where("k > least").select("k", "crc", F.col("at").alias("first"), F.col("at").alias("last")))
+
+
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 10, log2_cells: int = 40, depth: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for each row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    windows = repeated_windows(docs, "doc_id", "text", size, gram, log2_cells, depth)
-    last = (1 << 63) - 1
-    windows = windows.withColumn("k", F.coalesce("doc_id", F.lit(last)))
-    least = windows.groupBy("h1", "h2").agg(F.min("k").alias("least"), F.max("k").alias("most")).where("least < most").select("h1", "h2", "least")
-    later = windows.join(least, ["h1", "h2"]).where("k > least")
+    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(LAST)))
+    gone = removed_windows(keyed.select("k", "text"), size, gram, log2_cells, depth)
     # a row is known by its id and its text's CRC-32, as ids may repeat
-    later = later.select("k", F.shiftright("at", 32).cast("int").alias("crc"), F.col("at").bitwiseAND(0xFFFFFFFF).cast("int").alias("pos"))
-    later = later.groupBy("k", "crc").agg(F.collect_set("pos").alias("pos"))
-    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(last))).withColumn("crc", F.shiftright(F.shiftleft(F.crc32("text"), 32), 32).cast("int"))
+    gone = scratch(gone.groupBy("k", "crc").agg(F.collect_list(F.struct("first", "last")).alias("gone")), "gone")
+    keyed = maybe_in(keyed, "k", gone.select("k"))
+    whole = keyed.where("not maybe").select("doc_id", "text", F.lit(None).cast("array<struct<first:int,last:int>>").alias("gone"))
+    touched = keyed.where("maybe").withColumn("crc", F.shiftright(F.shiftleft(F.crc32("text"), 32), 32).cast("int"))
+    touched = touched.join(gone, ["k", "crc"], "left").select("doc_id", "text", "gone")
 
     def keep(batches):
         import pyarrow as pa
@@ -171,23 +187,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch, texts in chunks(batches, "text"):
             words = Words(texts)
             removed, digest, kept_text = [], [], []
-            pos = batch.column("pos")
+            ranges = batch.column("gone")
             for i, text in enumerate(texts):
                 n, a = int(words.count[i]), int(words.first[i])
-                covered = np.zeros(n + 1, np.int32)
-                if pos[i].is_valid:
-                    p = pos[i].values.to_numpy()
-                    np.add.at(covered, p, 1)
-                    np.add.at(covered, np.minimum(p + size, n), -1)
-                gone = np.cumsum(covered)[:n] > 0
-                if gone.any():
-                    left = np.flatnonzero(~gone)
+                covered = np.zeros(n + 1, np.int64)
+                if ranges[i].is_valid:
+                    first, last = (ranges[i].values.field(f).to_numpy() for f in ("first", "last"))
+                    np.add.at(covered, first, 1)
+                    np.add.at(covered, np.minimum(last + size, n), -1)
+                lost = np.cumsum(covered)[:n] > 0
+                if lost.any():
+                    left = np.flatnonzero(~lost)
                     kept = b" ".join(words.joined[s:e] for s, e in zip(words.start[a + left].tolist(), words.end[a + left].tolist()))
                 else:
                     kept = b" ".join(text.split())
-                removed.append(int(gone.sum()))
+                removed.append(int(lost.sum()))
                 digest.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept.decode("utf-8"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words.count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(kept_text, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
-    return keyed.join(later, ["k", "crc"], "left").select("doc_id", "text", "pos").mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return whole.unionByName(touched).mapInArrow(keep, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

@@ -14,6 +14,7 @@ from statloom.llm import common, license_rules, license_scan, line_dedup, media,
 from statloom.llm.union_find import components
 
 SF = "/root/testdata/sf0.001"
+LONG_PASSAGE = " ".join(f"passage{i}" for i in range(90))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -63,7 +64,7 @@ def brute_removed(rows, size=50):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("log2_cells", [26, 8])
+@pytest.mark.parametrize("log2_cells", [40, 8])
 def test_substring_dedup_cases(cases, log2_cells):
     got = substring_dedup.substring_dedup(cases, log2_cells=log2_cells)
     assert spark_rows(got, ["doc_id", "n_words", "n_removed", "kept_sha256"]) == brute_removed(rows_of(cases))
@@ -77,16 +78,33 @@ def test_substring_dedup_oracle(spark):
 
 
 def test_sketch_overestimates(spark):
-    bits = substring_dedup.merged_sketch(docs(spark), "doc_id", "text", 50, 10, 20, 2)
-    w = substring_dedup.Words([t.encode() for _, t in rows_of(docs(spark))])
+    """However narrow the sketch, every window of two documents passes; with the given width about as many as there are."""
+    frame = docs(spark).selectExpr("doc_id as k", "text")
+    texts = [t.encode() for _, t in rows_of(docs(spark))]
+    w = substring_dedup.Words(texts)
     at, anchor, hashes = substring_dedup._anchors(w, 50, 10)
-    key = substring_dedup.window_hash(hashes, at, 50, 1)
-    seen = defaultdict(set)
-    for d, k in zip(w.doc[at].tolist(), key.tolist()):
-        seen[k].add(d)
-    repeated = np.array([len(seen[k]) > 1 for k in key.tolist()])
-    kept = substring_dedup._estimated_repeated(bits, anchor, 20)
-    assert repeated.any() and kept[repeated].all() and not kept.all()
+    seen, held = defaultdict(set), defaultdict(set)
+    for d, key, a in zip(w.doc[at].tolist(), substring_dedup.window_hash(hashes, at, 50, 1).view(np.int64).tolist(), anchor.tolist()):
+        seen[key].add(d)
+        held[a].add(d)
+    repeated = {k for k, d in seen.items() if len(d) > 1}
+    true = sum(len(held[a]) > 1 for a in anchor.tolist())
+    for log2_cells, most in ((40, true), (14, len(at))):
+        found = substring_dedup.repeated_runs(frame, 50, 10, log2_cells, 2).select("w1").collect()
+        passed = [x for r in found for x in r["w1"]]
+        assert repeated <= set(passed) and true <= len(passed) <= 1.02 * most
+    assert repeated and true < len(at) / 2
+
+
+@pytest.mark.parametrize("copies", [1, 10, 100])
+def test_sketch_holds_at_more_load(spark, copies):
+    """The share of anchors that pass stays the true one when there are 10 and 100 times as many."""
+    F = __import__("pyspark").sql.functions
+    words = F.transform(F.sequence(F.lit(1), F.lit(120)), lambda j: F.concat(F.lit("w"), F.xxhash64("id", j).cast("string")))
+    frame = spark.range(60 * copies).select(F.col("id").alias("k"), F.concat_ws(" ", words).alias("text"))
+    frame = frame.withColumn("text", F.when(F.col("k") % 10 == 0, F.lit("same " * 5 + LONG_PASSAGE)).otherwise(F.col("text")))
+    found = substring_dedup.repeated_runs(frame, 50, 10, 40, 2)
+    assert found.where("k % 10 <> 0").count() == 0 and found.select("k").distinct().count() == 6 * copies
 
 
 # 2 -------------------------------------------------------------------------
