@@ -66,12 +66,26 @@ def typed(c: Column, kind: str) -> Column:
     return F.when(plain.rlike(REAL), plain.try_cast("double"))
 
 
+#: Suffix of a column that holds the text of cells which do not fit their column's type.
+RAW = "_raw"
+
+
 def apply_types(raw: DataFrame, names: list[str], kinds: list[str]) -> DataFrame:
-    return raw.select(*[typed(F.col(f"`{c}`"), k).alias(n) for c, n, k in zip(raw.columns, names, kinds)])
+    """Typed columns; one with cells that do not fit gets a neighbour with their text, so that nothing is lost."""
+    bad = {r["column"] for r in outliers(raw, names, kinds).collect()}  # a row for each column at most
+    out = []
+    for c, n, k in zip(raw.columns, names, kinds):
+        cell = F.col(f"`{c}`")
+        out.append(typed(cell, k).alias(n))
+        if n in bad:
+            out.append(F.when((F.trim(cell) != "") & typed(cell, k).isNull(), cell).alias(unique_names([*names, n + RAW])[-1]))
+    return raw.select(*out)
 
 
 def outliers(raw: DataFrame, names: list[str], kinds: list[str]) -> DataFrame:
-    """column, cells: cells that have text but not their column's type; the import report."""
-    counts = [F.count_if((F.trim(F.col(f"`{c}`")) != "") & typed(F.col(f"`{c}`"), k).isNull()).alias(f"c{i}") for i, (c, k) in enumerate(zip(raw.columns, kinds))]
-    one = raw.agg(*counts)
-    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"c{i}").alias("cells")) for i, n in enumerate(names)])).alias("x")).select("x.*").where("cells > 0")
+    """column, cells: cells that have text but not their column's type, over all rows; the import report."""
+    checked = [(c, n, k) for c, n, k in zip(raw.columns, names, kinds) if k != "text"]
+    if not checked:
+        return raw.sparkSession.createDataFrame([], "column string, cells long")
+    one = raw.agg(*[F.count_if((F.trim(F.col(f"`{c}`")) != "") & typed(F.col(f"`{c}`"), k).isNull()).alias(f"c{i}") for i, (c, _, k) in enumerate(checked)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"c{i}").alias("cells")) for i, (_, n, _) in enumerate(checked)])).alias("x")).select("x.*").where("cells > 0")

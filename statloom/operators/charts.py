@@ -31,6 +31,8 @@ def filter_values(frames: list[DataFrame], column: str, most: int = 100) -> Data
 
 def aggregate(df: DataFrame, x: str | Column, y: str | None, agg: str = "avg", series: str | None = None, facets: list[str] = ()) -> DataFrame:
     """x, [series], [facets], y: one row for each mark of a line or bar chart."""
+    if agg == "none":
+        return raw_points(df, x, y, series, facets)
     if agg not in AGGREGATES:
         raise ValueError(f"unknown aggregate {agg}")
     x = F.col(x) if isinstance(x, str) else x
@@ -43,6 +45,35 @@ def aggregate(df: DataFrame, x: str | Column, y: str | None, agg: str = "avg", s
     return marks.select(*by, value.alias("_y")).groupBy(*names).agg(AGGREGATES[agg](F.col("_y")).alias("y"))
 
 
+def raw_points(df: DataFrame, x: str | Column, y: str, series: str | None = None, facets: list[str] = (), rows: int = 20_000) -> DataFrame:
+    """x, y, [series], [facets]: rows as they are, the first so many by x and y."""
+    x = F.col(x) if isinstance(x, str) else x
+    points = df.select(x.alias("x"), F.col(y).alias("y"), *([F.col(series).alias("series")] if series else []), *[F.col(c).alias(f"facet{i}") for i, c in enumerate(facets, 1)])
+    return points.orderBy(*points.columns).limit(rows)
+
+
+def capped_series(marks: DataFrame, most: int = 8) -> tuple[DataFrame, list[str]]:
+    """(marks of the first series by name, notes): what a chart can tell apart."""
+    names = [r[0] for r in marks.select(F.coalesce(F.col("series").cast("string"), F.lit("(null)")).alias("s")).distinct().orderBy("s").limit(most + 1).collect()]
+    if len(names) <= most:
+        return marks, []
+    return marks.where(F.coalesce(F.col("series").cast("string"), F.lit("(null)")).isin(names[:most])), [f"the first {most} series are shown"]
+
+
+def capped_bars(marks: DataFrame, most: int = 60, each: int = 20) -> tuple[DataFrame, list[str]]:
+    """(bars of the first categories by x, at most so many for a category and series; notes)."""
+    from pyspark.sql.window import Window
+
+    kept = marks.where("y is not null")
+    first = [r[0] for r in kept.select("x").distinct().orderBy("x").limit(most + 1).collect()]
+    notes = [f"the first {most} categories are shown"] if len(first) > most else []
+    if notes:
+        kept = kept.where(F.col("x") < F.lit(first[most]))
+    by = [c for c in kept.columns if c != "y"]
+    numbered = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy("y")))
+    return numbered.where(F.col("_n") <= each).drop("_n"), notes
+
+
 def table(df: DataFrame, order: list[str], rows: int = 500) -> DataFrame:
     return df.orderBy(*order).limit(rows)
 
@@ -111,13 +142,36 @@ def chart(df: DataFrame, spec: dict) -> DataFrame:
     return _CHARTS[kind](dashboard_filter(df, filters), **spec)
 
 
-for _kind, _build in (("table", table), ("scatter", scatter), ("line", aggregate), ("bar", aggregate), ("histogram", histogram), ("wafer", die_map)):
+def control_chart(df: DataFrame, x: str, value: str, agg: str = "avg") -> DataFrame:
+    from . import series as S
+
+    return S.spc(S.series(df, x, value, [], agg))
+
+
+for _kind, _build in (("table", table), ("scatter", scatter), ("line", aggregate), ("bar", aggregate), ("histogram", histogram), ("wafer", die_map), ("spc", control_chart)):
     register_chart(_kind, _build)
 
 
-def guess_yield_columns(columns: list[str]) -> dict[str, str | None]:
-    """Columns of a yield chart by their names."""
-    def first(*parts: str) -> str | None:
-        return next((c for p in parts for c in columns if p in c.lower()), None)
+def guess_yield_columns(fields: list[tuple[str, str] | str]) -> dict[str, str | None]:
+    """Columns of a yield chart by parts of their names; fields: (name, type name), or names alone.  Without a match x is the first column and y the first numeric one."""
+    fields = [(f, "real") if isinstance(f, str) else f for f in fields]
+    numeric = [n for n, kind in fields if kind in ("integer", "real")]
+
+    def first(names: list[str], *parts: str) -> str | None:
+        return next((n for n in names if any(p in n.lower() for p in parts)), None)
+
+    every = [n for n, _ in fields]
+    # fixed values: parts of column names, English and Japanese
+    return {
+        "x": first(every, "date", "time", "day", "lot", "日付", "日時") or (every[0] if every else None),
+        "y": first(numeric, "yield", "歩留") or (numeric[0] if numeric else None),
+        "series": first(every, "tool", "装置", "equip"),
+    }
+
 
-    return {"x": first("lot", "date", "time"), "y": first("yield", "value"), "series": first("tool", "machine", "product")}
+def yield_charts(dataset: str, x: str, y: str, series: str | None = None) -> list[dict]:
+    """The two charts of the yield preset: the mean by x (and series), and its control chart."""
+    if not x or not y or x == y:
+        raise ValueError("an order column and another, measured one are needed")
+    line = {"type": "line", "x": x, "y": y, "agg": "avg"} | ({"series": series} if series else {})
+    return [{"name": f"{y} by {x} ({dataset})", "source": dataset, "spec": line}, {"name": f"control chart of {y} ({dataset})", "source": dataset, "spec": {"type": "spc", "x": x, "value": y, "agg": "avg"}}]

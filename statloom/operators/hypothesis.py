@@ -1,7 +1,7 @@
 """Hypothesis tests: Spark aggregates sufficient statistics, a few lines of Python finish them.
 
-Rank tests first aggregate to distinct values; their average ranks come from running counts,
-so no window runs over raw rows.
+Rank tests first aggregate to distinct values; their average ranks come from running counts
+within buckets of values, so no window runs over raw rows, nor over all distinct values at once.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import dist as D
 from ..types import finite
+from .running import quantiles, running_counts
 
 #: Groups and categories at most.
 MOST_GROUPS = 50
@@ -42,6 +43,15 @@ class TestResult:
     ci_high: float | None = None
     n: int = 0
     warnings: list[str] = field(default_factory=list)
+    #: What a run adds: pairs after a significant overall test, or why there are none; correction and approximate power.
+    posthoc: list[dict] = field(default_factory=list)
+    posthoc_note: str | None = None
+    correction: str = "none"
+    power: float | None = None
+
+    @property
+    def p_text(self) -> str:
+        return D.format_p(self.p)
 
     @property
     def magnitude(self) -> str | None:
@@ -61,6 +71,8 @@ def magnitude(name: str | None, effect: float | None) -> str | None:
 
 def result_frame(spark: SparkSession, r: TestResult) -> DataFrame:
     row = asdict(r) | {"warnings": "; ".join(r.warnings), "magnitude": r.magnitude}
+    for k in ("posthoc", "posthoc_note", "correction", "power"):
+        del row[k]
     row = {k: float(v) if v is not None and k in ("statistic", "p", "df", "df2", "effect", "estimate", "ci_low", "ci_high") else v for k, v in row.items()}
     return spark.createDataFrame([tuple(row.values())], "test string, statistic double, p double, df double, df2 double, effect_name string, effect double, estimate double, ci_low double, ci_high double, n long, warnings string, magnitude string")
 
@@ -88,9 +100,8 @@ def pair_moments(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def tie_ranks(values: DataFrame, by: list[str] = ()) -> DataFrame:
     """v, n, [by]..., rank, ties: values has a row for each distinct v with its count n; the rank is the average one."""
-    order = Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n").over(order), F.lit(0))
-    return values.withColumn("rank", before + (F.col("n") + 1) / 2).withColumn("ties", F.pow("n", F.lit(3)) - F.col("n"))
+    ranked = running_counts(values, by).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    return ranked.withColumn("ties", F.pow("n", F.lit(3)) - F.col("n")).drop("before")
 
 
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -191,7 +202,7 @@ def f_var(a, b) -> TestResult:
 def levene_groups(df: DataFrame, group: str, value: str) -> DataFrame:
     """label, n, mean, var of distances from the group's median."""
     v = df.select(F.col(group).cast("string").alias("label"), finite(value).alias("v")).where("label is not null and v is not null")
-    middle = v.groupBy("label").agg(F.median("v").alias("m"))
+    middle = quantiles(v.groupBy("label", "v").agg(F.count("*").alias("n")), ["label"], [0.5]).withColumnRenamed("q0", "m")
     # a row for each group, at most MOST_GROUPS of which are used
     far = v.join(middle, "label").select("label", F.abs(F.col("v") - F.col("m")).alias("d"))
     return far.groupBy("label").agg(F.count("*").alias("n"), F.avg("d").alias("mean"), F.coalesce(F.var_samp("d"), F.lit(0.0)).alias("var")).orderBy("label")
@@ -266,14 +277,32 @@ def chi_square(counts: list[list[int]]) -> TestResult:
     return TestResult("chi_square", x, D.chi2_sf(x, df), df, None, "cramer_v", v, n=n, warnings=["expected counts below 5"] if min(map(min, expected)) < 5 else [])
 
 
+def _no_likelier(seen: int, low: int, high: int, mode: int, sd: float, log_p, ratio) -> float:
+    """Sum of the probabilities from low to high that are no larger than that of seen.
+
+    Only what lies within 40 standard deviations of the mode is summed, by ratios of
+    neighbours: work grows with the square root of the counts.
+    """
+    import numpy as np
+
+    reach = int(40 * sd) + 50
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    if not first <= seen <= last:
+        return 0.0
+    x = np.arange(first, last + 1, dtype=float)
+    logs = log_p(first) + np.concatenate([[0.0], np.cumsum(np.log(ratio(x[:-1])))])
+    return float(np.exp(logs[logs <= logs[seen - first] + 1e-7]).sum())
+
+
 def fisher(counts: list[list[int]]) -> TestResult:
     if len(counts) != 2 or len(counts[0]) != 2:
         raise TestError("needs a 2 x 2 table")
     (a, b), (c, d) = counts
     r, k, n = a + b, a + c, a + b + c + d
+    low, high = max(0, k - (n - r)), min(r, k)
     log_p = lambda x: D.log_choose(r, x) + D.log_choose(n - r, k - x) - D.log_choose(n, k)
-    seen = log_p(a)
-    p = sum(math.exp(q) for x in range(max(0, k - (n - r)), min(r, k) + 1) if (q := log_p(x)) <= seen + 1e-7)
+    sd = math.sqrt(r * k * (n - r) * (n - k) / (n * n * (n - 1))) if n > 1 else 0.0
+    p = _no_likelier(a, low, high, min(high, max(low, (r + 1) * (k + 1) // (n + 2))), sd, log_p, lambda x: (r - x) * (k - x) / ((x + 1) * (n - r - k + x + 1)))
     odds = a * d / (b * c) if b * c else math.inf
     return TestResult("fisher", odds, min(1.0, p), None, None, "odds_ratio", odds, n=n)
 
@@ -282,8 +311,7 @@ def binomial(k: int, n: int, p0: float = 0.5, alpha: float = 0.05) -> TestResult
     if not 0 < p0 < 1 or n < 1:
         raise TestError("needs a value, and p0 between 0 and 1")
     log_p = lambda x: D.log_choose(n, x) + x * math.log(p0) + (n - x) * math.log1p(-p0)
-    seen = log_p(k)
-    p = math.fsum(math.exp(q) for x in range(n + 1) if (q := log_p(x)) <= seen + 1e-7)
+    p = _no_likelier(k, 0, n, min(n, int((n + 1) * p0)), math.sqrt(n * p0 * (1 - p0)), log_p, lambda x: (n - x) / (x + 1) * (p0 / (1 - p0)))
     share, z = k / n, D.normal_ppf(1 - alpha / 2)
     centre, half = (share + z * z / (2 * n)) / (1 + z * z / n), z * math.sqrt(share * (1 - share) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     h = 2 * math.asin(math.sqrt(share)) - 2 * math.asin(math.sqrt(p0))
@@ -321,8 +349,18 @@ def weighted_moments(pairs: DataFrame) -> DataFrame:
     return p.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("dx") * F.col("dx")).alias("vx"), F.sum(F.col("c") * F.col("dy") * F.col("dy")).alias("vy"), F.sum(F.col("c") * F.col("dx") * F.col("dy")).alias("cxy"))
 
 
+def _inversions(y):
+    """(pairs in falling order, y sorted), by merging halves."""
+    import numpy as np
+
+    if len(y) < 2:
+        return 0, y
+    (m, left), (n, right) = (_inversions(h) for h in (y[: len(y) // 2], y[len(y) // 2 :]))
+    return m + n + int((len(left) - np.searchsorted(left, right, side="right")).sum()), np.sort(np.concatenate([left, right]), kind="stable")
+
+
 def kendall(df: DataFrame, x: str, y: str) -> TestResult:
-    """Tau-b; concordance is counted over distinct pairs by inversion counting on at most KENDALL_ROWS rows."""
+    """Tau-b of at most KENDALL_ROWS rows, by counting inversions of y in the order of x."""
     cells = df.select(finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null")
     rows = cells.limit(KENDALL_ROWS + 1).collect()
     n = len(rows)
@@ -333,14 +371,13 @@ def kendall(df: DataFrame, x: str, y: str) -> TestResult:
     import numpy as np
 
     a, b = (np.array([r[i] for r in rows]) for i in (0, 1))
-    s = 0
-    for i in range(1, n):
-        s += int((np.sign(a[i] - a[:i]) * np.sign(b[i] - b[:i])).sum())
     t, u = (np.unique(v, return_counts=True)[1].astype(float) for v in (a, b))
     pairs = n * (n - 1) / 2
     tx, ty = (t * (t - 1) / 2).sum(), (u * (u - 1) / 2).sum()
     if tx == pairs or ty == pairs:
         raise TestError("all values are equal")
+    txy = np.unique(np.stack([a, b]), axis=1, return_counts=True)[1].astype(float)
+    s = pairs - tx - ty + (txy * (txy - 1) / 2).sum() - 2 * _inversions(b[np.lexsort((b, a))])[0]
     tau = s / math.sqrt((pairs - tx) * (pairs - ty))
     var = (n * (n - 1) * (2 * n + 5) - (t * (t - 1) * (2 * t + 5)).sum() - (u * (u - 1) * (2 * u + 5)).sum()) / 18
     var += (t * (t - 1)).sum() * (u * (u - 1)).sum() / (2 * n * (n - 1))
@@ -412,9 +449,7 @@ MODES = {
 }
 
 
-def run_test(df: DataFrame, test: str, *, group: str | None = None, value: str | None = None, x: str | None = None, y: str | None = None, row: str | None = None, column: str | None = None, success: str | None = None, mu0: float = 0.0, p0: float = 0.5, alpha: float = 0.05) -> TestResult:
-    if not 0 < alpha < 0.5:
-        alpha = 0.05
+def _run(df: DataFrame, test: str, *, group: str | None = None, value: str | None = None, x: str | None = None, y: str | None = None, row: str | None = None, column: str | None = None, success: str | None = None, mu0: float = 0.0, p0: float = 0.5, alpha: float = 0.05) -> TestResult:
     if test in MODES["groups"]:
         if test in ("mann_whitney", "kruskal"):
             sums = rank_sums(df, group, value).limit(MOST_GROUPS + 1).collect()
@@ -453,24 +488,58 @@ def run_test(df: DataFrame, test: str, *, group: str | None = None, value: str |
     raise TestError(f"unknown test {test}")
 
 
-def posthoc(df: DataFrame, group: str, value: str, test: str, correction: str = "holm") -> list[dict]:
+def run_test(df: DataFrame, test: str, *, correction: str = "none", alpha: float = 0.05, **columns) -> TestResult:
+    """The test's result with approximate power (t-tests) and, after a significant overall test of three or more groups, corrected pairs."""
+    alpha = alpha if 0 < alpha < 0.5 else 0.05
+    r = _run(df, test, alpha=alpha, **columns)
+    r.correction = {"fdr": "bh", "benjamini-hochberg": "bh"}.get(correction, correction)
+    if r.correction not in ("bonferroni", "holm", "bh", "by"):
+        r.correction = "none"
+    if r.effect is not None and test in ("welch_t", "student_t"):
+        r.power = power(r.effect, *[g["n"] for g in _groups(df, columns["group"], columns["value"])], alpha=alpha)
+    elif r.effect is not None and test in ("paired_t", "one_sample_t"):
+        r.power = power(r.effect, r.n, alpha=alpha)
+    if test in ("anova", "welch_anova", "kruskal"):
+        if r.p < alpha:
+            r.posthoc = posthoc(df, columns["group"], columns["value"], test, r.correction, alpha)
+        else:
+            r.posthoc_note = "pairs are compared only after a significant overall test"
+    return r
+
+
+def pair_rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
+    """a, b, label, n, rank_sum, ties: rank sums within each pair of groups a < b, all pairs in one job."""
+    v = df.select(F.col(group).cast("string").alias("label"), finite(value).alias("v")).where("label is not null and v is not null")
+    cells = v.groupBy("v", "label").agg(F.count("*").alias("c"))
+    labels = cells.select(F.col("label").alias("other")).distinct()  # at most MOST_GROUPS rows
+    pairs = cells.join(F.broadcast(labels), F.col("label") != F.col("other")).select(F.least("label", "other").alias("a"), F.greatest("label", "other").alias("b"), "label", "v", "c")
+    ranked = tie_ranks(pairs.groupBy("a", "b", "v").agg(F.sum("c").alias("n")), ["a", "b"]).select("a", "b", "v", "rank", "ties")
+    # a tie's term once for each value, whichever group's row has it
+    first = F.row_number().over(Window.partitionBy("a", "b", "v").orderBy("label")) == 1
+    both = pairs.join(ranked, ["a", "b", "v"]).withColumn("ties", F.when(first, F.col("ties")).otherwise(0.0))
+    sums = both.groupBy("a", "b", "label").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("rank_sum"), F.sum("ties").alias("_t"))
+    return sums.withColumn("ties", F.sum("_t").over(Window.partitionBy("a", "b"))).drop("_t").orderBy("a", "b", "label")
+
+
+def posthoc(df: DataFrame, group: str, value: str, test: str, correction: str = "holm", alpha: float = 0.05) -> list[dict]:
     """All pairs of three or more groups: Welch after a test of means, Mann-Whitney after kruskal."""
+    rows = _groups(df, group, value)
+    if len(rows) < 3:
+        return []
     pairs = []
     if test == "kruskal":
-        labels = [r["label"] for r in _groups(df, group, value)]
-        for i, a in enumerate(labels):
-            for b in labels[i + 1 :]:
-                r = mann_whitney(rank_sums(df.where(F.col(group).cast("string").isin([a, b])), group, value).collect())
-                pairs.append({"a": a, "b": b, "statistic": r.statistic, "p": r.p, "effect": r.effect})
+        sums = pair_rank_sums(df, group, value).collect()  # two rows a pair of at most MOST_GROUPS groups
+        for one, two in zip(sums[0::2], sums[1::2]):
+            r = mann_whitney([one, two])
+            pairs.append({"a": one["a"], "b": one["b"], "statistic": r.statistic, "p": r.p, "effect": r.effect})
     else:
-        rows = _groups(df, group, value)
         for i, a in enumerate(rows):
             for b in rows[i + 1 :]:
                 r = two_sample_t(*[(g["n"], g["mean"], g["var"]) for g in (a, b)])
                 pairs.append({"a": a["label"], "b": b["label"], "statistic": r.statistic, "p": r.p, "effect": r.effect, "difference": r.estimate})
     for pair, q in zip(pairs, adjust([p["p"] for p in pairs], correction)):
-        pair["p_adjusted"] = q
-    return pairs if len({x for p in pairs for x in (p["a"], p["b"])}) >= 3 else []
+        pair["p_adjusted"], pair["significant"] = q, q < alpha
+    return pairs
 
 
 def tool_difference(df: DataFrame, group: str, value: str) -> dict:
@@ -489,55 +558,76 @@ def tool_difference(df: DataFrame, group: str, value: str) -> dict:
     }
 
 
+INTENTS = {"groups": "compare groups", "paired": "compare paired values", "two_numeric": "relate two measures", "categorical": "relate two categories", "one_sample": "compare with a value", "proportion": "compare a share with a value"}
+
+
+def _normality(row, what: str) -> dict:
+    """The Jarque-Bera check as an assumption; below eight values it cannot run and counts as met."""
+    return {"name": f"normality of {what}", "test": "jarque_bera", "statistic": row["jb"], "p": row["p"], "passed": row["p"] is None or row["p"] >= 0.05}
+
+
+def _summary(label: str, n: int, mean: float, var: float | None) -> dict:
+    return {"label": label, "n": n, "mean": mean, "sd": math.sqrt(var or 0.0)}
+
+
 def advise(df: DataFrame, mode: str, **columns) -> dict:
-    """Which test suits the data, with reasons, alternatives and warnings."""
-    reasons, warnings, alternatives = [], [], []
-    if mode == "groups":
+    """Which test suits the data: intent, primary, alternatives, reasons, warnings, assumptions, group_summaries, available."""
+    reasons, warnings, alternatives, assumptions, summaries = [], [], [], [], []
+    intent = INTENTS.get("paired" if columns.get("paired") else mode, mode)
+    looks = lambda c, what: f"{what} {'look' if c['passed'] else 'do not look'} normal"
+    if mode == "groups" and columns.get("paired"):
+        x, y = columns["x"], columns["y"]
+        m = pair_moments(df, x, y).first()
+        summaries = [_summary(x, m["n"], m["mx"], m["vx"]), _summary(y, m["n"], m["my"], m["vy"])]
+        check = _normality(jarque_bera_frame(df.select((finite(x) - finite(y)).alias("d")), "d").first(), "differences")
+        assumptions, reasons = [check], [looks(check, "differences")]
+        primary, other = ("paired_t", "wilcoxon") if check["passed"] else ("wilcoxon", "paired_t")
+        alternatives = [other]
+    elif mode == "groups":
         group, value = columns["group"], columns["value"]
-        if columns.get("paired"):
-            x, y = columns["x"], columns["y"]
-            jb = jarque_bera_frame(df.select((finite(x) - finite(y)).alias("d")), "d").first()
-            normal = jb["p"] is None or jb["p"] >= 0.05
-            return {"primary": "paired_t" if normal else "wilcoxon", "alternatives": ["wilcoxon" if normal else "paired_t"], "reasons": [f"differences {'look' if normal else 'do not look'} normal"], "warnings": []}
         rows = _groups(df, group, value)
         if len(rows) < 2:
             raise TestError("needs two groups")
-        means = df.select(F.col(group).cast("string").alias("label"), finite(value).alias("v")).where("label is not null and v is not null")
-        residual = means.join(group_moments(df, group, value).select("label", "mean"), "label").select((F.col("v") - F.col("mean")).alias("e"))
-        jb = jarque_bera_frame(residual, "e").first()
-        normal = jb["p"] is None or jb["p"] >= 0.05
+        summaries = [_summary(r["label"], r["n"], r["mean"], r["var"]) for r in rows]
+        v = df.select(F.col(group).cast("string").alias("label"), finite(value).alias("v")).where("label is not null and v is not null")
+        residual = v.join(group_moments(df, group, value).where("n > 1").select("label", "mean"), "label").select((F.col("v") - F.col("mean")).alias("e"))
+        normal = _normality(jarque_bera_frame(residual, "e").first(), "residuals")
         try:
-            equal = run_test(df, "levene", group=group, value=value).p >= 0.05
+            r = _run(df, "levene", group=group, value=value)
+            equal = {"name": "equal variances", "test": "levene", "statistic": r.statistic, "p": r.p, "passed": r.p >= 0.05}
         except TestError:
-            equal = False
-        reasons += [f"residuals {'look' if normal else 'do not look'} normal", f"variances {'look' if equal else 'do not look'} equal"]
+            equal = {"name": "equal variances", "test": "levene", "statistic": None, "p": None, "passed": False}
+        assumptions = [normal, equal]
+        reasons = [looks(normal, "residuals"), f"variances {'look' if equal['passed'] else 'do not look'} equal"]
         if min(r["n"] for r in rows) < 5:
             warnings.append("a group has fewer than 5 values")
         if len(rows) == 2:
-            primary = "welch_t" if normal else "mann_whitney"
-            alternatives = ["mann_whitney" if normal else "welch_t"] + (["student_t"] if equal else [])
+            primary = "welch_t" if normal["passed"] else "mann_whitney"
+            alternatives = ["mann_whitney" if normal["passed"] else "welch_t"] + (["student_t"] if equal["passed"] else [])
         else:
-            primary = ("anova" if equal else "welch_anova") if normal else "kruskal"
+            primary = ("anova" if equal["passed"] else "welch_anova") if normal["passed"] else "kruskal"
             alternatives = [t for t in ("anova", "welch_anova", "kruskal") if t != primary]
     elif mode == "two_numeric":
-        ps = [jarque_bera_frame(df, columns[c]).first()["p"] for c in ("x", "y")]
-        normal = all(p is None or p >= 0.05 for p in ps)
-        n = pair_moments(df, columns["x"], columns["y"]).first()["n"]
+        assumptions = [_normality(jarque_bera_frame(df, columns[c]).first(), columns[c]) for c in ("x", "y")]
+        normal = all(c["passed"] for c in assumptions)
+        m = pair_moments(df, columns["x"], columns["y"]).first()
+        summaries = [_summary(columns["x"], m["n"], m["mx"], m["vx"]), _summary(columns["y"], m["n"], m["my"], m["vy"])]
         primary, reasons = "pearson" if normal else "spearman", [f"values {'look' if normal else 'do not look'} normal"]
-        alternatives = ["spearman" if normal else "pearson"] + (["kendall"] if n <= KENDALL_ROWS else [])
+        alternatives = ["spearman" if normal else "pearson"] + (["kendall"] if m["n"] <= KENDALL_ROWS else [])
     elif mode == "categorical":
-        counts = table_of(contingency(df, columns["row"], columns["column"]).collect())[2]
+        counts = table_of(contingency(df, columns["row"], columns["column"]).limit(MOST_GROUPS * MOST_GROUPS + 1).collect())[2]
         few = bool(chi_square(counts).warnings)
         square = len(counts) == 2 and len(counts[0]) == 2
+        assumptions = [{"name": "expected counts of 5 or more", "test": None, "statistic": None, "p": None, "passed": not few}]
         primary, alternatives = ("fisher", ["chi_square"]) if few and square else ("chi_square", ["fisher"] if square else [])
         reasons = ["expected counts below 5"] if few else ["expected counts are large enough"]
     elif mode == "one_sample":
-        p = jarque_bera_frame(df, columns["value"]).first()["p"]
-        normal = p is None or p >= 0.05
-        primary, alternatives = ("one_sample_t", ["wilcoxon_1s"]) if normal else ("wilcoxon_1s", ["one_sample_t"])
-        reasons = [f"values {'look' if normal else 'do not look'} normal"]
+        check = _normality(jarque_bera_frame(df, columns["value"]).first(), columns["value"])
+        m = df.select(finite(columns["value"]).alias("v")).agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_samp("v").alias("s")).first()
+        assumptions, summaries, reasons = [check], [_summary(columns["value"], m["n"], m["m"], m["s"])], [looks(check, "values")]
+        primary, alternatives = ("one_sample_t", ["wilcoxon_1s"]) if check["passed"] else ("wilcoxon_1s", ["one_sample_t"])
     elif mode == "proportion":
         primary, reasons = "binomial", [r["value"] for r in category_counts(df, columns["value"]).limit(MOST_GROUPS).collect()]
     else:
         raise TestError(f"unknown mode {mode}")
-    return {"primary": primary, "alternatives": alternatives, "reasons": reasons, "warnings": warnings, "available": list(MODES[mode])}
+    return {"intent": intent, "primary": primary, "alternatives": alternatives, "reasons": reasons, "warnings": warnings, "assumptions": assumptions, "group_summaries": summaries, "available": list(MODES[mode])}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..types import finite
+from .running import quantiles
 
 DISTINCT_CAP = 10_000
 CORRELATED = 20
@@ -23,31 +24,40 @@ def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row for each column: position, name, kind, count, nulls, distinct (capped), and for numeric ones mean, std, min, quartiles, max."""
+    """One row for each column: position, name, kind, count, nulls, distinct (capped), and for numeric ones mean, std, min, quartiles, max.
+
+    Moments come from one pass; distinct counts and exact quartiles of all columns from one
+    aggregation to distinct cells.
+    """
     p, names = positional(df)
-    aggs: list[Column] = []
+    if not names:
+        return df.sparkSession.createDataFrame([], _PROFILE)
+    moments: list[Column] = []
+    cells: list[Column] = []
     for i, f in enumerate(p.schema.fields):
         c = F.col(f.name)
         numeric = isinstance(f.dataType, NUMERIC)
         v = finite(c.cast("double")) if numeric else F.lit(None).cast("double")
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        aggs.append(
+        text = c if not isinstance(f.dataType, (T.MapType, T.VariantType)) else c.cast("string")
+        cells.append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("position"), v.alias("v"), F.when(v.isNull(), F.xxhash64(text)).alias("h"))))
+        moments.append(
             F.struct(
                 F.lit(i).alias("position"), F.lit(names[i]).alias("column"), F.lit("numeric" if numeric else "text").alias("kind"),
-                F.count(c).alias("count"), (F.count("*") - F.count(c)).alias("nulls"), F.lit(0).cast("long").alias("distinct"), F.lit(False).alias("distinct_capped"),
-                F.avg(v).alias("mean"), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("std"), F.min(v).alias("min"), q[0].alias("q25"), q[1].alias("median"), q[2].alias("q75"), F.max(v).alias("max"),
+                F.count(c).alias("count"), (F.count("*") - F.count(c)).alias("nulls"),
+                F.avg(v).alias("mean"), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
             ).alias(f"s{i}")
         )
-    found = p.agg(*aggs).select(F.explode(F.array(*[f"s{i}" for i in range(len(names))])).alias("s")).select("s.*")
-    if not names:
-        return found
-    # distinct values stop at the cap, so each column is a short aggregation of its own
-    counts = None
-    for i, f in enumerate(p.schema.fields):
-        own = p.select(F.col(f.name).alias("c")).where("c is not null").distinct().limit(DISTINCT_CAP + 1).agg(F.lit(i).alias("position"), F.count("*").alias("_d"))
-        counts = own if counts is None else counts.unionByName(own)
-    found = found.join(F.broadcast(counts), "position")  # a row for each column
-    return found.withColumn("distinct", F.least("_d", F.lit(DISTINCT_CAP))).withColumn("distinct_capped", F.col("_d") > DISTINCT_CAP).drop("_d")
+    found = p.agg(*moments).select(F.explode(F.array(*[f"s{i}" for i in range(len(names))])).alias("s")).select("s.*")
+    values = p.select(F.explode(F.array(*cells)).alias("c")).where("c is not null").groupBy("c.position", "c.v", "c.h").agg(F.count("*").alias("n"))
+    distinct = values.groupBy("position").agg(F.count("*").alias("_d"))
+    quarters = quantiles(values.where("v is not null").select("position", "v", "n"), ["position"], [0.25, 0.5, 0.75])
+    # a row for each column on every side
+    found = found.join(distinct, "position", "left").join(quarters, "position", "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
+    found = found.withColumn("distinct", F.least("_d", F.lit(DISTINCT_CAP))).withColumn("distinct_capped", F.col("_d") > DISTINCT_CAP)
+    return found.select("position", "column", "kind", "count", "nulls", "distinct", "distinct_capped", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75"), "max")
+
+
+_PROFILE = "position int, column string, kind string, count long, nulls long, distinct long, distinct_capped boolean, mean double, std double, min double, q25 double, median double, q75 double, max double"
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -130,11 +140,11 @@ def ols_groups(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
     return m.select(*groups, "n", slope.alias("slope"), (F.col("my") - slope * F.col("mx")).alias("intercept"), F.try_divide(F.col("cxy") * F.col("cxy"), F.col("vx") * F.col("vy")).alias("r2"), F.when(F.col("n") <= 2, F.lit("too_few_rows")).when(F.col("vx") == 0, F.lit("singular")).alias("error"))
 
 
-def sample_points(df: DataFrame, columns: list[str], order: list[str], most: int = 2000) -> DataFrame:
-    """Every k-th row by an explicit order: what a scatter plot of a fit shows."""
-    from pyspark.sql.window import Window
-
-    n = df.count()
-    step = max(1, n // most)
-    numbered = df.select(*columns, F.row_number().over(Window.orderBy(*order)).alias("_rn"))
-    return numbered.where((F.col("_rn") - 1) % step == 0).drop("_rn")
+def sample_points(df: DataFrame, columns: list[str], most: int = 2000) -> DataFrame:
+    """About one row in so many that ``most`` to twice as many are left, by a hash of the values; what a scatter plot of a fit shows."""
+    whole = df.select(*columns)
+    for c in columns:
+        whole = whole.where(finite(c).isNotNull())
+    step = max(1, whole.count() // most)
+    # equal rows are told apart by a number, so that they keep their share
+    return whole.where(F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(step)) == 0)

@@ -452,23 +452,58 @@ def _(spark, d):
 # --- clusters and tracing --------------------------------------------------------------
 
 
+DIMENSIONS = 64
+FEATURES = [f"f{i}" for i in range(DIMENSIONS)]
+
+
 def _vectors(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", *[F.element_at("embedding", i + 1).cast("double").alias(f"f{i}") for i in range(4)])
+    return table(spark, d, "embeddings").select("vec_id", "label", *[F.element_at("embedding", i + 1).cast("double").alias(f) for i, f in enumerate(FEATURES)])
 
 
 @query("kmeans")
 def _(spark, d):
     v = _vectors(spark, d)
-    features = [f"f{i}" for i in range(4)]
-    return cluster.assign(v, features, cluster.kmeans(v, features, 4)).select("vec_id", "cluster")
+    return cluster.assign(v, FEATURES, cluster.kmeans(v, FEATURES, 4)).select("vec_id", "cluster")
 
 
 @query("elbow")
 def _(spark, d):
-    curve, best = cluster.elbow(_vectors(spark, d), [f"f{i}" for i in range(4)], 6)
+    curve, best = cluster.elbow(_vectors(spark, d), FEATURES, 6)
     return spark.createDataFrame([(k, v, k == best) for k, v in curve], "k int, inertia double, best boolean")
 
 
+@query(
+    "nearest_centroid",
+    "WITH e AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings), c AS (SELECT label, i, avg(v) AS m FROM e GROUP BY ALL), "
+    "d AS (SELECT vec_id, c.label, sum((v - m) * (v - m)) AS d FROM e JOIN c USING (i) GROUP BY vec_id, c.label), n AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS k FROM (SELECT DISTINCT label FROM embeddings)) "
+    "SELECT vec_id, arg_min(k, d)::BIGINT AS cluster FROM d JOIN n USING (label) GROUP BY vec_id",
+)
+def _(spark, d):
+    import numpy as np
+
+    v = _vectors(spark, d)
+    centres = v.groupBy("label").agg(*[F.avg(f).alias(f) for f in FEATURES]).orderBy("label").select(*FEATURES).collect()  # a row for each label
+    model = cluster.KMeans(np.array([tuple(r) for r in centres]), np.zeros(DIMENSIONS), np.ones(DIMENSIONS), 0.0, 0, 0)
+    return rounded(cluster.assign(v, FEATURES, model).select("vec_id", "cluster"))
+
+
+@query("chart_raw", "SELECT l_orderkey AS x, l_quantity AS y, l_returnflag AS series FROM lineitem ORDER BY ALL LIMIT 20000")
+def _(spark, d):
+    return charts.chart(table(spark, d, "lineitem"), {"type": "line", "x": "l_orderkey", "y": "l_quantity", "agg": "none", "series": "l_returnflag"})
+
+
+@query("chart_bar_capped", "WITH f AS (SELECT DISTINCT l_orderkey AS x FROM lineitem WHERE l_quantity IS NOT NULL ORDER BY x LIMIT 60), b AS (SELECT l_orderkey AS x, l_quantity AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS n FROM lineitem JOIN f ON f.x = l_orderkey WHERE l_quantity IS NOT NULL) SELECT x, y FROM b WHERE n <= 3")
+def _(spark, d):
+    marks = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("x"), F.col("l_quantity").alias("y"))
+    return charts.capped_bars(marks, 60, 3)[0]
+
+
+@query("posthoc_ranks", "WITH z AS (SELECT event_type AS g, value AS v FROM events), p AS (SELECT DISTINCT a.g AS a, b.g AS b FROM z a, (SELECT DISTINCT g FROM z) b WHERE a.g < b.g), r AS (SELECT a, b, g, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0::DOUBLE AS rk FROM p JOIN z ON g IN (a, b)) SELECT a, b, sum(rk) FILTER (WHERE g = a) - count(*) FILTER (WHERE g = a) * (count(*) FILTER (WHERE g = a) + 1) / 2 AS statistic FROM r GROUP BY a, b")
+def _(spark, d):
+    pairs = hypothesis.posthoc(table(spark, d, "events"), "event_type", "value", "kruskal")
+    return spark.createDataFrame([(p["a"], p["b"], float(p["statistic"])) for p in pairs], "a string, b string, statistic double")
+
+
 def _traced(spark, d):
     return {"orders": table(spark, d, "orders").select(F.col("o_orderkey").alias("KEY_ID"), "o_custkey"), "lineitem": table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key_id"), "l_linenumber", "l_partkey"), "region": table(spark, d, "region")}
 

@@ -1,7 +1,8 @@
 """Delimited text: encoding and delimiter are found, types are inferred from a sample.
 
 The text is parsed by Spark, split over tasks unless it has quotes; only the head is looked at
-on the driver, and encoding and quotes are sought in the whole file.
+on the driver.  Encoding, quotes and the widest record are sought in the whole file.  Cells that do not fit their
+column's type are kept as text in a column beside it.
 """
 
 from __future__ import annotations
@@ -39,13 +40,39 @@ def sniff_delimiter(path: str, first_line: str, given: str | None) -> str:
     return best if first_line.count(best) else ","
 
 
+def read_head(spark: SparkSession, path: str) -> bytes:
+    """The first bytes of a file, through Hadoop's file systems; the rest of it is not read."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(p)
+    try:
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD)))
+    finally:
+        stream.close()
+
+
+def widest_record(lines: DataFrame, delimiter: str, quoted: bool) -> int:
+    """Fields of the widest record.  Records with quotes may go over lines, so these are parsed in order, as a stream, by one task, as Spark's reader does."""
+    if not quoted:
+        return lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(delimiter))) + 1)).first()[0] or 1
+
+    def widest(batches):
+        import pyarrow as pa
+
+        text = (line + "\n" for batch in batches for line in batch.column("value").to_pylist())
+        n = max((len(r) for r in csv.reader(text, delimiter=delimiter)), default=1)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32())], names=["n"])
+
+    return lines.coalesce(1).mapInArrow(widest, "n int").agg(F.max("n")).first()[0] or 1
+
+
 class CsvConnector(Connector):
     name = "csv"
     extensions = ("csv", "tsv", "txt")
 
     def raw(self, spark: SparkSession, path: str, options: ImportOptions) -> tuple[DataFrame, list[str]]:
         """(all data records as text, short ones padded with null; names)."""
-        head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, HEAD).alias("c")).first()["c"]
+        head = read_head(spark, path)
         encoding, quoted = sniff_encoding(bytes(head)), b'"' in bytes(head)
         if len(head) >= HEAD:  # the rest of the file, by its raw lines: both encodings have line ends and quotes in bytes of their own
             raw = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(F.col("value").contains('"')).alias("quoted")).first()
@@ -57,11 +84,9 @@ class CsvConnector(Connector):
             spark.conf.set("spark.sql.legacy.javaCharsets", "true")
         before = options.header_row + options.skip_rows
         whole = list(csv.reader(io.StringIO(text), delimiter=delimiter))
-        # the widest record decides; those beyond the head are measured by their delimiters, which quoting can only overstate
-        lines = spark.read.option("encoding", encoding).text(path).select((F.length("value") - F.length(F.replace("value", F.lit(delimiter))) + 1).alias("n"))
         width = max(max((len(r) for r in whole), default=1), 1)
         if len(head) >= HEAD:
-            width = max(width, lines.agg(F.max("n")).first()[0] or 1)
+            width = max(width, widest_record(spark.read.option("encoding", encoding).text(path), delimiter, quoted))
         schema = ", ".join(f"_c{i} string" for i in range(width))
         df = spark.read.schema(schema).csv(path, sep=delimiter, header=False, quote='"', escape='"', encoding=encoding, multiLine=quoted, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, enforceSchema=True)
         header = whole[options.header_row - 1] if 0 < options.header_row <= len(whole) else []

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .infer import dataset_name
+from .infer import RAW, dataset_name
 from .operators import charts, cluster, groups, hypothesis, profile, series
 from .sources import cache
 from .sources.base import ImportOptions, Registry, default_registry
@@ -27,6 +27,8 @@ class Dataset:
     object: str | None = None
     options: dict = field(default_factory=dict)
     columns: list[dict] = field(default_factory=list)
+    #: Cells that did not fit their column's type, by column; their text is in ``<column>_raw``.
+    outliers: dict[str, int] = field(default_factory=dict)
 
 
 @dataclass
@@ -65,7 +67,9 @@ class Studio:
             df = self.registry.for_path(path).load(self.spark, path, object, options)
             if self.use_cache and cache.write(df, path, object, options):
                 df = cache.read(self.spark, path, object, options) or df
-        return self.register(name or object or Path(path).stem, df, path, object, options)
+        found = self.register(name or object or Path(path).stem, df, path, object, options)
+        found.outliers = kept_outliers(df)
+        return found
 
     def delete(self, name: str) -> bool:
         self.spark.catalog.dropTempView(name)
@@ -95,9 +99,32 @@ class Studio:
     def profile(self, source: str) -> DataFrame:
         return profile.profile(self.frame(source))
 
+    def set_charts(self, charts_: list[dict]) -> None:
+        self.charts = list(charts_)
+
+    def get_charts(self) -> list[dict]:
+        return self.charts
+
+    def yield_preset(self, dataset: str, x: str | None = None, y: str | None = None, series_: str | None = None) -> list[dict]:
+        """Adds a chart of the mean and a control chart; columns not given are guessed by their names."""
+        fields = [(c["name"], c["type"]) for c in self.datasets[dataset].columns]
+        guess = charts.guess_yield_columns(fields)
+        made = charts.yield_charts(dataset, x or guess["x"], y or guess["y"], series_ or guess["series"])
+        self.charts = [*self.charts, *made]
+        return made
+
     def regression(self, source: str, features: list[str], target: str) -> profile.Ols:
         return profile.ols(self.frame(source), features, target)
 
+    def regression_points(self, source: str, features: list[str], target: str, fit: profile.Ols | None = None, most: int = 2000) -> DataFrame:
+        """A sample of the regression's rows with the fitted value."""
+        df = self.frame(source)
+        fit = fit or profile.ols(df, features, target)
+        value = F.lit(fit.coef[0])
+        for name, c in zip(features, fit.coef[1:]):
+            value = value + F.lit(c) * F.col(name)
+        return profile.sample_points(df, [*features, target], most).withColumn("fitted", value)
+
     def cluster(self, source: str, features: list[str], k: int = 3, seed: int = 42, save_as: str | None = None) -> cluster.KMeans:
         df = self.frame(source)
         model = cluster.kmeans(df, features, k, seed)
@@ -105,6 +132,10 @@ class Studio:
             self.register(save_as, cluster.assign(df, features, model))
         return model
 
+    def cluster_points(self, source: str, features: list[str], model: cluster.KMeans, most: int = 5000) -> DataFrame:
+        """A sample of the rows with their cluster."""
+        return cluster.assign(profile.sample_points(self.frame(source), features, most), features, model)
+
     def elbow(self, source: str, features: list[str], k_max: int = 10):
         return cluster.elbow(self.frame(source), features, k_max)
 
@@ -156,5 +187,14 @@ class Studio:
         return {"name": self.name, "datasets": [asdict(d) for d in self.datasets.values()], "charts": self.charts, "queries": self.queries}
 
 
+def kept_outliers(df: DataFrame) -> dict[str, int]:
+    """Cells in the ``_raw`` columns that an import adds for what does not fit."""
+    raw = [c for c in df.columns if c.endswith(RAW) and c.removesuffix(RAW) in df.columns]
+    if not raw:
+        return {}
+    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n{i}") for i, c in enumerate(raw)]).first()
+    return {c.removesuffix(RAW): n for c, n in zip(raw, row) if n}
+
+
 def row_count(df: DataFrame) -> int:
     return df.agg(F.count("*")).first()[0]

@@ -137,3 +137,64 @@ def test_groups_and_trace(spark):
     assert searched == 2 and rows.count() == 2
     assert groups.lot_trace(frames, "lot_id", "1_", partial=True)[0].count() == 2
     assert groups.lot_trace(frames, "lot_id", "%", partial=True)[0].count() == 0
+
+
+def test_exact_tails_of_large_counts():
+    import fractions
+    from math import comb
+
+    for k, n in ((0, 5), (3, 40), (17, 60), (60, 60)):
+        pmf = [fractions.Fraction(comb(n, x)) * fractions.Fraction(3, 10) ** x * fractions.Fraction(7, 10) ** (n - x) for x in range(n + 1)]
+        assert H.binomial(k, n, 0.3).p == pytest.approx(float(sum(q for q in pmf if q <= pmf[k] * (1 + fractions.Fraction(1, 10**7)))), rel=1e-9)
+    assert H.binomial(500_000_000, 1_000_000_000, 0.5).p == pytest.approx(1, abs=1e-6)
+    assert H.fisher([[500_000, 500_500], [499_500, 500_000]]).p == pytest.approx(H.chi_square([[500_000, 500_500], [499_500, 500_000]]).p, abs=2e-2)
+
+
+def test_kendall_with_ties(spark):
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 9, 200), rng.integers(0, 6, 200)
+    s = sum(np.sign(a[i] - a[j]) * np.sign(b[i] - b[j]) for i in range(200) for j in range(i))
+    tx, ty = (sum(n * (n - 1) / 2 for n in np.unique(v, return_counts=True)[1]) for v in (a, b))
+    r = H.kendall(spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "x double, y double"), "x", "y")
+    assert r.effect == pytest.approx(s / math.sqrt((19900 - tx) * (19900 - ty)))
+
+
+def test_running_quantiles(spark):
+    from statloom.operators import running
+
+    rng = np.random.default_rng(4)
+    groups_ = {g: np.round(rng.normal(size=n), d) for g, n, d in (("a", 1000, 1), ("b", 7, 3), ("c", 1, 2), ("d", 400, 9))}
+    rows = [(g, float(v), int(n)) for g, vs in groups_.items() for v, n in zip(*np.unique(vs, return_counts=True))]
+    values = spark.createDataFrame(rows, "g string, v double, n long")
+    for r in running.quantiles(values, ["g"], [0.0, 0.25, 0.5, 0.75, 1.0]).collect():
+        assert list(r)[1:] == pytest.approx(np.quantile(groups_[r["g"]], [0, 0.25, 0.5, 0.75, 1]).tolist())
+    every = values.groupBy("v").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n")
+    flat = np.concatenate(list(groups_.values()))
+    for r in running.running_counts(every).collect():
+        assert r["before"] == (flat < r["v"]).sum()
+
+
+def test_result_of_a_run(spark):
+    three = spark.createDataFrame([(g, float(v)) for g, vs in zip("abc", ([1, 2, 3, 4], [14, 15, 16, 18], [27, 28, 29, 31])) for v in vs], "g string, v double")
+    for t in ("anova", "kruskal"):
+        r = H.run_test(three, t, group="g", value="v", correction="bh")
+        assert len(r.posthoc) == 3 and r.correction == "bh" and r.posthoc_note is None and all(p["p_adjusted"] >= p["p"] for p in r.posthoc)
+    flat = spark.createDataFrame([(g, float(v)) for g in "abc" for v in (1, 2, 3, 4)], "g string, v double")
+    r = H.run_test(flat, "anova", group="g", value="v")
+    assert r.posthoc == [] and r.posthoc_note
+    r = H.run_test(two(spark, range(27, 32), range(22, 27)), "welch_t", group="g", value="v")
+    assert 0.9 < r.power <= 1 and r.p_text == "0.0011"
+
+
+def test_advice_has_its_grounds(spark):
+    df = two(spark, range(27, 39), range(22, 34))
+    a = H.advise(df, "groups", group="g", value="v")
+    assert a["intent"] and a["primary"] == "welch_t" and [s["n"] for s in a["group_summaries"]] == [12, 12]
+    assert {c["name"] for c in a["assumptions"]} == {"normality of residuals", "equal variances"} and all(c["passed"] for c in a["assumptions"])
+
+
+def test_profile_of_mixed_columns(spark):
+    df = spark.createDataFrame([(1.0, "a", True), (float("nan"), None, None), (3.0, "b", False), (None, "a", True)], "x double, t string, f boolean")
+    rows = {r["column"]: r for r in profile.profile(df).collect()}
+    assert (rows["x"]["count"], rows["x"]["nulls"], rows["x"]["distinct"], rows["x"]["median"]) == (3, 1, 3, 2.0)
+    assert rows["t"]["distinct"] == 2 and rows["t"]["median"] is None and rows["f"]["mean"] == pytest.approx(2 / 3)
