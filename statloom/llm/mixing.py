@@ -25,6 +25,7 @@ from pyspark.sql.window import Window
 from .common import WORD_RE, scratch
 
 SHARD_ROWS = 2048
+GROUP_SHARDS = 1024
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: float = 3.0) -> DataFrame:
@@ -64,21 +65,29 @@ def sainte_lague(votes: DataFrame, group: list[str], key: str, seats: str) -> Da
     return votes.join(won, [*group, key], "left").withColumn("quota", F.col("_sure") + F.coalesce("_won", F.lit(0))).drop("_all", "_keys", "_near", "_reach", "_sure", "_left", "_won")
 
 
+def shard_quotas(shards: DataFrame) -> DataFrame:
+    """shards (at, shard, votes, seats of the source) with quota: first to groups of GROUP_SHARDS shards, then within these, so no window holds all shards of a source."""
+    shards = shards.withColumn("group", F.floor(F.col("shard") / GROUP_SHARDS))
+    groups = shards.groupBy("at", "group").agg(F.first("seats").alias("seats"), F.sum("votes").alias("votes"))
+    groups = sainte_lague(groups, ["at"], "group", "seats").select("at", "group", F.col("quota").alias("seats"))
+    return sainte_lague(shards.drop("seats").join(groups, ["at", "group"]), ["at", "group"], "shard", "seats")
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int = 3, block: int = 32, seed: int = 0, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, and the columns asked for."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long")
-    sized = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
+    sized = scratch(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64("text").alias("_text")), "sizes")
     goal = targets(sized, weights, float(most))
     goal = goal.withColumn("votes", F.col("target")).withColumn("seats", F.floor(F.sum("source_size").over(Window.partitionBy()) / block)).withColumn("g", F.lit(0))
     goal = scratch(sainte_lague(goal, ["g"], "at", "seats").select("source", "at", "n_docs", "source_size", "target", "quota"), "targets")
     n_shards = F.ceil(F.col("n_docs") / SHARD_ROWS)
     # sources are joined as a table: it has a row for each source and is broadcast only if small
     placed = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).drop(goal["source"])
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), n_shards))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "_text"), n_shards))
     shards = placed.groupBy("at", "shard").agg(F.first("quota").alias("seats"), F.sum("size").alias("votes"))
-    shards = sainte_lague(shards, ["at"], "shard", "seats").select("at", "shard", F.col("votes").alias("shard_size"), F.least(F.col("quota") * block, F.col("votes") * most).alias("words"))
-    placed = placed.select("doc_id", "source", "size", "source_size", "target", "at", "shard").join(shards, ["at", "shard"])
-    order = Window.partitionBy("at", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "size"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shard_quotas(shards).select("at", "shard", F.col("votes").alias("shard_size"), F.least(F.col("quota") * block, F.col("votes") * most).alias("words"))
+    placed = placed.select("doc_id", "source", "size", "source_size", "target", "at", "shard", "_text").join(shards, ["at", "shard"])
+    order = Window.partitionBy("at", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "_text"), "doc_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     passes = F.when(F.col("shard_size") > 0, F.expr("words div shard_size")).otherwise(0)
     rest = F.when(F.col("shard_size") > 0, F.expr("words % shard_size")).otherwise(0)
