@@ -50,10 +50,16 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads all documents, takes away those without a word, revises those with blanks at an end, and returns the totals."""
+    docs = table(spark, sf_dir, "documents")
     rollup = token_rollup.Rollup(spark, f"{scratch_root(spark)}/rollup-{uuid.uuid4().hex}")
-    load = token_rollup.inserts(table(spark, sf_dir, "documents"))
+    load = token_rollup.inserts(docs)
     rollup.commit("load", load)
     rollup.commit("load", load)  # delivered twice, counted once
+    rollup.compact()
+    rollup.commit("retire", token_rollup.deletes(docs.where(r"coalesce(text, '') not rlike '[^ \\t\\n\\r\\x0B\\f]'")))
+    ends = docs.where(r"text rlike '[^ \\t\\n\\r\\x0B\\f]' and text rlike '^[ \\t\\n]|[ \\t\\n]$'")
+    rollup.commit("revise", token_rollup.revisions(ends, ends.withColumn("text", F.btrim("text", F.lit(" \t\n")))))
     return rollup.totals()
 
 

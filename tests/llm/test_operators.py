@@ -590,14 +590,31 @@ def test_token_rollup(spark, cases, empty, tmp_path):
     store.commit("revise", token_rollup.revisions(kept, new))
     assert have(store) == want(new.collect())
     store.commit("empty", token_rollup.inserts(empty))
-    # a batch that broke off has no marker and does not count
-    token_rollup.inserts(cases).write.parquet(str(tmp_path / "r/batch=broken"))
-    (tmp_path / "r/batch=broken/_SUCCESS").unlink()
+    # an attempt that broke off has no marker and does not count
+    token_rollup.inserts(cases).write.parquet(str(tmp_path / "r/data/broken.1"))
     assert have(store) == want(new.collect())
+    # a writer that comes second leaves nothing, and a snapshot changes no totals
+    store.committed = lambda batch: False
+    assert not store.commit("load", token_rollup.inserts(cases)) and len(list((tmp_path / "r/data").glob("load.*"))) == 1
+    del store.committed
+    assert store.compact() and not store.compact() and have(store) == want(new.collect())
+    assert not store.commit("revise", token_rollup.inserts(cases)) and store.commit("again", token_rollup.inserts(gone))
+    assert have(store) == want([*new.collect(), *gone.collect()]) and store.compact() and have(store) == want([*new.collect(), *gone.collect()])
     with pytest.raises(ValueError):
         store.commit("a/b", token_rollup.inserts(empty))
 
 
+def test_token_rollup_query(spark):
+    tok = tokenize.load(tokenize.default_path())
+    want = defaultdict(lambda: [0, 0])
+    for r in docs(spark).collect():
+        if words(r["text"]):
+            want[r["source"], r["lang"]][0] += 1
+            want[r["source"], r["lang"]][1] += len(tok.encode(r["text"].strip(" \t\n"), add_special_tokens=False).ids)
+    got = queries.op8_token_rollup(spark, SF).collect()
+    assert {(r["source"], r["lang"]): [r["n_docs"], r["n_tokens"]] for r in got} == want
+
+
 # 9 -------------------------------------------------------------------------
 
 
