@@ -29,6 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jpeg
 from .common import chunks
 
 PAD = 255
@@ -258,3 +259,25 @@ def media_columns(docs: DataFrame, tensors: bool = False) -> DataFrame:
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary, width int, height int, rgb binary" * tensors
     names = [c.split()[0] for c in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, schema)
+
+
+def tensors(df: DataFrame, column: str) -> DataFrame:
+    """df with width, height, rgb (bytes, by rows) and error of the progressive JPEG in a column, whoever made it.  Null gives nulls; what cannot be read gives its error."""
+
+    def read(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):  # pictures may be large: one at a time
+                data, found = batch.column(column)[i].as_py(), (None, None, None, None)
+                if data is not None:
+                    try:
+                        out = jpeg.pixels(jpeg.decode(data), INVERSE)
+                        found = (out.shape[1], out.shape[0], out.tobytes(), None)
+                    except ValueError as e:
+                        found = (None, None, None, str(e))
+                new = [pa.array([v], t) for v, t in zip(found, (pa.int32(), pa.int32(), pa.binary(), pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, 1).columns, *new], names=[*batch.schema.names, "width", "height", "rgb", "error"])
+
+    shape = ", ".join(f"`{n}` {t}" for n, t in df.dtypes)
+    return df.mapInArrow(read, f"{shape}, width int, height int, rgb binary, error string")
