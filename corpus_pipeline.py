@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statloom.llm import line_dedup, mixing, ngram_join, ordinal, packing
-from statloom.llm.common import scratch, table
+from statloom.llm.common import maybe_in, scratch, table
 from statloom.llm.queries import grades
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,11 +30,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (5-word shingles, similarity 0.8): the one with the least id.  Documents with a null id stay."""
+    """One document of each group of near copies (5-word shingles, similarity 0.8): the one with the least id.  Documents with a null id stay; rows that share an id stay or go together."""
     found = ngram_join.ngram_components(docs, n=5, num=8, den=10)
-    kept = found.where("component_id = doc_id").select("doc_id").distinct()
-    stay = docs.join(kept, "doc_id", "left_semi")
-    return stay.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    gone = scratch(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    # only texts whose id may be among the copies are shuffled
+    flagged = maybe_in(docs.select(*COLUMNS), "doc_id", gone)
+    return flagged.where("not maybe").drop("maybe").unionByName(flagged.where("maybe").drop("maybe").join(gone, "doc_id", "left_anti").select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,6 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, by sequence."""
     return packing.pack(docs)
 
 
@@ -57,6 +59,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the table of documents, each on what the one before wrote; an empty table gives no row."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = scratch(stage(spark, docs, sf_dir), name)
