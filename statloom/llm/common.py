@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once.
 CHUNK_BYTES = 4 << 20
+#: Bytes of an Arrow batch at most, about.
+BATCH_BYTES = 4 << 20
 
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
@@ -24,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on an Arrow batch to BATCH_BYTES, for Python workers of bounded memory; a lower one stays.
+
+    Spark has this bound for a session only, and reads it when a query is planned.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder of the cluster.  None is named in a local session only, which then gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jpeg
-from .common import chunks
+from .common import bounded_batches, chunks
 
 PAD = 255
 GRAIN = 576
@@ -240,6 +240,7 @@ def feature(pixels: np.ndarray) -> str:
 
 def media_columns(docs: DataFrame, tensors: bool = False) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; with tensors also media, width, height and rgb."""
+    bounded_batches(docs.sparkSession)
 
     def build(batches):
         import pyarrow as pa

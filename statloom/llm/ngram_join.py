@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, grouped_runs, maybe_in, mix, scratch, spread_join, window_hash
+from .common import bounded_batches, Words, chunks, grouped_runs, maybe_in, mix, scratch, spread_join, window_hash
 from .union_find import components
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -307,6 +307,7 @@ def family_parts(rows: DataFrame, num: int, den: int, block: int) -> tuple[DataF
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10, block: int = 512) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; sets link when den * overlap >= num * union."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     read = scratch(docs.mapInArrow(_describe(n), "doc_id long, n_shingles long, d1 long, d2 long, part int, bucket int, cells binary"), "described")
     described = read.where("part is null").select("doc_id", "n_shingles", "d1", "d2")

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix
+from .common import Words, bounded_batches, chunks, mix
 from .text_stats import labelled_sample
 
 #: Labelled documents used for fitting, at most.
@@ -160,6 +160,7 @@ def fit_ordinal(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades:
 
 def fit_grades(docs: DataFrame, graded: DataFrame, n_grades: int, most: int = SAMPLE_ROWS) -> Ordinal:
     """graded: doc_id and grade, 0 to n_grades - 1."""
+    bounded_batches(docs.sparkSession)
 
     def hashed(batches):
         import pyarrow as pa
@@ -179,6 +180,7 @@ def fit_grades(docs: DataFrame, graded: DataFrame, n_grades: int, most: int = SA
 
 def grade_documents(docs: DataFrame, model: Ordinal, least_grade: int, cut: float = 0.5, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns asked for, with expected_grade, tail_probability (P(grade >= least_grade)) and kept."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**LOG2_WEIGHTS weights
     used = list(dict.fromkeys([*columns, "text"]))
     types = dict(docs.dtypes)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import scratch
+from .common import bounded_batches, scratch
 from .tokenize import default_path, gathered, token_ids
 
 END_ID = 1
@@ -134,6 +134,7 @@ def places(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarray, ...
 
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = 2048, unit: int = 64, parts: int = 8) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for each piece."""
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     path = tokenizer or default_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

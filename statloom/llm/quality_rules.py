@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks
 from .text_stats import BASE, FALLING, FEATURES, describe, labelled_sample
 
 #: Labelled documents used for fitting, at most.
@@ -109,6 +109,7 @@ def fit_forest(x: np.ndarray, y: np.ndarray, monotone: np.ndarray, n_trees: int
 
 
 def fit_rules(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Forest:
+    bounded_batches(docs.sparkSession)
 
     def features(batches):
         import pyarrow as pa
@@ -126,6 +127,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> Fo
 
 def quality_rules(docs: DataFrame, forest: Forest, least_words: int = 50, most_repeat: int = 50, cut: float = 0.5) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score."""
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(forest)  # a fixed number of nodes
 
     def judge(batches):

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, maybe_in, mix, runs_hash, scratch, spread_join, window_hash
+from .common import bounded_batches, Words, chunks, maybe_in, mix, runs_hash, scratch, spread_join, window_hash
 
 LAST = (1 << 63) - 1
 _ROW_SALT = (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -171,6 +171,7 @@ def removed_windows(docs: DataFrame, size: int, gram: int, log2_cells: int, dept
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 50, gram: int = 10, log2_cells: int = 40, depth: int = 2) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text for each row of docs."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(LAST)))
     gone = removed_windows(keyed.select("k", "text"), size, gram, log2_cells, depth)

@@ -21,6 +21,7 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
 from .tokenize import default_path, gathered, token_counts
 
 KEYS = ("source", "lang", "tokenizer_version")
@@ -28,6 +29,7 @@ KEYS = ("source", "lang", "tokenizer_version")
 
 def counted(docs: DataFrame, tokenizer: str | None = None, version: str = "word_bpe_49k", text_col: str = "text") -> DataFrame:
     """source, lang, tokenizer_version, n_tokens for each document."""
+    bounded_batches(docs.sparkSession)
     path = tokenizer or default_path()
 
     def count(batches):
