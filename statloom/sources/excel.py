@@ -1,4 +1,4 @@
-"""Excel workbooks (.xlsx, .xlsm) with the standard library: a zip of XML parts."""
+"""Workbooks (.xlsx, .xlsm, .ods) with the standard library: a zip of XML parts.  The binary .xls and .xlsb are refused."""
 
 from __future__ import annotations
 
@@ -109,13 +109,65 @@ class Workbook:
         return serial_text(number) if style < len(self.dates) and self.dates[style] else number
 
 
+class OpenDocument:
+    """Sheets of an OpenDocument workbook."""
+
+    def __init__(self, path: str):
+        with zipfile.ZipFile(path) as z:
+            root = X.fromstring(z.read("content.xml"))
+        self.sheets = {self._own(t, "name"): t for t in root.iter() if _local(t.tag) == "table"}
+
+    @staticmethod
+    def _own(element, name: str, default: str | None = None) -> str | None:
+        return next((v for k, v in element.attrib.items() if _local(k) == name), default)
+
+    def value(self, cell):
+        kind = self._own(cell, "value-type")
+        if kind in ("float", "percentage", "currency"):
+            return float(self._own(cell, "value"))
+        if kind == "boolean":
+            return self._own(cell, "boolean-value") == "true"
+        if kind == "date":
+            return self._own(cell, "date-value").removesuffix("T00:00:00").replace("T", " ")
+        return "\n".join("".join(p.itertext()) for p in cell if _local(p.tag) == "p").strip() or None if kind else None
+
+    def cells(self, sheet: str) -> list[list]:
+        """The used range as rows of None, bool, float and str; repeats beyond the last used cell are not laid out."""
+        rows: list[list] = []
+        empty = 0
+        for row in self.sheets[sheet].iter():
+            if _local(row.tag) != "table-row":
+                continue
+            values, gap = [], 0
+            for cell in row:
+                if _local(cell.tag) not in ("table-cell", "covered-table-cell"):
+                    continue
+                times, v = int(self._own(cell, "number-columns-repeated", "1")), self.value(cell)
+                if v is None:
+                    gap += times
+                else:
+                    values += [None] * gap + [v] * times
+                    gap = 0
+            times = int(self._own(row, "number-rows-repeated", "1"))
+            if not values:
+                empty += times
+                continue
+            rows += [[] for _ in range(empty if rows else 0)] + [list(values) for _ in range(times)]
+            empty = 0
+        first = min((next(i for i, v in enumerate(r) if v is not None) for r in rows if r), default=0)
+        width = max(map(len, rows), default=0)
+        return [(r + [None] * (width - len(r)))[first:] for r in rows]
+
+
 class ExcelConnector(Connector):
     name = "excel"
-    extensions = ("xlsx", "xlsm", "xlsb", "xls", "ods")
+    extensions = ("xlsx", "xlsm", "ods")
 
-    def _open(self, path: str) -> Workbook:
+    def _open(self, path: str) -> Workbook | OpenDocument:
+        if path.lower().endswith(".ods"):
+            return OpenDocument(path)
         if not path.lower().endswith((".xlsx", ".xlsm")):
-            raise SourceError("only .xlsx and .xlsm workbooks can be read; save the file as .xlsx")
+            raise SourceError("only .xlsx, .xlsm and .ods workbooks can be read; save the file as .xlsx")
         return Workbook(path)
 
     def objects(self, spark: SparkSession, path: str) -> list[str]:

@@ -62,6 +62,21 @@ def test_excel(spark, tmp_path):
         c.load(spark, "x.xls")
 
 
+def test_open_document(spark, tmp_path):
+    path = tmp_path / "w.ods"
+    ns = 'xmlns:office="urn:oasis:names:tc:opendocument:xmlns:office:1.0" xmlns:table="urn:oasis:names:tc:opendocument:xmlns:table:1.0" xmlns:text="urn:oasis:names:tc:opendocument:xmlns:text:1.0"'
+    text = lambda t: f'<table:table-cell office:value-type="string"><text:p>{t}</text:p></table:table-cell>'
+    number = lambda v: f'<table:table-cell office:value-type="float" office:value="{v}"/>'
+    rows = [f"<table:table-row>{text('id')}{text('v')}{text('day')}</table:table-row>", f'<table:table-row table:number-rows-repeated="2">{number(1)}{number(2.5)}<table:table-cell office:value-type="date" office:date-value="2025-01-01"/></table:table-row>']
+    rows += [f'<table:table-row>{number(3)}<table:table-cell/></table:table-row>', '<table:table-row table:number-rows-repeated="1048000"><table:table-cell table:number-columns-repeated="1024"/></table:table-row>']
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("content.xml", f'<office:document-content {ns}><office:body><office:spreadsheet><table:table table:name="S">{"".join(rows)}</table:table></office:spreadsheet></office:body></office:document-content>')
+    c = default_registry().for_path(str(path))
+    assert c.objects(spark, str(path)) == ["S"]
+    df = c.load(spark, str(path))
+    assert df.columns == ["id", "v", "day"] and [tuple(r) for r in df.collect()] == [(1, 2.5, "2025-01-01")] * 2 + [(3, None, None)]
+
+
 def test_names_of_databases():
     assert display_pg("public", "sales") == "sales" and display_pg("fab", "Events") == 'fab."Events"'
     assert split_pg('a."b.c"') == ["a", "b.c"] and candidates_pg("fab.events") == ['"fab"."events"', '"fab.events"']
@@ -98,6 +113,10 @@ def test_studio(spark, tmp_path, monkeypatch):
     assert studio.spc("measurements", "lot_id", "yield").count() == 200
     assert studio.tool_difference("measurements", "tool_id", "yield")["significant"]
     assert studio.lot_trace("LOT_ID", "LOT0001")[1] == 1
+    made = studio.yield_preset("measurements")
+    assert studio.get_charts() == made and [studio.chart(c["source"], c["spec"]).count() > 0 for c in made] == [True, True]
+    assert studio.regression_points("measurements", ["step"], "yield").columns == ["step", "yield", "fitted"]
+    assert studio.cluster_points("measurements", ["yield", "defects"], studio.cluster("measurements", ["yield", "defects"])).count() == 200
     saved = studio.save(str(tmp_path / "p"))
     studio.register("derived", spark.range(3))
     other = Studio(spark)
@@ -115,4 +134,8 @@ def test_charts(spark):
     assert {r["bin"]: r["n"] for r in h.collect()} == {0: 1, 1: 1, 5: 1, 9: 2}
     assert charts.full_bins(h, 10).agg({"n": "sum"}).first()[0] == 5
     assert charts.nice_ticks(0, 10) == [0, 2, 4, 6, 8, 10]
+    assert charts.capped_bars(spark.createDataFrame([(i % 70, float(i)) for i in range(2100)], "x int, y double"))[0].count() == 60 * 20
+    marks, notes = charts.capped_series(spark.createDataFrame([(i, f"s{i:02d}", 1.0) for i in range(12)], "x int, series string, y double"))
+    assert marks.count() == 8 and notes
+    assert [c["spec"]["type"] for c in charts.yield_charts("d", "lot", "yield", "tool")] == ["line", "spc"]
     assert charts.guess_yield_columns(["lot_id", "tool", "yield"]) == {"x": "lot_id", "y": "yield", "series": "tool"}
