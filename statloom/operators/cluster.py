@@ -29,10 +29,10 @@ class KMeans:
 
 
 def _whole(df: DataFrame, features: list[str]) -> DataFrame:
-    rows = df
+    whole = F.lit(True)
     for c in features:
-        rows = rows.where(finite(c).isNotNull())
-    return rows
+        whole = whole & finite(c).isNotNull()
+    return df.where(whole)
 
 
 def _training(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
@@ -91,11 +91,13 @@ def kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42) -> KM
 
 def assign(df: DataFrame, features: list[str], model: KMeans) -> DataFrame:
     """Rows without gaps, with a column cluster: the nearest centroid, ties to the least."""
-    def distance(c: np.ndarray):
-        return sum(((finite(f) - F.lit(float(x))) / F.lit(float(s))) ** 2 for f, x, s in zip(features, c, model.scale))
+    cells = {f"_f{i}": finite(f) for i, f in enumerate(features)}
 
-    nearest = F.array_min(F.array(*[F.struct(distance(c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(model.centroids)]))
-    return _whole(df, features).withColumn("cluster", nearest["i"])
+    def distance(c: np.ndarray) -> str:
+        return " + ".join(f"pow((_f{i} - ({float(x)!r}D)) / {float(s)!r}D, 2)" for i, (x, s) in enumerate(zip(c, model.scale)))
+
+    nearest = F.expr("array_min(array(" + ", ".join(f"struct({distance(c)} AS d, {i} AS i)" for i, c in enumerate(model.centroids)) + ")).i")
+    return _whole(df, features).withColumns(cells).withColumn("cluster", nearest).drop(*cells)
 
 
 def elbow(df: DataFrame, features: list[str], k_max: int = 10, seed: int = 42) -> tuple[list[tuple[int, float]], int]:
