@@ -98,7 +98,7 @@ def plan(histogram: dict[int, int], window: int, unit: int, parts: int = 8) -> l
         for j in np.argsort(-x, kind="stable"):
             p = patterns[j]
             need = {k: p.count(k) for k in p}
-            times = min(int(x[j] + 1e-6), *(left[k] // v for k, v in need.items()))
+            times = min(int(x[j] + 0.5), *(left[k] // v for k, v in need.items()))
             if times > 0:
                 out.append((p, times))
                 for k, v in need.items():
