@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .license_rules import CC_BY, LONGEST, STEMS, rules
+from .license_rules import LONGEST, SHORT_WORDS, STEMS, rules
 
 #: Phrases of the base contract and their labels.
 BASE_PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -85,13 +85,14 @@ def _kept(found: Column) -> Column:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections (a, z, p, label, s)."""
-    word, not_word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    # letters and digits of ASCII and all beyond it, as Java compiles them best
+    word, not_word = r"[\p{Alnum}\x{80}-\x{10FFFF}]++", r"[^\p{Alnum}\x{80}-\x{10FFFF}]++"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("raw"))
 
     # lower() folds more than A-Z, so it may only open the gate; what is matched is folded exactly
     def gate(t: Column) -> Column:
-        opened = t.rlike(CC_BY)
+        opened = t.rlike(SHORT_WORDS)
         for stem in STEMS:
             opened = F.contains(t, F.lit(stem)) | opened
         return opened
