@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, Words, chunks, grouped_runs, maybe_in, mix, scratch, spread_join, window_hash
+from .common import Words, bounded_batches, chunks, grouped_runs, maybe_in, mix, scratch, spread_join, window_hash
 from .union_find import components
 
 _FOLD = np.arange(256, dtype=np.uint8)

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, Words, chunks, maybe_in, mix, runs_hash, scratch, spread_join, window_hash
+from .common import Words, bounded_batches, chunks, maybe_in, mix, runs_hash, scratch, spread_join, window_hash
 
 LAST = (1 << 63) - 1
 _ROW_SALT = (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
