@@ -270,38 +270,47 @@ def _verified(dealt: DataFrame, keys: tuple[str, ...], num: int, den: int) -> Da
     return sorted_.mapInArrow(verify, f"{shape}, node long, label long")
 
 
-def _dealt(rows: DataFrame, key: str, name: str, block: int) -> DataFrame:
-    """rows with name (the block of the row) and name_n (how many blocks its group has)."""
-    sized = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum(F.length("tokens")) / (8 * BLOCK_TOKENS))).cast("int").alias(f"{name}_n"))
+def dealt_in_blocks(rows: DataFrame, key: str, name: str, block: int) -> DataFrame:
+    """rows (key, doc_id, n tokens) with name (the block of the row) and name_n (how many blocks its group has)."""
+    sized = rows.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias(f"{name}_n"))
     return rows.join(sized, key).withColumn(name, F.pmod(F.xxhash64("doc_id"), F.col(f"{name}_n")).cast("int"))
 
 
 def family_parts(rows: DataFrame, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(node, label: for each id the least one that links within its block reach) and links (u, v) between such labels; rows: family, doc_id, tokens."""
-    dealt = scratch(_dealt(rows, "family", "mine", block).withColumn("part", F.col("doc_id")), "dealt")
+    """(node, label: for each id the least one that links within its block reach) and links (u, v) between such labels.
+
+    rows: family, doc_id, n, mine, mine_n (as dealt) and tokens.  Token sets are shuffled once, those of families
+    of several blocks again where they meet others; all else works on ids.
+    """
+    dealt = scratch(rows.withColumn("part", F.col("doc_id")), "dealt")
     first = scratch(_verified(dealt, ("family", "mine"), num, den), "parts")
     nodes = first.select("node", "label")
-    large = dealt.where("mine_n > 1").drop("part")
+    large = dealt.where("mine_n > 1")
     if large.isEmpty():
         return nodes, nodes.where("false").select(F.col("node").alias("u"), F.col("label").alias("v"))
+    sets = large.select("doc_id", "tokens")
+    ids = large.select("family", "doc_id", "n", "mine", "mine_n").distinct().join(nodes.withColumnRenamed("node", "doc_id"), "doc_id")
     # one set of the main part of each block of a family; with more than 8 * block blocks by groups of these
-    large = large.join(nodes, F.col("doc_id") == F.col("node")).drop("node")
     main = first.groupBy("family", "mine", "label").agg(F.count("*").alias("n")).groupBy("family", "mine").agg(F.max_by("label", F.struct("n", "label")).alias("doc_id"))
-    some = large.join(main, ["family", "mine", "doc_id"]).withColumn("mine", F.floor(F.col("mine") / (8 * block)).cast("int")).withColumn("part", F.col("label"))
+    some = ids.join(main, ["family", "mine", "doc_id"]).select("family", F.floor(F.col("mine") / (8 * block)).cast("int").alias("mine"), "doc_id", F.col("label").alias("part"))
+    some = maybe_in(sets, "doc_id", some.select("doc_id")).where("maybe").drop("maybe").join(some, "doc_id")
     joined = scratch(_verified(some, ("family", "mine"), num, den), "parts").select(F.col("node").alias("label"), F.col("label").alias("part"))
-    named = scratch(large.join(joined, "label", "left").withColumn("part", F.coalesce("part", "label")), "large")
+    links = joined.select(F.col("label").alias("u"), F.col("part").alias("v")).where("u <> v")
+    named = scratch(ids.join(joined, "label", "left").withColumn("part", F.coalesce("part", "label")).drop("label"), "large")
     # what is still outside of the family's main part meets every block
-    most = named.groupBy("family", "part").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    most = named.groupBy("family", "part").agg(F.count("*").alias("size")).groupBy("family").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
     named = named.join(most, "family")
-    out = scratch(_dealt(named.where("part <> main").select("family", "doc_id", "tokens", "part", "mine_n"), "family", "i", block), "outside")
+    out = scratch(dealt_in_blocks(named.where("part <> main").select("family", "doc_id", "n", "part", "mine_n"), "family", "i", block), "outside")
+    if out.isEmpty():
+        return nodes, links
     n_out = out.select("family", "i_n").distinct()
-    shape = ("family", "i", "j", "part", "doc_id", "tokens")
-    inside = named.where("part = main").join(n_out, "family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)))
+    shape = ("family", "i", "j", "part", "doc_id")
+    inside = named.where("part = main").join(n_out, "family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1))).withColumn("j", F.col("mine"))
     sent = out.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("mine_n") - 1)))
     both = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1))).withColumn("j", -1 - F.greatest("i", "k")).withColumn("i", F.least("i", "k"))
-    met = inside.withColumn("j", F.col("mine")).select(*shape).unionByName(sent.select(*shape)).unionByName(both.select(*shape))
-    links = _verified(met, ("family", "i", "j"), num, den).select(F.col("node").alias("u"), F.col("label").alias("v"))
-    return nodes, links.unionByName(joined.select(F.col("label").alias("u"), F.col("part").alias("v"))).where("u <> v")
+    met = inside.select(*shape).unionByName(sent.select(*shape)).unionByName(both.select(*shape)).join(sets, "doc_id")
+    found = _verified(met, ("family", "i", "j"), num, den).select(F.col("node").alias("u"), F.col("label").alias("v")).where("u <> v")
+    return nodes, links.unionByName(found)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 8, den: int = 10, block: int = 512) -> DataFrame:
@@ -341,10 +350,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
         for batch, texts in chunks(batches, "text"):
             tokens, at = shingle_sets(texts, n)
-            yield pa.RecordBatch.from_arrays([batch.column("family"), batch.column("doc_id"), pa.array([tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())], names=["family", "doc_id", "tokens"])
-
-    members = maybe_in(docs.where("doc_id is not null"), "doc_id", family.select("doc_id")).where("maybe").join(family, "doc_id")
-    tokens = members.select("family", "doc_id", "text").mapInArrow(tokens_of, "family long, doc_id long, tokens binary").where("length(tokens) > 0")
+            sets = pa.array([tokens[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), sets], names=[*kept, "tokens"])
+
+    kept = ("family", "doc_id", "n", "mine", "mine_n")
+    sizes = named.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
+    placed = scratch(dealt_in_blocks(family.join(sizes, "doc_id"), "family", "mine", block), "placed")
+    members = maybe_in(docs.where("doc_id is not null"), "doc_id", placed.select("doc_id")).where("maybe").join(placed, "doc_id")
+    tokens = members.select(*kept, "text").mapInArrow(tokens_of, "family long, doc_id long, n long, mine int, mine_n int, tokens binary").where("length(tokens) > 0")
     nodes, links = family_parts(tokens, num, den, block)
 
     # a row whose id stands for several sets ties their classes together

@@ -199,6 +199,7 @@ def test_large_families_lose_no_link(spark, block):
     sets = [s.astype(np.uint64) for s in sets]
     rows = spark.createDataFrame([(1, i, s.tobytes()) for i, s in enumerate(sets)], "family long, doc_id long, tokens binary")
     got = ngram_join._Sets(len(sets))
+    rows = ngram_join.dealt_in_blocks(rows.selectExpr("*", "cast(length(tokens) div 8 as long) as n"), "family", "mine", block)
     nodes, links = ngram_join.family_parts(rows, 8, 10, block)
     for r in [*nodes.collect(), *links.collect()]:
         got.join(*r)
