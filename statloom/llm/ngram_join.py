@@ -43,8 +43,8 @@ FANOUT = 8
 LOG2_CELLS = 22
 #: Cells of a part of the sketch that travels and is merged as one row.
 LOG2_PART = 16
-#: Fragments of one part that a task merges in the first step, about: partitions are dealt by this modulus.
-FAN_IN = 256
+#: Fragments of one part that a task merges at once, about; after two such steps few are left of any corpus.
+FAN_IN = 64
 #: Tokens of a block at most, about.
 BLOCK_TOKENS = 4_000_000
 
@@ -206,40 +206,56 @@ def _describe(n: int):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=names
             )
-        one, bucket = pa.nulls(1), TaskContext.get().partitionId() % FAN_IN
+        one, task = pa.nulls(1), TaskContext.get().partitionId()
         for i, part in enumerate(count.reshape(-1, 1 << LOG2_PART)):
-            held = np.flatnonzero(part).astype(np.uint32)
-            if len(held):
-                yield pa.RecordBatch.from_arrays([*[one.cast(pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([bucket], pa.int32()), pa.array([held.tobytes() + part[held].astype(np.uint32).tobytes()], pa.binary())], names=names)
+            if part.any():
+                yield pa.RecordBatch.from_arrays([*[one.cast(pa.int64())] * 4, pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([_packed(part)], pa.binary())], names=names)
 
     return describe
 
 
-def _ranks(fragments: DataFrame) -> np.ndarray:
-    """For each cell eight times the binary logarithm of its count, 255 at most: the partitions' sketches, merged in two steps."""
+def _packed(counts: np.ndarray) -> bytes:
+    """A part's counts: all of them, or places and counts if that is shorter.  The first byte says which, and of how many bytes a count is."""
+    held = np.flatnonzero(counts).astype(np.uint16)
+    width = counts.dtype.itemsize
+    if len(held) * (2 + width) < counts.nbytes:
+        return bytes([width]) + held.tobytes() + counts[held].tobytes()
+    return bytes([16 + width]) + counts.tobytes()
+
+
+def _merged(packed) -> np.ndarray:
+    total = np.zeros(1 << LOG2_PART, np.uint32)
+    for p in packed:
+        width = p[0] & 15
+        kind = np.uint8 if width == 1 else np.uint32
+        if p[0] < 16:
+            n = (len(p) - 1) // (2 + width)
+            at, counts = np.frombuffer(p, np.uint16, n, 1), np.frombuffer(p[1 + 2 * n :], kind)
+        else:
+            at, counts = slice(None), np.frombuffer(p[1:], kind)
+        total[at] += np.minimum(counts, (1 << 32) - 1 - total[at]).astype(np.uint32)
+    return total
 
-    def merge(rows):
-        total = np.zeros(1 << LOG2_PART, np.uint32)
-        for r in rows:
-            at, count = np.frombuffer(r, np.uint32).reshape(2, -1)
-            total[at] += np.minimum(count, (1 << 32) - 1 - total[at])
-        return total
 
-    def first(key, pdf):
+def _ranks(fragments: DataFrame) -> np.ndarray:
+    """For each cell eight times the binary logarithm of its count, 255 at most: the partitions' sketches, merged in three steps."""
+
+    def some(key, pdf):
         import pandas as pd
 
-        total = merge(pdf["cells"])
-        at = np.flatnonzero(total).astype(np.uint32)
-        return pd.DataFrame({"part": [key[0]], "cells": [at.tobytes() + total[at].tobytes()]})
+        return pd.DataFrame({"part": [key[0]], "bucket": [key[1]], "cells": [_packed(_merged(pdf["cells"]))]})
 
     def last(key, pdf):
         import pandas as pd
 
-        total = merge(pdf["cells"])
+        total = _merged(pdf["cells"])
         return pd.DataFrame({"part": [key[0]], "cells": [np.minimum(np.round(8 * np.log2(np.maximum(total, 1))), 255).astype(np.uint8).tobytes()]})
 
     shape = "part int, cells binary"
-    merged = fragments.groupBy("part", "bucket").applyInPandas(first, shape).groupBy("part").applyInPandas(last, shape)
+    merged = fragments
+    for _ in range(2):
+        merged = merged.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int")).groupBy("part", "bucket").applyInPandas(some, "part int, bucket int, cells binary")
+    merged = merged.groupBy("part").applyInPandas(last, shape)
     out = np.zeros((1 << (LOG2_CELLS - LOG2_PART), 1 << LOG2_PART), np.uint8)
     for r in merged.collect():  # 2**LOG2_CELLS bytes at most, whatever the corpus
         out[r["part"]] = np.frombuffer(r["cells"], np.uint8)

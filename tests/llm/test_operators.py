@@ -213,6 +213,12 @@ def test_large_families_lose_no_link(spark, block):
     assert len({want.find(i) for i in range(len(sets))}) > 1
 
 
+def test_sketch_parts_merge():
+    rng = np.random.default_rng(6)
+    parts = [(rng.integers(0, 200, 1 << ngram_join.LOG2_PART) * (rng.random(1 << ngram_join.LOG2_PART) < share)).astype(kind) for share in (0.001, 0.2, 0.9, 0) for kind in (np.uint8, np.uint32)]
+    assert (ngram_join._merged([ngram_join._packed(p) for p in parts]) == sum(p.astype(np.int64) for p in parts)).all()
+
+
 def test_union_find(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 90), (90, 95), (7, 7)] + [(200, x) for x in range(201, 260)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
