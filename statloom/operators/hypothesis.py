@@ -15,10 +15,13 @@ from pyspark.sql.window import Window
 
 from ..functions import dist as D
 from ..types import finite
+from ..storage import written
+from .concordance import falling_pairs, tie_sums
 from .running import quantiles, running_counts
 
 #: Groups and categories at most.
 MOST_GROUPS = 50
+#: Rows up to which the advice names Kendall's tau.
 KENDALL_ROWS = 10_000
 
 
@@ -98,17 +101,17 @@ def pair_moments(df: DataFrame, x: str, y: str) -> DataFrame:
     return v.agg(F.count("*").alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("vx"), F.var_samp("y").alias("vy"), F.covar_samp("x", "y").alias("cxy"), F.avg(F.col("x") - F.col("y")).alias("md"), F.var_samp(F.col("x") - F.col("y")).alias("vd"))
 
 
-def tie_ranks(values: DataFrame, by: list[str] = ()) -> DataFrame:
+def tie_ranks(values: DataFrame, by: list[str] = (), at_most: int | None = None) -> DataFrame:
     """v, n, [by]..., rank, ties: values has a row for each distinct v with its count n; the rank is the average one."""
-    ranked = running_counts(values, by).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
+    ranked = running_counts(values, by, at_most=at_most).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2)
     return ranked.withColumn("ties", F.pow("n", F.lit(3)) - F.col("n")).drop("before")
 
 
 def rank_sums(df: DataFrame, group: str, value: str) -> DataFrame:
     """label, n, rank_sum, total, ties for each group."""
     v = df.select(F.col(group).cast("string").alias("label"), finite(value).alias("v")).where("label is not null and v is not null")
-    cells = v.groupBy("v", "label").agg(F.count("*").alias("c"))
-    ranked = tie_ranks(cells.groupBy("v").agg(F.sum("c").alias("n")))
+    cells, n_cells = written(v.groupBy("v", "label").agg(F.count("*").alias("c")), "cells")
+    ranked = tie_ranks(cells.groupBy("v").agg(F.sum("c").alias("n")), at_most=n_cells)
     total = ranked.agg(F.sum("n").alias("total"), F.sum("ties").alias("ties"))
     sums = cells.join(ranked.select("v", "rank"), "v").groupBy("label").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("rank_sum"))
     return sums.crossJoin(F.broadcast(total)).orderBy("label")  # one row
@@ -336,53 +339,41 @@ def correlation(n: int, vx: float, vy: float, cxy: float, name: str = "pearson",
 def rank_pairs(df: DataFrame, x: str, y: str) -> DataFrame:
     """x, y, c: average ranks of each distinct pair and its count."""
     cells = df.select(finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("c"))
+    cells, n_cells = written(cells, "cells")
     for k in ("x", "y"):
-        ranks = tie_ranks(cells.groupBy(F.col(k).alias("v")).agg(F.sum("c").alias("n"))).select(F.col("v").alias(k), F.col("rank").alias(f"r{k}"))
+        ranks = tie_ranks(cells.groupBy(F.col(k).alias("v")).agg(F.sum("c").alias("n")), at_most=n_cells).select(F.col("v").alias(k), F.col("rank").alias(f"r{k}"))
         cells = cells.join(ranks, k)
     return cells.select(F.col("rx").alias("x"), F.col("ry").alias("y"), "c")
 
 
 def weighted_moments(pairs: DataFrame) -> DataFrame:
-    """n, vx, vy, cxy of pairs with counts; ranks are centred by their known mean."""
-    n = pairs.agg(F.sum("c").alias("n"))
-    p = pairs.crossJoin(F.broadcast(n)).withColumn("dx", F.col("x") - (F.col("n") + 1) / 2).withColumn("dy", F.col("y") - (F.col("n") + 1) / 2)
-    return p.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("dx") * F.col("dx")).alias("vx"), F.sum(F.col("c") * F.col("dy") * F.col("dy")).alias("vy"), F.sum(F.col("c") * F.col("dx") * F.col("dy")).alias("cxy"))
-
-
-def _inversions(y):
-    """(pairs in falling order, y sorted), by merging halves."""
-    import numpy as np
+    """n, vx, vy, cxy of pairs of average ranks with counts: sums about the mean rank, (n + 1) / 2, which loses a bit or two only."""
+    sums = pairs.agg(F.sum("c").alias("n"), *[F.sum(F.col("c") * F.col(a) * F.col(b)).alias(k) for k, a, b in (("vx", "x", "x"), ("vy", "y", "y"), ("cxy", "x", "y"))])
+    mean = (F.col("n") + 1) / 2
+    return sums.select("n", *[(F.col(k) - F.col("n") * mean * mean).alias(k) for k in ("vx", "vy", "cxy")])
 
-    if len(y) < 2:
-        return 0, y
-    (m, left), (n, right) = (_inversions(h) for h in (y[: len(y) // 2], y[len(y) // 2 :]))
-    return m + n + int((len(left) - np.searchsorted(left, right, side="right")).sum()), np.sort(np.concatenate([left, right]), kind="stable")
 
-
-def kendall(df: DataFrame, x: str, y: str) -> TestResult:
-    """Tau-b of at most KENDALL_ROWS rows, by counting inversions of y in the order of x."""
-    cells = df.select(finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null")
-    rows = cells.limit(KENDALL_ROWS + 1).collect()
-    n = len(rows)
-    if n > KENDALL_ROWS:
-        raise TestError(f"more than {KENDALL_ROWS} rows")
+def kendall(df: DataFrame, x: str, y: str, rows: int | None = None) -> TestResult:
+    """Tau-b from exact counts of pairs; rows that share both values are one cell."""
+    cells = df.select(finite(x).alias("x"), finite(y).alias("y")).where("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("c"))
+    cells, n_cells = written(cells, "cells")
+    parts = [cells.agg(F.sum("c").alias("n")), falling_pairs(cells, n_cells, rows), tie_sums(cells.withColumnRenamed("c", "t"), "xy")]
+    parts += [tie_sums(cells.groupBy(k).agg(F.sum("c").alias("t")), k) for k in ("x", "y")]
+    one = parts[0]
+    for p in parts[1:]:
+        one = one.crossJoin(F.broadcast(p))  # one row each
+    m = one.first()
+    n = m["n"] or 0
     if n < 2:
         raise TestError("needs two pairs")
-    import numpy as np
-
-    a, b = (np.array([r[i] for r in rows]) for i in (0, 1))
-    t, u = (np.unique(v, return_counts=True)[1].astype(float) for v in (a, b))
-    pairs = n * (n - 1) / 2
-    tx, ty = (t * (t - 1) / 2).sum(), (u * (u - 1) / 2).sum()
-    if tx == pairs or ty == pairs:
+    pairs2, tx, ty = n * (n - 1), int(m["x_pairs2"]), int(m["y_pairs2"])
+    if pairs2 in (tx, ty):
         raise TestError("all values are equal")
-    txy = np.unique(np.stack([a, b]), axis=1, return_counts=True)[1].astype(float)
-    s = pairs - tx - ty + (txy * (txy - 1) / 2).sum() - 2 * _inversions(b[np.lexsort((b, a))])[0]
-    tau = s / math.sqrt((pairs - tx) * (pairs - ty))
-    var = (n * (n - 1) * (2 * n + 5) - (t * (t - 1) * (2 * t + 5)).sum() - (u * (u - 1) * (2 * u + 5)).sum()) / 18
-    var += (t * (t - 1)).sum() * (u * (u - 1)).sum() / (2 * n * (n - 1))
+    s = (pairs2 - tx - ty + int(m["xy_pairs2"]) - 4 * int(m["falling"])) // 2
+    tau = 2 * s / math.sqrt((pairs2 - tx) * (pairs2 - ty))
+    var = (n * (n - 1) * (2 * n + 5) - m["x_cubes"] - m["y_cubes"]) / 18 + tx * ty / (2 * n * (n - 1))
     if n > 2:
-        var += (t * (t - 1) * (t - 2)).sum() * (u * (u - 1) * (u - 2)).sum() / (9 * n * (n - 1) * (n - 2))
+        var += m["x_triples"] * m["y_triples"] / (9 * n * (n - 1) * (n - 2))
     z = s / math.sqrt(var) if var > 0 else math.nan
     return TestResult("kendall", z, 2 * D.normal_sf(abs(z)), None, None, "tau", tau, tau, n=n)
 

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import written
 from ..types import finite
-from .running import quantiles
+from .running import quantiles_of
 
 DISTINCT_CAP = 10_000
 CORRELATED = 20
@@ -49,8 +50,9 @@ def profile(df: DataFrame) -> DataFrame:
         )
     found = p.agg(*moments).select(F.explode(F.array(*[f"s{i}" for i in range(len(names))])).alias("s")).select("s.*")
     values = p.select(F.explode(F.array(*cells)).alias("c")).where("c is not null").groupBy("c.position", "c.v", "c.h").agg(F.count("*").alias("n"))
+    values, n_values = written(values, "cells")
     distinct = values.groupBy("position").agg(F.count("*").alias("_d"))
-    quarters = quantiles(values.where("v is not null").select("position", "v", "n"), ["position"], [0.25, 0.5, 0.75])
+    quarters = quantiles_of(values.where("v is not null").select("position", "v", "n"), n_values, ["position"], [0.25, 0.5, 0.75])
     # a row for each column on every side
     found = found.join(distinct, "position", "left").join(quarters, "position", "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
     found = found.withColumn("distinct", F.least("_d", F.lit(DISTINCT_CAP))).withColumn("distinct_capped", F.col("_d") > DISTINCT_CAP)

@@ -1,8 +1,7 @@
-"""Running counts and exact quantiles over distinct values, without a window over all of them.
+"""Running counts and exact quantiles over distinct values, in buckets of values (see ordered.py).
 
-Values are cut into buckets at approximate quantiles (one small row that is broadcast); running
-counts stay within a bucket, and a bucket's start comes from the few sums of the buckets before it.
-So no task orders more than its bucket, and any quantiles that are roughly right give the same result.
+The distinct values are written once; all that follows reads that table, whose size sets the
+number of buckets.
 """
 
 from __future__ import annotations
@@ -11,27 +10,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKETS = 64
+from ..storage import written
+from .ordered import ROWS, add_starts, in_buckets
 
 
-def running_counts(values: DataFrame, by: list[str] = (), buckets: int = BUCKETS) -> DataFrame:
-    """values (by, v, n; each v once for each by) with ``before``, the sum of n of lesser v."""
-    probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    edges = values.agg(F.array_distinct(F.approx_percentile("v", probabilities, F.lit(10 * buckets))).alias("_edges"))
-    cut = values.crossJoin(F.broadcast(edges))  # one row
-    cut = cut.withColumn("_bucket", F.coalesce(F.size(F.filter("_edges", lambda e: e < F.col("v"))), F.lit(0))).drop("_edges")
-    sums = cut.groupBy(*by, "_bucket").agg(F.sum("n").alias("_n"))
-    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.select(*by, "_bucket", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))  # a row for each bucket
+def _counted(values: DataFrame, n: int, by: list[str], rows: int | None) -> DataFrame:
+    cut = add_starts(in_buckets(values, n, "v", by, rows), n, by, "n", rows)
     order = Window.partitionBy(*by, "_bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    counted = cut.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)))
-    return counted.join(starts, [*by, "_bucket"]).withColumn("before", F.col("before") + F.col("_start")).drop("_bucket", "_start")
+    return cut.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0)) + F.col("_start")).drop("_bucket", "_start")
+
+
+def _known(values: DataFrame, at_most: int | None, rows: int | None) -> tuple[DataFrame, int]:
+    """values that may be read often, and how many: written, unless so few are possible that one bucket takes them."""
+    if at_most is not None and at_most <= (rows or ROWS):
+        return values, at_most
+    return written(values, "values")
+
+
+def running_counts(values: DataFrame, by: list[str] = (), rows: int | None = None, at_most: int | None = None) -> DataFrame:
+    """values (by, v, n; each v once for each by) with ``before``, the sum of n of lesser v."""
+    return _counted(*_known(values, at_most, rows), list(by), rows)
 
 
-def quantiles(values: DataFrame, by: list[str], probabilities: list[float]) -> DataFrame:
+def quantiles(values: DataFrame, by: list[str], probabilities: list[float], rows: int | None = None, at_most: int | None = None) -> DataFrame:
     """by, q0, q1, ...: exact linearly interpolated quantiles of values (by, v, n)."""
+    return quantiles_of(*_known(values, at_most, rows), by, probabilities, rows)
+
+
+def quantiles_of(values: DataFrame, n: int, by: list[str], probabilities: list[float], rows: int | None = None) -> DataFrame:
+    """The same of a table of n rows that gives the same rows whenever it is read."""
     totals = values.groupBy(*by).agg(F.sum("n").alias("_all"))
-    run = running_counts(values, by)
+    run = _counted(values, n, by, rows)
     run = run.join(totals, by) if by else run.crossJoin(F.broadcast(totals))
 
     def at(place):

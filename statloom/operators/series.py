@@ -1,7 +1,8 @@
 """Ordered series: collapse, decomposition and control charts, plain or for each group.
 
-Rows are first aggregated to one value for each group and x, so windows run over series,
-not over raw rows; a group is a partition of the window.
+Rows are first aggregated to one value for each group and x, and written.  Positions come from
+buckets of x, and windows run over blocks of positions with a halo (ordered.py), so neither a long
+series without groups nor a long group is one task.
 """
 
 from __future__ import annotations
@@ -10,13 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..storage import written
 from ..types import finite
+from .ordered import add_starts, in_blocks, in_buckets
 
 #: Mean moving range over sigma, for ranges of two.
 D2 = 1.128
 
 
-def series(df: DataFrame, x: str | Column, y: str | Column, groups: list[str] = (), how: str = "avg") -> DataFrame:
+def series(df: DataFrame, x: str | Column, y: str | Column, groups: list[str] = (), how: str = "avg", bucket_rows: int | None = None) -> DataFrame:
     """groups, i (0, 1, ...), x, v: one value for each x, in its order; null and non-finite cells are dropped."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
     rows = df.select(*groups, x.alias("x"), finite(y).alias("v"))
@@ -26,10 +29,17 @@ def series(df: DataFrame, x: str | Column, y: str | Column, groups: list[str] =
     for g in groups:
         rows = rows.where(F.col(g).isNotNull())
     rows = rows.groupBy(*groups, "x").agg((F.sum if how == "sum" else F.avg)("v").alias("v"))
-    return rows.withColumn("i", (F.row_number().over(Window.partitionBy(*groups).orderBy("x")) - 1).cast("long")).select(*groups, "i", "x", "v")
+    rows, n = written(rows, "series")
+    cut = add_starts(in_buckets(rows, n, "x", groups, bucket_rows), n, groups, rows=bucket_rows)
+    at = F.row_number().over(Window.partitionBy(*groups, "_bucket").orderBy("x")) - 1
+    return cut.withColumn("i", (F.col("_start") + at).cast("long")).select(*groups, "i", "x", "v")
 
 
-def decompose(points: DataFrame, period: int, groups: list[str] = (), multiplicative: bool = False) -> DataFrame:
+def _with_totals(rows: DataFrame, totals: DataFrame, groups: list[str]) -> DataFrame:
+    return rows.join(totals, groups) if groups else rows.crossJoin(F.broadcast(totals))  # one row
+
+
+def decompose(points: DataFrame, period: int, groups: list[str] = (), multiplicative: bool = False, block: int | None = None) -> DataFrame:
     """Classical decomposition: groups, i, x, v, trend, seasonal, residual, error.
 
     The trend is the centred moving average over one period (half weights at the ends of an
@@ -37,21 +47,20 @@ def decompose(points: DataFrame, period: int, groups: list[str] = (), multiplica
     """
     if period < 2:
         raise ValueError("period must be at least 2")
-    h, by = period // 2, Window.partitionBy(*groups)
-    frame = by.orderBy("i").rowsBetween(-h, h)
+    h, groups = period // 2, list(groups)
+    frame = Window.partitionBy(*groups, "_block").orderBy("i").rowsBetween(-h, h)
     total = F.sum("v").over(frame)
     if period % 2 == 0:
         total = total - (F.first("v").over(frame) + F.last("v").over(frame)) / 2
-    p = points.withColumn("n", F.count("*").over(by)).withColumn("low", F.min("v").over(by))
-    p = p.withColumn("trend", F.when(F.count("*").over(frame) == 2 * h + 1, total / period))
+    p = in_blocks(points, h, h, block).withColumn("trend", F.when(F.count("*").over(frame) == 2 * h + 1, total / period)).where("_own")
     rest = F.try_divide("v", "trend") if multiplicative else F.col("v") - F.col("trend")
     p = p.withColumn("phase", F.col("i") % period).withColumn("rest", rest)
-    in_phase = Window.partitionBy(*groups, "phase")
-    p = p.withColumn("raw", F.coalesce(F.avg("rest").over(in_phase), F.lit(0.0)))
-    # the mean of the phase means, each phase once
-    level = F.avg(F.when(F.col("i") < period, F.col("raw"))).over(by)
-    seasonal = F.when(F.abs(level) > 1e-12, F.col("raw") / level).otherwise(F.col("raw")) if multiplicative else F.col("raw") - level
-    p = p.withColumn("seasonal", seasonal)
+    phases = p.groupBy(*groups, "phase").agg(F.coalesce(F.avg("rest"), F.lit(0.0)).alias("raw"), F.count("*").alias("n"), F.min("v").alias("low"))
+    whole = phases.groupBy(*groups).agg(F.avg("raw").alias("level"), F.sum("n").alias("n"), F.min("low").alias("low"))
+    raw, level = F.col("raw"), F.col("level")
+    seasonal = F.when(F.abs(level) > 1e-12, raw / level).otherwise(raw) if multiplicative else raw - level
+    season = _with_totals(phases.select(*groups, "phase", "raw"), whole, groups).select(*groups, "phase", seasonal.alias("seasonal"), "n", "low")
+    p = p.join(season if groups else F.broadcast(season), [*groups, "phase"])  # a row for each phase
     p = p.withColumn("residual", F.try_divide("v", F.col("trend") * F.col("seasonal")) if multiplicative else F.col("v") - F.col("trend") - F.col("seasonal"))
     error = F.when(F.col("n") < 2 * period, F.lit("too_few_points"))
     if multiplicative:
@@ -78,28 +87,32 @@ def seasonal_pattern(parts: DataFrame, period: int, groups: list[str] = ()) -> D
     return parts.where(F.col("i") < period).select(*groups, "phase", "seasonal")
 
 
-def spc(points: DataFrame, groups: list[str] = ()) -> DataFrame:
+def spc(points: DataFrame, groups: list[str] = (), block: int | None = None) -> DataFrame:
     """I-chart: groups, i, x, v, n, center, sigma, ucl, lcl, r1, r2, r3, error.
 
     r1: outside three sigma; r2: ninth and later point on one side of the centre; r3: sixth
-    and later point of a run that only rises or only falls.
+    and later point of a run that only rises or only falls.  Both runs are seen from the eight
+    points before.
     """
-    by = Window.partitionBy(*groups)
-    order = by.orderBy("i")
-    p = points.withColumn("pv", F.lag("v").over(order)).withColumn("n", F.count("*").over(by))
-    p = p.withColumn("center", F.avg("v").over(by)).withColumn("sigma", F.avg(F.abs(F.col("v") - F.col("pv"))).over(by) / D2)
-    p = p.withColumn("side", F.signum(F.col("v") - F.col("center"))).withColumn("dir", F.signum(F.col("v") - F.col("pv")))
-    for c in ("side", "dir"):
-        p = p.withColumn(f"{c}_new", F.when(F.col(c).eqNullSafe(F.lag(c).over(order)), 0).otherwise(1))
-        p = p.withColumn(f"{c}_island", F.sum(f"{c}_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        p = p.withColumn(f"{c}_run", F.row_number().over(Window.partitionBy(*groups, f"{c}_island").orderBy("i")))
+    groups = list(groups)
+    order = Window.partitionBy(*groups, "_block").orderBy("i")
+    p = in_blocks(points, before=8, block=block).withColumn("pv", F.lag("v").over(order))
+    step = F.avg(F.abs(F.col("v") - F.col("pv")))
+    limits = p.where("_own").groupBy(*groups).agg(F.count("*").alias("n"), F.avg("v").alias("center"), (step / D2).alias("sigma"))
+    p = _with_totals(p, limits, groups).withColumn("side", F.signum(F.col("v") - F.col("center"))).withColumn("dir", F.signum(F.col("v") - F.col("pv")))
+
+    def run(c: str, length: int) -> Column:
+        frame = order.rowsBetween(1 - length, 0)
+        return (F.count(c).over(frame) == length) & (F.min(c).over(frame) == F.max(c).over(frame)) & (F.col(c) != 0)
+
+    p = p.withColumn("run2", run("side", 9)).withColumn("run3", run("dir", 5)).where("_own")
     ok = F.col("n") >= 8
     p = p.withColumn("ucl", F.col("center") + 3 * F.col("sigma")).withColumn("lcl", F.col("center") - 3 * F.col("sigma"))
     return p.select(
         *groups, "i", "x", "v", "n", "center", "sigma", "ucl", "lcl",
         (ok & ((F.col("v") > F.col("ucl")) | (F.col("v") < F.col("lcl")))).alias("r1"),
-        (ok & (F.col("side") != 0) & (F.col("side_run") >= 9)).alias("r2"),
-        F.coalesce(ok & (F.col("dir") != 0) & (F.col("dir_run") >= 5), F.lit(False)).alias("r3"),
+        (ok & F.col("run2")).alias("r2"),
+        F.coalesce(ok & F.col("run3"), F.lit(False)).alias("r3"),
         F.when(~ok, F.lit("too_few_points")).alias("error"),
     )
 
