@@ -1,8 +1,9 @@
-"""k-means with an automatic number of clusters.
+"""k-means with an automatic number of clusters, over one vector column.
 
-Training takes at most about TRAIN_ROWS rows (a documented bound): of rows that are equal, their
-share, rounded up or down by a hash of the values.  Every row is assigned by a Spark expression
-over the centroids.
+The first centroids are fitted to at most about TRAIN_ROWS rows (a documented bound), drawn row by
+row with a seed, so rows that are equal keep their share.  Where there are more rows than that,
+rounds over all of them follow, in which each task adds up its rows by nearest centroid.  Rows are
+assigned batch by batch, by array operations.
 """
 
 from __future__ import annotations
@@ -10,12 +11,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..types import finite
-
 TRAIN_ROWS = 20_000
+#: Rounds over all rows at most, after the fit to the training rows.
+FULL_ROUNDS = 10
 
 
 @dataclass
@@ -28,81 +30,129 @@ class KMeans:
     dropped: int
 
 
-def _whole(df: DataFrame, features: list[str]) -> DataFrame:
-    whole = F.lit(True)
-    for c in features:
-        whole = whole & finite(c).isNotNull()
-    return df.where(whole)
+def vector(features: list[str]) -> Column:
+    """The features as an array of doubles, null where one is no finite number."""
+    cells = F.array(*[F.col(c).try_cast("double") for c in features])
+    return F.when(F.forall(cells, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), cells)
+
+
+def _matrix(column) -> np.ndarray:
+    """Rows of an Arrow column of arrays of one length."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """Squared distances, one column for each centroid, from differences: no digits are lost."""
+    return np.stack([((x - c) ** 2).sum(1) for c in centroids], axis=1)
 
 
-def _training(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    v = df.select(*[finite(c).alias(f"_{i}") for i, c in enumerate(features)])
-    stats = v.agg(F.count("*").alias("n"), *[F.avg(f"_{i}").alias(f"m{i}") for i in range(len(features))], *[F.stddev_pop(f"_{i}").alias(f"s{i}") for i in range(len(features))]).first()
-    n = stats["n"]
+def _training(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(standardised training rows in order, mean, scale, complete rows, other rows)."""
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    v = df.select(vector(features).alias("v"))
+    none = F.array(*[F.lit(0.0)] * len(features))
+    summary = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.coalesce("v", none)), F.when(F.col("v").isNull(), 0.0).otherwise(1.0))
+    found = v.agg(F.count("v").alias("n"), F.count("*").alias("all"), summary.alias("s")).first()
+    n = found["n"]
     if not n:
         raise ValueError("no complete rows")
-    mean = np.array([stats[f"m{i}"] for i in range(len(features))])
-    scale = np.array([stats[f"s{i}"] if stats[f"s{i}"] > 1e-12 else 1.0 for i in range(len(features))])
-    keys = [f"_{i}" for i in range(len(features))]
+    mean = found["s"]["mean"].toArray()
+    spread = np.sqrt(found["s"]["variance"].toArray() * (n - 1) / n)
+    scale = np.where(spread > 1e-12, spread, 1.0)
+    v = v.where("v is not null")
     if n > TRAIN_ROWS:
-        step = n / (0.95 * TRAIN_ROWS)  # rounding moves the sum by far less than the twentieth left
-        part = F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        taken = v.groupBy(*keys).agg(F.count("*").alias("_n")).select(*keys, F.floor(F.col("_n") / F.lit(step) + part).cast("int").alias("_n")).where("_n > 0")
-        got = np.array([tuple(r) for r in taken.collect()], float).reshape(-1, len(features) + 1)
-        rows = np.repeat(got[:, :-1], got[:, -1].astype(int), axis=0)
-    else:
-        rows = np.array([tuple(r) for r in v.collect()], float).reshape(-1, len(features))
+        v = v.sample(0.95 * TRAIN_ROWS / n, 1)  # the number drawn strays by far less than the twentieth left
+    rows = _matrix(v.toArrow()["v"].combine_chunks())
     rows = rows[np.lexsort(rows.T[::-1])]
-    return (rows - mean) / scale, mean, scale, n
+    return (rows - mean) / scale, mean, scale, n, found["all"] - n
 
 
 def lloyd(z: np.ndarray, k: int, seed: int, restarts: int = 3, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Centroids and inertia; k-means++ starts, empty clusters take the farthest point."""
     best = None
+    squares = (z**2).sum(1)
     for turn in range(restarts):
         rng = np.random.default_rng(seed + turn)
         c = z[[rng.integers(len(z))]]
+        d = ((z - c[0]) ** 2).sum(1)
         while len(c) < k:
-            d = ((z[:, None] - c[None]) ** 2).sum(-1).min(1)
             c = np.vstack([c, z[rng.choice(len(z), p=d / d.sum()) if d.sum() > 0 else rng.integers(len(z))]])
+            d = np.minimum(d, ((z - c[-1]) ** 2).sum(1))
         for _ in range(rounds):
-            d = ((z**2).sum(1)[:, None] - 2 * z @ c.T + (c**2).sum(1)).clip(min=0)
+            d = (squares[:, None] - 2 * z @ c.T + (c**2).sum(1)).clip(min=0)
             own = d.argmin(1)
             new = np.array([z[own == j].mean(0) if (own == j).any() else z[d.min(1).argmax()] for j in range(k)])
             moved = ((new - c) ** 2).sum(1).max()
             c = new
             if moved < 1e-8:
                 break
-        inertia = float(((z[:, None] - c[None]) ** 2).sum(-1).min(1).sum())
+        inertia = float(_distances(z, c).min(1).sum())
         if best is None or inertia < best[1]:
             best = c, inertia
     return best
 
 
+def full_rounds(df: DataFrame, features: list[str], c: np.ndarray, mean: np.ndarray, scale: np.ndarray, rounds: int = FULL_ROUNDS) -> tuple[np.ndarray, float]:
+    """Centroids and inertia after rounds over all rows; a task gives out sums for each centroid only.  A centroid without rows stays where it is."""
+    v = df.select(vector(features).alias("v")).where("v is not null")
+    inertia = 0.0
+    for _ in range(rounds):
+
+        def sums(batches, c=c):
+            n, total, far = np.zeros(len(c), np.int64), np.zeros_like(c), np.zeros(len(c))
+            for batch in batches:
+                if batch.num_rows:
+                    z = (_matrix(batch.column("v")) - mean) / scale
+                    d = _distances(z, c)
+                    own = d.argmin(1)
+                    n += np.bincount(own, minlength=len(c))
+                    far += np.bincount(own, d.min(1), len(c))
+                    np.add.at(total, own, z)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(c)), pa.int32()), pa.array(n), pa.array(far), pa.array(total.tolist())], ["k", "n", "far", "total"])
+
+        parts = v.mapInArrow(sums, "k int, n long, far double, total array<double>")
+        by = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("far").alias("far"), F.array(*[F.sum(F.col("total")[i]) for i in range(c.shape[1])]).alias("total"))
+        new = c.copy()
+        inertia = 0.0
+        for r in by.collect():  # a row for each centroid
+            inertia += r["far"]
+            if r["n"]:
+                new[r["k"]] = np.array(r["total"]) / r["n"]
+        moved, c = ((new - c) ** 2).sum(1).max(), new
+        if moved < 1e-8:
+            break
+    return c, inertia
+
+
 def kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42) -> KMeans:
     if not 2 <= k <= 50:
         raise ValueError("k must be from 2 to 50")
-    whole = _whole(df, features)
-    z, mean, scale, n = _training(whole, features)
+    z, mean, scale, n, dropped = _training(df, features)
     c, inertia = lloyd(z, min(k, len(z)), seed, 3 if n <= TRAIN_ROWS else 1)
+    if n > TRAIN_ROWS:
+        c, inertia = full_rounds(df, features, c, mean, scale)
     c = c[np.lexsort(c.T[::-1])]
-    return KMeans(c * scale + mean, mean, scale, inertia, n, df.count() - n)
+    return KMeans(c * scale + mean, mean, scale, inertia, n, dropped)
 
 
 def assign(df: DataFrame, features: list[str], model: KMeans) -> DataFrame:
     """Rows without gaps, with a column cluster: the nearest centroid, ties to the least."""
-    cells = {f"_f{i}": finite(f) for i, f in enumerate(features)}
+    centroids, scale = model.centroids / model.scale, model.scale
 
-    def distance(c: np.ndarray) -> str:
-        return " + ".join(f"pow((_f{i} - ({float(x)!r}D)) / {float(s)!r}D, 2)" for i, (x, s) in enumerate(zip(c, model.scale)))
+    @F.arrow_udf("int")
+    def nearest(v: pa.Array) -> pa.Array:
+        x = _matrix(v) / scale if len(v) else np.zeros((0, len(scale)))
+        return pa.array(_distances(x, centroids).argmin(1), pa.int32())
 
-    nearest = F.expr("array_min(array(" + ", ".join(f"struct({distance(c)} AS d, {i} AS i)" for i, c in enumerate(model.centroids)) + ")).i")
-    return _whole(df, features).withColumns(cells).withColumn("cluster", nearest).drop(*cells)
+    whole = df.withColumn("_v", vector(features)).where("_v is not null")
+    return whole.withColumn("cluster", nearest("_v")).drop("_v")
 
 
 def elbow(df: DataFrame, features: list[str], k_max: int = 10, seed: int = 42) -> tuple[list[tuple[int, float]], int]:
     """(k, inertia) for k = 1, 2, ... and the k farthest below the line from the first to the last."""
-    z, _, _, n = _training(_whole(df, features), features)
+    z, _, _, n, _ = _training(df, features)
     k_max = min(max(2, min(k_max, 20)), len(z))
     curve = [(1, float((z**2).sum()))] + [(k, lloyd(z, k, seed, 3 if n <= TRAIN_ROWS else 1)[1]) for k in range(2, k_max + 1)]
     ks, y = np.array([k for k, _ in curve], float), np.array([v for _, v in curve])
