@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TRAIN_ROWS = 20_000
 #: Rounds over all rows at most, after the fit to the training rows.
@@ -46,27 +47,40 @@ def _distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.stack([((x - c) ** 2).sum(1) for c in centroids], axis=1)
 
 
-def _training(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
-    """(standardised training rows in order, mean, scale, complete rows, other rows)."""
+def _summaries(df: DataFrame, features: list[str], by: list[str] = ()) -> list[tuple]:
+    """For each group (there are few) with complete rows: its values, their number, mean and scale, in one pass."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    v = df.select(vector(features).alias("v"))
-    none = F.array(*[F.lit(0.0)] * len(features))
-    summary = Summarizer.metrics("mean", "variance").summary(array_to_vector(F.coalesce("v", none)), F.when(F.col("v").isNull(), 0.0).otherwise(1.0))
-    found = v.agg(F.count("v").alias("n"), F.count("*").alias("all"), summary.alias("s")).first()
-    n = found["n"]
-    if not n:
+    v = df.select(*by, vector(features).alias("v")).where("v is not null")
+    summary = Summarizer.metrics("mean", "variance").summary(array_to_vector("v"))
+    out = []
+    # a constant key: without complete rows there is no group, and nothing to summarise
+    for r in v.groupBy(*(by or [F.lit(0).alias("_all")])).agg(F.count("*").alias("n"), summary.alias("s")).collect():
+        mean, spread = r["s"]["mean"].toArray(), np.sqrt(r["s"]["variance"].toArray() * (r["n"] - 1) / r["n"])
+        out.append((tuple(r[g] for g in by), r["n"], mean, np.where(spread > 1e-12, spread, 1.0)))
+    return out
+
+
+def _drawn(n: int) -> float:
+    """The share of n rows to train on: the number drawn strays by far less than the twentieth left."""
+    return 1.0 if n <= TRAIN_ROWS else 0.95 * TRAIN_ROWS / n
+
+
+def _standardised(rows: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return (rows[np.lexsort(rows.T[::-1])] - mean) / scale
+
+
+def _training(df: DataFrame, features: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """(standardised training rows in order, mean, scale, complete rows, other rows)."""
+    found = _summaries(df, features)
+    if not found:
         raise ValueError("no complete rows")
-    mean = found["s"]["mean"].toArray()
-    spread = np.sqrt(found["s"]["variance"].toArray() * (n - 1) / n)
-    scale = np.where(spread > 1e-12, spread, 1.0)
-    v = v.where("v is not null")
+    ((_, n, mean, scale),) = found
+    v = df.select(vector(features).alias("v")).where("v is not null")
     if n > TRAIN_ROWS:
-        v = v.sample(0.95 * TRAIN_ROWS / n, 1)  # the number drawn strays by far less than the twentieth left
-    rows = _matrix(v.toArrow()["v"].combine_chunks())
-    rows = rows[np.lexsort(rows.T[::-1])]
-    return (rows - mean) / scale, mean, scale, n, found["all"] - n
+        v = v.sample(_drawn(n), 1)
+    return _standardised(_matrix(v.toArrow()["v"].combine_chunks()), mean, scale), mean, scale, n, df.count() - n
 
 
 def lloyd(z: np.ndarray, k: int, seed: int, restarts: int = 3, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -94,36 +108,46 @@ def lloyd(z: np.ndarray, k: int, seed: int, restarts: int = 3, rounds: int = 30)
     return best
 
 
-def full_rounds(df: DataFrame, features: list[str], c: np.ndarray, mean: np.ndarray, scale: np.ndarray, rounds: int = FULL_ROUNDS) -> tuple[np.ndarray, float]:
-    """Centroids and inertia after rounds over all rows; a task gives out sums for each centroid only.  A centroid without rows stays where it is."""
-    v = df.select(vector(features).alias("v")).where("v is not null")
-    inertia = 0.0
+def full_rounds(v: DataFrame, models: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = FULL_ROUNDS) -> list[tuple[np.ndarray, float, np.ndarray]]:
+    """Centroids, inertia and rows of each centroid after rounds over all rows of v (g: place of the row's model; v).
+
+    models: centroids, mean, scale.  A task gives out sums for each centroid only; a centroid without
+    rows stays where it is.  Inertia and rows are those of the centroids before the last move.
+    """
+    centroids = [c for c, *_ in models]
+    width = len(models[0][1])
     for _ in range(rounds):
 
-        def sums(batches, c=c):
-            n, total, far = np.zeros(len(c), np.int64), np.zeros_like(c), np.zeros(len(c))
+        def sums(batches, centroids=centroids):
+            n, far, total = ([np.zeros((len(c), *shape)) for c in centroids] for shape in ((), (), (width,)))
             for batch in batches:
-                if batch.num_rows:
-                    z = (_matrix(batch.column("v")) - mean) / scale
-                    d = _distances(z, c)
+                if not batch.num_rows:
+                    continue
+                g, x = batch.column("g").to_numpy(), _matrix(batch.column("v"))
+                for i in np.unique(g):
+                    z = (x[g == i] - models[i][1]) / models[i][2]
+                    d = _distances(z, centroids[i])
                     own = d.argmin(1)
-                    n += np.bincount(own, minlength=len(c))
-                    far += np.bincount(own, d.min(1), len(c))
-                    np.add.at(total, own, z)
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(c)), pa.int32()), pa.array(n), pa.array(far), pa.array(total.tolist())], ["k", "n", "far", "total"])
-
-        parts = v.mapInArrow(sums, "k int, n long, far double, total array<double>")
-        by = parts.groupBy("k").agg(F.sum("n").alias("n"), F.sum("far").alias("far"), F.array(*[F.sum(F.col("total")[i]) for i in range(c.shape[1])]).alias("total"))
-        new = c.copy()
-        inertia = 0.0
+                    n[i] += np.bincount(own, minlength=len(n[i]))
+                    far[i] += np.bincount(own, d.min(1), len(n[i]))
+                    np.add.at(total[i], own, z)
+            places = [(i, k) for i, c in enumerate(centroids) for k in range(len(c)) if n[i][k]]
+            columns = zip(*[(i, k, int(n[i][k]), far[i][k], total[i][k].tolist()) for i, k in places]) if places else [[]] * 5
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], ["g", "k", "n", "far", "total"])
+
+        parts = v.mapInArrow(sums, "g int, k int, n long, far double, total array<double>")
+        by = parts.groupBy("g", "k").agg(F.sum("n").alias("n"), F.sum("far").alias("far"), F.array(*[F.sum(F.col("total")[i]) for i in range(width)]).alias("total"))
+        new, inertia, rows = [c.copy() for c in centroids], [0.0] * len(models), [np.zeros(len(c), np.int64) for c in centroids]
         for r in by.collect():  # a row for each centroid
-            inertia += r["far"]
-            if r["n"]:
-                new[r["k"]] = np.array(r["total"]) / r["n"]
-        moved, c = ((new - c) ** 2).sum(1).max(), new
+            inertia[r["g"]] += r["far"]
+            rows[r["g"]][r["k"]] = r["n"]
+            new[r["g"]][r["k"]] = np.array(r["total"]) / r["n"]
+        moved = max(((a - b) ** 2).sum(1).max() for a, b in zip(new, centroids))
+        centroids = new
         if moved < 1e-8:
             break
-    return c, inertia
+    return list(zip(centroids, inertia, rows))
 
 
 def kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42) -> KMeans:
@@ -132,11 +156,52 @@ def kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42) -> KM
     z, mean, scale, n, dropped = _training(df, features)
     c, inertia = lloyd(z, min(k, len(z)), seed, 3 if n <= TRAIN_ROWS else 1)
     if n > TRAIN_ROWS:
-        c, inertia = full_rounds(df, features, c, mean, scale)
+        v = df.select(F.lit(0).alias("g"), vector(features).alias("v")).where("v is not null")
+        ((c, inertia, _),) = full_rounds(v, [(c, mean, scale)])
     c = c[np.lexsort(c.T[::-1])]
     return KMeans(c * scale + mean, mean, scale, inertia, n, dropped)
 
 
+def kmeans_groups(df: DataFrame, by: list[str], shown: list[tuple], features: list[str], k: int = 3, seed: int = 42) -> DataFrame:
+    """cluster, count, by, error: clusters of each shown group (there are few), all in the same jobs.
+
+    One pass summarises all groups, one fits each to at most about TRAIN_ROWS of its rows in a task of
+    its own, and one moves the centroids by all rows and counts them, or as many as it takes for a
+    group with more rows.
+    """
+    if not 2 <= k <= 50:
+        raise ValueError("k must be from 2 to 50")
+    spark = df.sparkSession
+    names = spark.createDataFrame([(*v, i) for i, v in enumerate(shown)], df.select(*by).schema.add("_g", T.IntegerType()))
+    known = df.join(F.broadcast(names), by)  # a few rows
+    fitted = {key[0]: (n, mean, scale) for key, n, mean, scale in _summaries(known, features, ["_g"])}
+    v = known.select(F.col("_g").alias("g"), vector(features).alias("v")).where("v is not null")
+    found: dict[int, np.ndarray] = {}
+    if fitted:
+        share = F.element_at(F.create_map(*[F.lit(x) for g, s in fitted.items() for x in (g, _drawn(s[0]))]), F.col("g"))
+
+        def fit(key: tuple, rows: pa.Table) -> pa.Table:
+            n, mean, scale = fitted[key[0].as_py()]
+            z = _standardised(_matrix(rows["v"].combine_chunks()), mean, scale)
+            c, _ = lloyd(z, min(k, len(z)), seed, 3 if n <= TRAIN_ROWS else 1)
+            c = c[np.lexsort(c.T[::-1])]
+            return pa.table({"g": pa.array([key[0].as_py()] * len(c), pa.int32()), "c": pa.array(c.tolist(), pa.list_(pa.float64()))})
+
+        for r in v.where(F.rand(1) < share).groupBy("g").applyInArrow(fit, "g int, c array<double>").collect():
+            found.setdefault(r["g"], []).append(r["c"])
+    order = sorted(found)
+    rows = []
+    if order:
+        place = F.element_at(F.create_map(*[F.lit(x) for i, g in enumerate(order) for x in (g, i)]), F.col("g"))
+        many = max(fitted[g][0] for g in order) > TRAIN_ROWS
+        models = [(np.array(found[g]), *fitted[g][1:]) for g in order]
+        for g, (_, _, count) in zip(order, full_rounds(v.where(F.col("g").isin(order)).select(place.cast("int").alias("g"), "v"), models, FULL_ROUNDS if many else 1)):
+            rows += [(i, int(n), *shown[g], None) for i, n in enumerate(count) if n]
+    rows += [(None, None, *values, "no complete rows") for g, values in enumerate(shown) if g not in found]
+    kinds = T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("count", T.LongType()), *df.select(*by).schema.fields, T.StructField("error", T.StringType())])
+    return spark.createDataFrame(rows, kinds)
+
+
 def assign(df: DataFrame, features: list[str], model: KMeans) -> DataFrame:
     """Rows without gaps, with a column cluster: the nearest centroid, ties to the least."""
     centroids, scale = model.centroids / model.scale, model.scale

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import cluster as C
 from . import profile as P
 from . import series as S
 
@@ -38,25 +39,11 @@ def for_each(df: DataFrame, groups: list[str], kind: str, **kw) -> tuple[DataFra
         return S.decompose(points, min(366, max(2, kw.get("period", 7))), groups, kw.get("multiplicative", False)), total
     if kind == "regression":
         return P.ols_groups(part, kw["x"], kw["y"], groups), total
-    if kind in ("profile", "cluster"):  # a small number of shown groups, each a job of its own
-        from . import cluster as C
-
-        out = None
-        for values in shown:
-            one = part
-            for g, v in zip(groups, values):
-                one = one.where(F.col(g) == F.lit(v))
-            error = None
-            try:
-                rows = P.profile(one.select(kw["columns"])) if kind == "profile" else C.assign(one, kw["features"], C.kmeans(one, kw["features"], kw.get("k", 3))).groupBy("cluster").count()
-            except ValueError as e:
-                error, rows = str(e), out.drop(*groups, "error").limit(0) if out is not None else one.sparkSession.createDataFrame([], "cluster int, count long")
-                rows = rows.sparkSession.createDataFrame([tuple([None] * len(rows.columns))], rows.schema) if rows.columns else rows
-            for g, v in zip(groups, values):
-                rows = rows.withColumn(g, F.lit(v))
-            rows = rows.withColumn("error", F.lit(error))
-            out = rows if out is None else out.unionByName(rows)
-        return out, total
+    if kind == "profile":
+        columns = [c for c in kw["columns"] if c not in groups]
+        return P.profile(part.select(*groups, *columns), groups).withColumn("error", F.lit(None).cast("string")), total
+    if kind == "cluster":
+        return C.kmeans_groups(part, groups, shown, kw["features"], kw.get("k", 3), kw.get("seed", 42)), total
     raise ValueError(f"{kind} cannot run for each group")
 
 

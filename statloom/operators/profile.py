@@ -24,18 +24,21 @@ def positional(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return df.toDF(*[f"_c{i}" for i in range(len(df.columns))]), df.columns
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """One row for each column: position, name, kind, count, nulls, distinct (capped), and for numeric ones mean, std, min, quartiles, max.
+def profile(df: DataFrame, by: list[str] = ()) -> DataFrame:
+    """One row for each column (and group): position, name, kind, count, nulls, distinct (capped), and for numeric ones mean, std, min, quartiles, max.
 
-    Moments come from one pass; distinct counts and exact quartiles of all columns from one
-    aggregation to distinct cells.
+    Moments come from one pass; distinct counts and exact quartiles of all columns and groups from one
+    aggregation to distinct cells.  Groups with a null are left out.
     """
-    p, names = positional(df)
+    keys = [f"_g{i}" for i in range(len(by))]
+    p, names = positional(df.drop(*by))
+    if by:
+        p = df.select(*by, *[c for c in df.columns if c not in by]).toDF(*keys, *p.columns).dropna(subset=keys)
     if not names:
         return df.sparkSession.createDataFrame([], _PROFILE)
     moments: list[Column] = []
     cells: list[Column] = []
-    for i, f in enumerate(p.schema.fields):
+    for i, f in enumerate(p.schema.fields[len(by) :]):
         c = F.col(f.name)
         numeric = isinstance(f.dataType, NUMERIC)
         v = finite(c.cast("double")) if numeric else F.lit(None).cast("double")
@@ -48,15 +51,17 @@ def profile(df: DataFrame) -> DataFrame:
                 F.avg(v).alias("mean"), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
             ).alias(f"s{i}")
         )
-    found = p.agg(*moments).select(F.explode(F.array(*[f"s{i}" for i in range(len(names))])).alias("s")).select("s.*")
-    values = p.select(F.explode(F.array(*cells)).alias("c")).where("c is not null").groupBy("c.position", "c.v", "c.h").agg(F.count("*").alias("n"))
+    spot = [*keys, "position"]
+    found = p.groupBy(*keys).agg(*moments).select(*keys, F.explode(F.array(*[f"s{i}" for i in range(len(names))])).alias("s")).select(*keys, "s.*")
+    values = p.select(*keys, F.explode(F.array(*cells)).alias("c")).where("c is not null").groupBy(*keys, "c.position", "c.v", "c.h").agg(F.count("*").alias("n"))
     values, n_values = written(values, "cells")
-    distinct = values.groupBy("position").agg(F.count("*").alias("_d"))
-    quarters = quantiles_of(values.where("v is not null").select("position", "v", "n"), n_values, ["position"], [0.25, 0.5, 0.75])
-    # a row for each column on every side
-    found = found.join(distinct, "position", "left").join(quarters, "position", "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
+    distinct = values.groupBy(*spot).agg(F.count("*").alias("_d"))
+    quarters = quantiles_of(values.where("v is not null").select(*spot, "v", "n"), n_values, spot, [0.25, 0.5, 0.75])
+    # a row for each column (and group) on every side
+    found = found.join(distinct, spot, "left").join(quarters, spot, "left").withColumn("_d", F.coalesce("_d", F.lit(0)))
     found = found.withColumn("distinct", F.least("_d", F.lit(DISTINCT_CAP))).withColumn("distinct_capped", F.col("_d") > DISTINCT_CAP)
-    return found.select("position", "column", "kind", "count", "nulls", "distinct", "distinct_capped", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75"), "max")
+    own = ["position", "column", "kind", "count", "nulls", "distinct", "distinct_capped", "mean", "std", "min", F.col("q0").alias("q25"), F.col("q1").alias("median"), F.col("q2").alias("q75"), "max"]
+    return found.select(*own, *[F.col(k).alias(g) for g, k in zip(by, keys)])
 
 
 _PROFILE = "position int, column string, kind string, count long, nulls long, distinct long, distinct_capped boolean, mean double, std double, min double, q25 double, median double, q75 double, max double"

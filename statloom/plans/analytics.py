@@ -168,6 +168,23 @@ def _(spark, d):
     return rounded(groups.for_each(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "regression", x="l_quantity", y="l_extendedprice")[0].select("l_returnflag", "l_linestatus", "n", "slope", "intercept", "error"), 3)
 
 
+_GROUP_PROFILE = " UNION ALL ".join(
+    f"SELECT l_returnflag, l_linestatus, {i}::BIGINT AS position, '{c}' AS \"column\", count({c}) AS count, least(count(DISTINCT {c}), 10000) AS \"distinct\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25::DOUBLE), 4) AS q25, round(median({c}), 4) AS median, round(quantile_cont({c}, 0.75::DOUBLE), 4) AS q75, round(max({c}), 4) AS max, NULL::VARCHAR AS error FROM lineitem GROUP BY ALL"
+    for i, c in enumerate(_NUMERIC)
+)
+
+
+@query("group_profile", _GROUP_PROFILE)
+def _(spark, d):
+    rows, _n = groups.for_each(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "profile", columns=list(_NUMERIC))
+    return rounded(rows.select("l_returnflag", "l_linestatus", "position", "column", "count", "distinct", "mean", "std", "min", "q25", "median", "q75", "max", "error"))
+
+
+@query("group_clusters")
+def _(spark, d):
+    return groups.for_each(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "cluster", features=["l_quantity", "l_extendedprice"], k=3)[0]
+
+
 # --- series -----------------------------------------------------------------------
 
 

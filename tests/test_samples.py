@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from statloom.operators import cluster
@@ -40,3 +41,10 @@ def test_assign_keeps_columns_and_breaks_ties_low(spark):
     got = cluster.assign(df, ["x"], model)
     assert got.columns == ["name", "x", "cluster_no", "cluster"]
     assert {r["name"]: r["cluster"] for r in got.collect()} == {"p": 0, "q": 1, "t": 0}
+
+
+def test_no_complete_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), (float("inf"), 2.0)], "x double, y double")
+    for df in (df, df.where("false")):
+        with pytest.raises(ValueError, match="complete"):
+            cluster.kmeans(df, ["x", "y"])
