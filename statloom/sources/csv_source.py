@@ -1,7 +1,7 @@
 """Delimited text: encoding and delimiter are found, types are inferred from a sample.
 
-The text is parsed by Spark, split over tasks unless it has quotes; only the head is looked at
-on the driver.  Encoding, quotes and the widest record are sought in the whole file.  Cells that do not fit their
+The text is parsed by Spark, split over tasks, with quotes too (quoted.py); only the head is looked
+at on the driver.  Encoding, quotes and the widest record are sought in the whole file.  Cells that do not fit their
 column's type are kept as text in a column beside it.
 """
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..infer import SAMPLE_ROWS, apply_types, cell_types, unique_names
 from .base import Connector, ImportOptions
+from .quoted import records
 
 #: Delimiters that are tried; ties go to the earlier.
 DELIMITERS = (",", "\t", ";", "|")
@@ -51,27 +52,17 @@ def read_head(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def widest_record(lines: DataFrame, delimiter: str, quoted: bool) -> int:
-    """Fields of the widest record.  Records with quotes may go over lines, so these are parsed in order, as a stream, by one task, as Spark's reader does."""
-    if not quoted:
-        return lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(delimiter))) + 1)).first()[0] or 1
-
-    def widest(batches):
-        import pyarrow as pa
-
-        text = (line + "\n" for batch in batches for line in batch.column("value").to_pylist())
-        n = max((len(r) for r in csv.reader(text, delimiter=delimiter)), default=1)
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int32())], names=["n"])
-
-    return lines.coalesce(1).mapInArrow(widest, "n int").agg(F.max("n")).first()[0] or 1
+def widest_record(lines: DataFrame, delimiter: str) -> int:
+    """Fields of the widest record of a file without quotes."""
+    return lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(delimiter))) + 1)).first()[0] or 1
 
 
 class CsvConnector(Connector):
     name = "csv"
     extensions = ("csv", "tsv", "txt")
 
-    def raw(self, spark: SparkSession, path: str, options: ImportOptions) -> tuple[DataFrame, list[str]]:
-        """(all data records as text, short ones padded with null; names)."""
+    def raw(self, spark: SparkSession, path: str, options: ImportOptions) -> tuple[DataFrame, DataFrame, list[str]]:
+        """(all data records as text, short ones padded with null; the first SAMPLE_ROWS of them; names)."""
         head = read_head(spark, path)
         encoding, quoted = sniff_encoding(bytes(head)), b'"' in bytes(head)
         if len(head) >= HEAD:  # the rest of the file, by its raw lines: both encodings have line ends and quotes in bytes of their own
@@ -85,21 +76,35 @@ class CsvConnector(Connector):
         before = options.header_row + options.skip_rows
         whole = list(csv.reader(io.StringIO(text), delimiter=delimiter))
         width = max(max((len(r) for r in whole), default=1), 1)
-        if len(head) >= HEAD:
-            width = max(width, widest_record(spark.read.option("encoding", encoding).text(path), delimiter, quoted))
-        schema = ", ".join(f"_c{i} string" for i in range(width))
-        df = spark.read.schema(schema).csv(path, sep=delimiter, header=False, quote='"', escape='"', encoding=encoding, multiLine=quoted, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False, enforceSchema=True)
         header = whole[options.header_row - 1] if 0 < options.header_row <= len(whole) else []
-        names = unique_names([header[i] if i < len(header) else None for i in range(width)])
-        if before:
-            # records before the data: found by their content at the head of the first partition
-            number = F.monotonically_increasing_id()
-            df = df.withColumn("_n", number).where(F.col("_n") >= before).drop("_n")
-        if options.max_rows is not None:
-            df = df.limit(options.max_rows)
-        return df, names
+        shape = dict(sep=delimiter, header=False, quote='"', escape='"', mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
+        if quoted:
+            found = records(spark, path, encoding, delimiter, "\n" if "\n" in text else None)
+            width = max(width if len(head) < HEAD else 1, found.agg(F.max("n_fields")).first()[0] or 1)
+            schema = ", ".join(f"_c{i} string" for i in range(width))
+            options_ = {k: str(v) for k, v in shape.items() if k != "header"}
+            rows = found.select("number", F.from_csv("record", schema, options_).alias("r")).select("number", "r.*")
+
+            def between(first: int, end: int | None) -> DataFrame:
+                chosen = rows.where(F.col("number") >= first)
+                return (chosen if end is None else chosen.where(F.col("number") < end)).drop("number")
+
+            df = between(before, None if options.max_rows is None else before + options.max_rows)
+            sample = between(before, before + min(SAMPLE_ROWS, SAMPLE_ROWS if options.max_rows is None else options.max_rows))
+        else:
+            if len(head) >= HEAD:
+                width = max(width, widest_record(spark.read.option("encoding", encoding).text(path), delimiter))
+            schema = ", ".join(f"_c{i} string" for i in range(width))
+            df = spark.read.schema(schema).csv(path, encoding=encoding, multiLine=False, enforceSchema=True, **shape)
+            if before:
+                # records before the data: found by their content at the head of the first partition
+                df = df.withColumn("_n", F.monotonically_increasing_id()).where(F.col("_n") >= before).drop("_n")
+            if options.max_rows is not None:
+                df = df.limit(options.max_rows)
+            sample = df.limit(SAMPLE_ROWS)
+        return df, sample, unique_names([header[i] if i < len(header) else None for i in range(width)])
 
     def load(self, spark: SparkSession, path: str, object: str | None = None, options: ImportOptions = ImportOptions()) -> DataFrame:
-        df, names = self.raw(spark, path, options)
-        kinds = cell_types([list(r) for r in df.limit(SAMPLE_ROWS).collect()], len(names))
+        df, sample, names = self.raw(spark, path, options)
+        kinds = cell_types([list(r) for r in sample.collect()], len(names))
         return apply_types(df, names, kinds)
