@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -114,16 +115,54 @@ def die_map(df: DataFrame, x: str, y: str, value: str | None = None, agg: str =
     return cells.groupBy(*names).agg(AGGREGATES[agg](F.col("_v")).alias("v"))
 
 
+def _tick_step(span: float, about: int) -> float:
+    """The least of 1, 2, 2.5, 5 and 10 times a power of ten that needs no more than ``about`` steps."""
+    raw = span / max(1, about)
+    unit = 10.0 ** math.floor(math.log10(raw))
+    return next((s * unit for s in (1, 2, 2.5, 5) if s * unit >= raw), 10 * unit)
+
+
+def _marks(step: float, first: int, last: int) -> list[float]:
+    return [round(k * step, 9) for k in range(first, last + 1)]
+
+
 def nice_ticks(low: float, high: float, about: int = 5) -> list[float]:
-    """Round axis marks within the range: steps of 1, 2, 2.5, 5 or 10 times a power of ten."""
-    from math import ceil, floor, log10
-
-    if not high > low:
-        return [low]
-    raw = (high - low) / max(1, about)
-    unit = 10.0 ** floor(log10(raw))
-    step = next((s * unit for s in (1, 2, 2.5, 5, 10) if s * unit >= raw * (1 - 1e-9)), 10 * unit)
-    return [round(k * step, 12) for k in range(ceil(low / step - 1e-9), floor(high / step + 1e-9) + 1)]
+    """Round axis marks whose ends enclose the range, one value alike; 0 and 1 if it is not finite."""
+    if not (math.isfinite(low) and math.isfinite(high)):
+        return [0.0, 1.0]
+    low, high = min(low, high), max(low, high)
+    if low == high:
+        low, high = low - 1, high + 1
+    step = _tick_step(high - low, about)
+    first = math.floor(low / step + 1e-9)
+    return _marks(step, first, max(first + 1, math.ceil(high / step - 1e-9)))
+
+
+def ticks_within(low: float, high: float, about: int = 5) -> list[float]:
+    """Round axis marks within a range that was chosen; its ends where fewer than two fit."""
+    if not (math.isfinite(low) and math.isfinite(high) and high > low):
+        return [low, high]
+    step = _tick_step(high - low, about)
+    marks = _marks(step, math.ceil(low / step - 1e-9), math.floor(high / step + 1e-9))
+    return marks if len(marks) >= 2 else [low, high]
+
+
+#: Panels at most: of one facet, of one facet of die maps, of each of two.
+FACETS, DIE_FACETS, FACETS_EACH = 12, 25, 6
+
+
+def capped_facets(marks: DataFrame, die_maps: bool = False) -> tuple[DataFrame, list[str]]:
+    """(marks of the first panels by name, notes): what a grid can show; null is a panel named (null)."""
+    facets = [c for c in ("facet1", "facet2") if c in marks.columns]
+    most = FACETS_EACH if len(facets) == 2 else DIE_FACETS if die_maps else FACETS
+    notes = []
+    for c in facets:
+        name = F.coalesce(F.col(c).cast("string"), F.lit("(null)"))
+        values = [r[0] for r in marks.select(F.col(c).alias("v"), name.alias("s")).distinct().orderBy("v", "s").limit(most + 1).select("s").collect()]
+        if len(values) > most:
+            marks = marks.where(name.isin(values[:most]))
+            notes.append(f"the first {most} values of {c} are shown")
+    return marks, notes
 
 
 _CHARTS: dict[str, Callable[..., DataFrame]] = {}

@@ -63,9 +63,8 @@ def lot_trace(frames: dict[str, DataFrame], column: str, value: str, partial: bo
             hit = text.ilike(f"%{escaped}%")
         else:
             hit = text == F.lit(str(value))
-        rows = df.where(hit)
-        rows = rows.limit(most) if most else rows
-        rows = rows.select(F.lit(name).alias("dataset"), F.to_json(F.struct("*")).alias("row"))
+        rows = df.where(hit).select(F.lit(name).alias("dataset"), F.to_json(F.struct("*")).alias("row"))
+        rows = rows.orderBy("row").limit(most) if most else rows  # the same rows in each run
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         raise ValueError(f"no dataset has a column {column}")

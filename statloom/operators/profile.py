@@ -103,14 +103,10 @@ def ols(df: DataFrame, features: list[str], target: str) -> Ols:
     if not features or target in features or len(set(features)) < len(features):
         raise ValueError("features must be distinct, not empty, and without the target")
     columns = [*features, target]
-    v = df.select(*[finite(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    whole = F.lit(True)
-    for i in range(len(columns)):
-        whole = whole & F.col(f"_{i}").isNotNull()
     p = len(features)
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    masked = [F.when(whole, F.col(f"_{i}")) for i in range(p + 1)]
-    row = v.agg(F.count_if(whole).alias("n"), F.count("*").alias("all"), *[F.avg(m).alias(f"m{i}") for i, m in enumerate(masked)], *[F.covar_pop(masked[i], masked[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
+    v = df.select(*[finite(c).alias(f"_{i}") for i, c in enumerate(columns)]).dropna()
+    row = v.agg(F.count("*").alias("n"), *[F.avg(f"_{i}").alias(f"m{i}") for i in range(p + 1)], *[F.covar_pop(f"_{i}", f"_{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
     n = row["n"]
     if n <= p + 1:
         raise ValueError("too few rows")
@@ -129,7 +125,7 @@ def ols(df: DataFrame, features: list[str], target: str) -> Ols:
     se = [math.sqrt(s2 * (1 / n + mean[:p] @ inverse @ mean[:p])), *np.sqrt(s2 * np.diag(inverse))]
     coef = [mean[p] - slope @ mean[:p], *slope]
     r2 = 1 - ssr / sst if sst else 0.0
-    return Ols(["intercept", *features], [float(c) for c in coef], [float(s) for s in se], [float(c / s) if s else math.nan for c, s in zip(coef, se)], float(r2), float(1 - (1 - r2) * (n - 1) / (n - p - 1)), math.sqrt(ssr / n), n, row["all"] - n)
+    return Ols(["intercept", *features], [float(c) for c in coef], [float(s) for s in se], [float(c / s) if s else math.nan for c, s in zip(coef, se)], float(r2), float(1 - (1 - r2) * (n - 1) / (n - p - 1)), math.sqrt(ssr / n), n, df.count() - n)
 
 
 def ols_frame(spark, fit: Ols) -> DataFrame:
@@ -148,10 +144,18 @@ def ols_groups(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
 
 
 def sample_points(df: DataFrame, columns: list[str], most: int = 2000) -> DataFrame:
-    """About one row in so many that ``most`` to twice as many are left, by a hash of the values; what a scatter plot of a fit shows."""
+    """About one row in so many that ``most`` to twice as many are left; what a scatter plot of a fit shows.
+
+    Rows are drawn by a hash of their values and, among equal ones, of their number, so equal rows keep
+    their share and a table that is read again, in whatever partitions, gives the same sample.
+    """
     whole = df.select(*columns)
     for c in columns:
         whole = whole.where(finite(c).isNotNull())
     step = max(1, whole.count() // most)
-    # equal rows are told apart by a number, so that they keep their share
-    return whole.where(F.pmod(F.xxhash64(*columns, F.monotonically_increasing_id()), F.lit(step)) == 0)
+    if step == 1:
+        return whole
+    cells = whole.groupBy(*columns).agg(F.count("*").alias("_n"))
+    part = F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = F.floor(F.col("_n") / F.lit(step) + part).cast("int")
+    return cells.withColumn("_n", times).where("_n > 0").withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*columns)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import dialect
 from ..operators import charts, cluster, groups, hypothesis, profile, series
 from .tables import table
 
@@ -504,6 +505,17 @@ def _(spark, d):
     return rounded(cluster.assign(v, FEATURES, model).select("vec_id", "cluster"))
 
 
+@query(
+    "text_dates",
+    "SELECT o_orderkey, strftime(o_orderdate, '%Y/%m/%d %j') AS d, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d %H:%M:%S') AS m, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) + 2440587.5::DOUBLE AS j, epoch(o_orderdate::DATE + INTERVAL 10 DAY)::BIGINT AS e, o_orderpriority GLOB '[1-3]-*' AS g FROM orders",
+)
+def _(spark, d):
+    dialect.create(spark)
+    day = F.col("o_orderdate").cast("date").cast("string")
+    table(spark, d, "orders").select("o_orderkey", "o_orderpriority", day.alias("day")).createOrReplaceTempView("dated")
+    return spark.sql("SELECT o_orderkey, strftime('%Y/%m/%d %j', day) AS d, datetime(day, 'start of month') AS m, julianday(day) AS j, unixepoch(day, '+10 days') AS e, glob('[1-3]-*', o_orderpriority) AS g FROM dated")
+
+
 @query("chart_raw", "SELECT l_orderkey AS x, l_quantity AS y, l_returnflag AS series FROM lineitem ORDER BY ALL LIMIT 20000")
 def _(spark, d):
     return charts.chart(table(spark, d, "lineitem"), {"type": "line", "x": "l_orderkey", "y": "l_quantity", "agg": "none", "series": "l_returnflag"})

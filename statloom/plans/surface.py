@@ -35,7 +35,11 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "window_lag_lead": ("SELECT o_orderkey, lag(o_orderkey) OVER w AS prev, lead(o_orderkey, 2) OVER w AS next2, first_value(o_orderkey) OVER w AS f, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)", None),
     "window_frame": ("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS s3, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey RANGE BETWEEN 1000 PRECEDING AND 1000 FOLLOWING) AS near FROM orders", None),
     "cte": ("WITH t AS (SELECT o_custkey AS k, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), m AS (SELECT avg(total) AS a FROM t) SELECT k, round(total, 2) AS total FROM t, m WHERE total > 1.5 * a", None),
-    "cte_recursive": ("WITH RECURSIVE s(n, f) AS (SELECT CAST(1 AS BIGINT), CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM s WHERE n < 15) SELECT n, f FROM s", None),
+    # from each urgent order up a tree over the orders (the parent has half the key), to its root; missing orders end a path
+    "cte_recursive": (
+        "WITH RECURSIVE up(leaf, k, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000 UNION ALL SELECT leaf, o_orderkey, depth + 1 FROM up JOIN orders ON o_orderkey = k DIV 2 WHERE k > 1) SELECT leaf, min(k) AS root, max(depth) AS depth FROM up GROUP BY leaf",
+        "WITH RECURSIVE up(leaf, k, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 200000 UNION ALL SELECT leaf, o_orderkey, depth + 1 FROM up JOIN orders ON o_orderkey = k // 2 WHERE k > 1) SELECT leaf, min(k) AS root, max(depth) AS depth FROM up GROUP BY leaf",
+    ),
     "scalar_subquery": ("SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.8 FROM orders)", None),
     "correlated_subquery": ("SELECT o_orderkey FROM orders o WHERE o_totalprice = (SELECT max(o_totalprice) FROM orders i WHERE i.o_custkey = o.o_custkey)", None),
     "derived_table": ("SELECT band, count(*) AS n FROM (SELECT CAST(floor(l_quantity / 10) AS INT) AS band FROM lineitem) t GROUP BY band ORDER BY band", None),

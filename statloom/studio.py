@@ -9,6 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import dialect
 from .infer import RAW, dataset_name
 from .operators import charts, cluster, groups, hypothesis, profile, series
 from .sources import cache
@@ -42,6 +43,7 @@ class Studio:
     def __init__(self, spark: SparkSession, registry: Registry | None = None, use_cache: bool = True):
         self.spark, self.registry, self.use_cache = spark, registry or default_registry(), use_cache
         spark.conf.set("spark.sql.ansi.doubleQuotedIdentifiers", "true")
+        dialect.create(spark)
         self.name, self.datasets, self.charts, self.queries = "untitled", {}, [], []
 
     # datasets
