@@ -36,19 +36,23 @@ def profile(df: DataFrame, by: list[str] = ()) -> DataFrame:
         p = df.select(*by, *[c for c in df.columns if c not in by]).toDF(*keys, *p.columns).dropna(subset=keys)
     if not names:
         return df.sparkSession.createDataFrame([], _PROFILE)
+    kinds = p.schema.fields[len(by) :]
+    numeric = [isinstance(f.dataType, NUMERIC) for f in kinds]
+    # each cell is read as a number once
+    p = p.withColumns({f"_v{i}": finite(F.col(f.name).cast("double")) for i, f in enumerate(kinds) if numeric[i]})
     moments: list[Column] = []
     cells: list[Column] = []
-    for i, f in enumerate(p.schema.fields[len(by) :]):
-        c = F.col(f.name)
-        numeric = isinstance(f.dataType, NUMERIC)
-        v = finite(c.cast("double")) if numeric else F.lit(None).cast("double")
+    no_number = F.lit(None).cast("double")
+    for i, f in enumerate(kinds):
+        c, v = F.col(f.name), F.col(f"_v{i}") if numeric[i] else no_number
         text = c if not isinstance(f.dataType, (T.MapType, T.VariantType)) else c.cast("string")
-        cells.append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("position"), v.alias("v"), F.when(v.isNull(), F.xxhash64(text)).alias("h"))))
+        digest = F.when(v.isNull(), F.xxhash64(text)) if numeric[i] else F.xxhash64(text)
+        cells.append(F.when(c.isNotNull(), F.struct(F.lit(i).alias("position"), v.alias("v"), digest.alias("h"))))
+        found = [F.avg(v), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))), F.min(v), F.max(v)] if numeric[i] else [no_number] * 4
         moments.append(
             F.struct(
-                F.lit(i).alias("position"), F.lit(names[i]).alias("column"), F.lit("numeric" if numeric else "text").alias("kind"),
-                F.count(c).alias("count"), (F.count("*") - F.count(c)).alias("nulls"),
-                F.avg(v).alias("mean"), F.when(F.count(v) > 0, F.coalesce(F.stddev_samp(v), F.lit(0.0))).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+                F.lit(i).alias("position"), F.lit(names[i]).alias("column"), F.lit("numeric" if numeric[i] else "text").alias("kind"),
+                F.count(c).alias("count"), (F.count("*") - F.count(c)).alias("nulls"), *[m.alias(n) for m, n in zip(found, ("mean", "std", "min", "max"))],
             ).alias(f"s{i}")
         )
     spot = [*keys, "position"]
