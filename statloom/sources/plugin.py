@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import subprocess
+import threading
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,32 @@ API_VERSION = 1
 #: Seconds for each request, and bytes of an answer at most.
 TIMEOUTS = {"describe": 5, "list_objects": 30, "load": 600}
 MOST_BYTES = 256 << 20
+#: Seconds that a plugin has to end after its answer.
+LEAVE = 5
+
+
+def _ask(process: subprocess.Popen, request: bytes) -> None:
+    try:
+        process.stdin.write(request)
+        process.stdin.close()
+    except OSError:  # it ended without reading; its answer says why
+        pass
+
+
+def _first_line(pipe, into: bytearray) -> None:
+    """The first line with anything in it, or all there is; no more than the bound is held."""
+    while len(into) <= MOST_BYTES and (piece := pipe.read1(1 << 16)):
+        into += piece if into else piece.lstrip()
+        end = into.find(b"\n", max(0, len(into) - len(piece)))
+        if end >= 0:
+            del into[end:]
+            return
+
+
+def _tail(pipe, into: bytearray, most: int = 1 << 16) -> None:
+    while piece := pipe.read1(1 << 16):
+        into += piece
+        del into[:-most]
 
 
 class PluginConnector(Connector):
@@ -28,17 +55,27 @@ class PluginConnector(Connector):
     def call(self, method: str, **params):
         request = json.dumps({"api_version": API_VERSION, "method": method, "params": params}, ensure_ascii=False) + "\n"
         try:
-            done = subprocess.run(self.command, cwd=self.folder, input=request.encode(), capture_output=True, timeout=TIMEOUTS[method])
-        except subprocess.TimeoutExpired as e:
-            raise SourceError(f"plugin {self.name} did not answer in {TIMEOUTS[method]} s") from e
+            process = subprocess.Popen(self.command, cwd=self.folder, stdin=subprocess.PIPE, stdout=subprocess.PIPE, stderr=subprocess.PIPE)
         except OSError as e:
             raise SourceError(f"plugin {self.name} cannot be started: {e}") from e
-        if len(done.stdout) > MOST_BYTES:
-            raise SourceError(f"plugin {self.name} answered with too much data")
+        out, err = bytearray(), bytearray()
+        threads = [threading.Thread(target=f, daemon=True) for f in (lambda: _ask(process, request.encode()), lambda: _first_line(process.stdout, out), lambda: _tail(process.stderr, err))]
+        for t in threads:
+            t.start()
+        threads[1].join(TIMEOUTS[method])  # however long other processes hold the pipe
+        late, much = threads[1].is_alive(), len(out) > MOST_BYTES
+        if late or much:
+            process.kill()
+            raise SourceError(f"plugin {self.name} " + ("answered with too much data" if much else f"did not answer in {TIMEOUTS[method]} s"))
+        try:
+            process.wait(LEAVE)
+        except subprocess.TimeoutExpired:
+            process.kill()
+        threads[2].join(LEAVE)
         try:
-            answer = json.loads(done.stdout.decode("utf-8").strip().split("\n")[0])
-        except (ValueError, IndexError) as e:
-            raise SourceError(f"plugin {self.name} gave no JSON: {done.stderr.decode(errors='replace')[-300:]}") from e
+            answer = json.loads(out.decode("utf-8"))
+        except ValueError as e:
+            raise SourceError(f"plugin {self.name} gave no JSON: {err.decode(errors='replace')[-300:]}") from e
         if "error" in answer:
             raise SourceError(f"plugin {self.name}: {answer['error']}")
         return answer.get("result")
