@@ -428,6 +428,102 @@ def _(spark, d):
     return out
 
 
+# --- probabilities, against SQL that integrates the densities ---------------------------
+
+#: test -> (density, query with its statistic and degrees of freedom, column of the statistic)
+_TAILS = {
+    "one_sample_t": ("t", "one_sample_t_stat", "statistic"), "welch_t": ("t", "welch_t_stat", "statistic"), "student_t": ("t", "student_t_stat", "statistic"), "paired_t": ("t", "paired_t_stat", "statistic"), "pearson": ("t", "pearson_stat", "statistic"),
+    "anova": ("f", "anova_stat", "statistic"), "welch_anova": ("f", "welch_anova_stat", "statistic"), "levene": ("f", "levene_stat", "statistic"), "f_var": ("f2", "f_var_stat", "statistic"),
+    "chi_square": ("chi2", "chi_square_stat", "statistic"), "kruskal": ("chi2", "kruskal_stat", "statistic"), "mann_whitney": ("z", "mann_whitney_stat", "estimate"), "wilcoxon_1s": ("z", "wilcoxon_stat", "estimate"),
+}
+
+
+def _tails_sql() -> str:
+    parts = []
+    for test, (density, name, column) in _TAILS.items():
+        text = QUERIES[name][1]
+        for c in ("statistic", "estimate", "df", "df2"):
+            text = text.replace(f", 4) AS {c}", f", 14) AS {c}")
+        df = "df" if " AS df," in text else "NULL"
+        df2 = "df2" if " AS df2," in text else "NULL"
+        parts.append(f"SELECT '{test}' AS test, '{density}' AS density, abs({column})::DOUBLE AS x, {df}::DOUBLE AS a, {df2}::DOUBLE AS b FROM ({text})")
+    # Simpson's rule from 0 to x, over the root of x for chi-square and F, whose densities may not be finite at 0
+    return (
+        f"WITH s AS ({' UNION ALL '.join(parts)}), u AS (SELECT *, CASE WHEN density IN ('t', 'z') THEN least(x, 60) ELSE sqrt(x) END AS top FROM s), "
+        "g AS (SELECT u.*, i, top * i / 4000 AS w, CASE WHEN i = 0 OR i = 4000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * top / 12000 AS step FROM u, range(0, 4001) r(i)), "
+        "d AS (SELECT test, density, step * CASE density WHEN 'z' THEN exp(-w * w / 2) / sqrt(2 * pi()) WHEN 't' THEN exp(lgamma((a + 1) / 2) - lgamma(a / 2) - ln(a * pi()) / 2 - (a + 1) / 2 * ln(1 + w * w / a)) "
+        "WHEN 'chi2' THEN CASE WHEN w = 0 THEN 0 ELSE 2 * w * exp((a - 2) * ln(w) - w * w / 2 - a / 2 * ln(2) - lgamma(a / 2)) END "
+        "ELSE CASE WHEN w = 0 THEN CASE WHEN a > 1 THEN 0 ELSE 2 * exp(lgamma((a + b) / 2) - lgamma(a / 2) - lgamma(b / 2) + a / 2 * ln(a / b)) END ELSE 2 * w * exp(lgamma((a + b) / 2) - lgamma(a / 2) - lgamma(b / 2) + a / 2 * ln(a / b) + (a - 2) * ln(w) - (a + b) / 2 * ln(1 + a * w * w / b)) END END AS area FROM g), "
+        "t AS (SELECT test, density, sum(area) AS below FROM d GROUP BY ALL) "
+        "SELECT test, round(greatest(0, CASE WHEN density IN ('t', 'z') THEN 1 - 2 * below WHEN density = 'f2' THEN 2 * least(below, 1 - below) ELSE 1 - below END), 5) AS p FROM t"
+    )
+
+
+def _tails(spark, d) -> list[hypothesis.TestResult]:
+    e, item, run = table(spark, d, "events"), table(spark, d, "lineitem"), hypothesis.run_test
+    found = [run(e, "one_sample_t", value="value", mu0=50), run(item, "paired_t", x="l_discount", y="l_tax"), run(item, "pearson", x="l_quantity", y="l_extendedprice"), run(e, "wilcoxon_1s", value="value", mu0=50)]
+    found += [run(two(spark, d), t, group="event_type", value="value") for t in ("welch_t", "student_t", "f_var", "mann_whitney")]
+    found += [run(e, t, group="event_type", value="value") for t in ("anova", "welch_anova", "levene", "kruskal")]
+    return [*found, run(table(spark, d, "orders"), "chi_square", row="o_orderstatus", column="o_orderpriority")]
+
+
+@query("p_values", _tails_sql())
+def _(spark, d):
+    return rounded(spark.createDataFrame([(r.test, float(r.p)) for r in _tails(spark, d)], "test string, p double"), 5)
+
+
+@query("wilcoxon_paired_stat", QUERIES["wilcoxon_stat"][1].replace("value - 50 AS d FROM events", "l_discount - l_tax AS d FROM lineitem").replace("'wilcoxon_1s'", "'wilcoxon'"))
+def _(spark, d):
+    r = hypothesis.run_test(table(spark, d, "lineitem"), "wilcoxon", x="l_discount", y="l_tax")
+    return rounded(hypothesis.result_frame(spark, r).select("test", "statistic", "n", "estimate"))
+
+
+_FISHER = "WITH c AS (SELECT count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS a, count(*) FILTER (WHERE quality = 0) AS r, count(*) FILTER (WHERE toxic = 0) AS k, count(*) AS n FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), "
+
+
+@query(
+    "fisher_p",
+    _FISHER + "x AS (SELECT c.*, unnest(range(greatest(0, r + k - n), least(r, k) + 1)) AS i FROM c), "
+    "p AS (SELECT a, n, i, exp(lgamma(r + 1) - lgamma(i + 1) - lgamma(r - i + 1) + lgamma(n - r + 1) - lgamma(k - i + 1) - lgamma(n - r - k + i + 1) - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1)) AS p FROM x) "
+    "SELECT 'fisher' AS test, round(least(1, sum(p)), 6) AS p, max(n)::BIGINT AS n FROM p WHERE p <= (SELECT p * (1 + 1e-7) FROM p WHERE i = a)",
+)
+def _(spark, d):
+    r = hypothesis.run_test(table(spark, d, "labels"), "fisher", row="quality", column="toxic")
+    return rounded(spark.createDataFrame([(r.test, float(r.p), r.n)], "test string, p double, n long"), 6)
+
+
+@query(
+    "binomial_p",
+    "WITH c AS (SELECT count(*) FILTER (WHERE quality = 1) AS k, count(*) AS n FROM labels WHERE quality IS NOT NULL), p AS (SELECT k, n, i, exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.8::DOUBLE) + (n - i) * ln(0.2::DOUBLE)) AS p FROM (SELECT c.*, unnest(range(0, n + 1)) AS i FROM c)) "
+    "SELECT 'binomial' AS test, round(least(1, sum(p)), 6) AS p, max(n)::BIGINT AS n FROM p WHERE p <= (SELECT p * (1 + 1e-7) FROM p WHERE i = k)",
+)
+def _(spark, d):
+    r = hypothesis.run_test(table(spark, d, "labels"), "binomial", value="quality", success="1", p0=0.8)
+    return rounded(spark.createDataFrame([(r.test, float(r.p), r.n)], "test string, p double, n long"), 6)
+
+
+@query(
+    "intervals",
+    "WITH q AS (SELECT 1.959963984540054::DOUBLE AS z), r AS (SELECT corr(l_quantity, l_tax) AS r, count(*) AS n FROM lineitem), b AS (SELECT avg((quality = 1)::INT)::DOUBLE AS p, count(*)::DOUBLE AS n FROM labels WHERE quality IS NOT NULL) "
+    "SELECT 'pearson' AS test, round(tanh(atanh(r) - z / sqrt(n - 3)), 6) AS low, round(tanh(atanh(r) + z / sqrt(n - 3)), 6) AS high FROM r, q "
+    "UNION ALL SELECT 'binomial', round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6), round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 6) FROM b, q",
+)
+def _(spark, d):
+    found = [hypothesis.run_test(table(spark, d, "lineitem"), "pearson", x="l_quantity", y="l_tax"), hypothesis.run_test(table(spark, d, "labels"), "binomial", value="quality", success="1", p0=0.8)]
+    return rounded(spark.createDataFrame([(r.test, r.ci_low, r.ci_high) for r in found], "test string, low double, high double"), 6)
+
+
+@query(
+    "ols_errors",
+    "WITH m AS (SELECT count(*)::DOUBLE AS n, avg(l_quantity) AS mx, avg(l_extendedprice) AS my, var_pop(l_quantity) * count(*) AS sxx, covar_pop(l_extendedprice, l_quantity) * count(*) AS sxy, var_pop(l_extendedprice) * count(*) AS syy FROM lineitem), "
+    "f AS (SELECT *, sxy / sxx AS b, (syy - sxy * sxy / sxx) / (n - 2) AS s2 FROM m), t AS (SELECT 'intercept' AS term, my - b * mx AS coef, sqrt(s2 * (1 / n + mx * mx / sxx)) AS se, sxy * sxy / sxx / syy AS r2, n FROM f UNION ALL SELECT 'l_quantity', b, sqrt(s2 / sxx), sxy * sxy / sxx / syy, n FROM f) "
+    "SELECT term, round(coef, 3) AS coef, round(se, 3) AS se, round(coef / se, 3) AS t, round(r2, 8) AS r2, round(1 - (1 - r2) * (n - 1) / (n - 2), 8) AS adj_r2 FROM t",
+)
+def _(spark, d):
+    fit = profile.ols_frame(spark, profile.ols(table(spark, d, "lineitem"), ["l_quantity"], "l_extendedprice"))
+    return fit.select("term", *[F.round(c, 3).alias(c) for c in ("coef", "se", "t")], *[F.round(c, 8).alias(c) for c in ("r2", "adj_r2")])
+
+
 @query("jarque_bera", "WITH m AS (SELECT event_type, count(*) AS n, avg(value) AS mu FROM events GROUP BY 1), p AS (SELECT event_type, max(n) AS n, avg(pow(value - mu, 2)) AS m2, avg(pow(value - mu, 3)) AS m3, avg(pow(value - mu, 4)) AS m4 FROM events JOIN m USING (event_type) GROUP BY 1), j AS (SELECT event_type, n, n / 6 * (pow(m3 / pow(m2, 1.5::DOUBLE), 2) + pow(m4 / (m2 * m2) - 3, 2) / 4) AS jb FROM p) SELECT event_type, n, round(jb, 4) AS jb, round(exp(-jb / 2), 4) AS p FROM j")
 def _(spark, d):
     return rounded(hypothesis.jarque_bera_frame(table(spark, d, "events"), "value", ["event_type"]))
