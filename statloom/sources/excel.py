@@ -9,10 +9,12 @@ import zipfile
 from xml.etree import ElementTree as X
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..infer import unique_names
+from ..storage import handed_out
 from .base import Connector, ImportOptions, SourceError
-from .rows import frame_of
+from .rows import read_by_tasks, typed_frame
 
 #: Built-in number formats that show dates or times.
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
@@ -163,30 +165,42 @@ class ExcelConnector(Connector):
     name = "excel"
     extensions = ("xlsx", "xlsm", "ods")
 
-    def _open(self, path: str) -> Workbook | OpenDocument:
-        if path.lower().endswith(".ods"):
-            return OpenDocument(path)
-        if not path.lower().endswith((".xlsx", ".xlsm")):
-            raise SourceError("only .xlsx, .xlsm and .ods workbooks can be read; save the file as .xlsx")
-        return Workbook(path)
-
     def objects(self, spark: SparkSession, path: str) -> list[str]:
-        return list(self._open(path).sheets)
+        return list(_opened(path).sheets)
 
     def load(self, spark: SparkSession, path: str, object: str | None = None, options: ImportOptions = ImportOptions()) -> DataFrame:
-        book = self._open(path)
-        sheet = object or next(iter(book.sheets))
-        if sheet not in book.sheets:
+        sheets = self.objects(spark, path)
+        sheet = object or sheets[0]
+        if sheet not in sheets:
             raise SourceError(f"no sheet {sheet}")
-        rows = book.cells(sheet)
-        width = max((len(r) for r in rows), default=1)
-        header = rows[options.header_row - 1] if 0 < options.header_row <= len(rows) else []
-        data = rows[options.header_row + options.skip_rows :]
-        data = data if options.max_rows is None else data[: options.max_rows]
-        names = unique_names([None if i >= len(header) or header[i] is None else f"{header[i]:g}" if isinstance(header[i], float) else str(header[i]) for i in range(width)])
-        for i in range(width):  # columns of whole numbers are integers
-            column = [r[i] for r in data if r[i] is not None]
-            if column and all(isinstance(v, float) and v == int(v) and abs(v) < 9e15 for v in column):
-                for r in data:
-                    r[i] = None if r[i] is None else int(r[i])
-        return frame_of(spark, names, data)
+        # a sheet is one task: its format bounds it, and it can only be read from its start
+        raw, _ = read_by_tasks(spark, 1, _reader(handed_out(spark, path), sheet), "sheet")
+        width = raw.agg(F.max(F.size("cells"))).first()[0] or 1
+        first = options.header_row + options.skip_rows
+        data = raw.where(F.col("number") >= first)
+        if options.max_rows is not None:
+            data = data.where(F.col("number") < first + options.max_rows)
+        head = raw.where(F.col("number") == options.header_row - 1).select("cells").first()
+        header = [_heading(c["k"], c["s"]) for c in head["cells"]] if head else []
+        return typed_frame(data, unique_names([header[i] if i < len(header) else None for i in range(width)]), whole_reals=True)
+
+
+def _opened(path: str) -> Workbook | OpenDocument:
+    if path.lower().endswith(".ods"):
+        return OpenDocument(path)
+    if not path.lower().endswith((".xlsx", ".xlsm")):
+        raise SourceError("only .xlsx, .xlsm and .ods workbooks can be read; save the file as .xlsx")
+    return Workbook(path)
+
+
+def _reader(file: str, sheet: str):
+    def read(piece: int) -> list[list]:
+        from pyspark import SparkFiles
+
+        return _opened(SparkFiles.get(file)).cells(sheet)
+
+    return read
+
+
+def _heading(kind: int, text: str | None) -> str | None:
+    return f"{float(text):g}" if kind == 2 else str(text == "true") if kind == 4 else text

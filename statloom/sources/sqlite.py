@@ -1,39 +1,24 @@
 """SQLite files, opened read-only, by tasks that each read a range of row numbers.
 
 The driver looks at the names of tables and the range of row numbers only.  Spark hands the file to
-the executors; what they read is written once, as text with the kind of each cell, and the
-columns' types come from one aggregation of the kinds.  A column that mixes texts and
-numbers is text, with a VARIANT column beside it that keeps each cell as it was.
+the executors; what they read is written once, and the columns' types come from one aggregation of
+the kinds of its cells (rows.py).
 """
 
 from __future__ import annotations
 
-import atexit
-import os
-import shutil
 import sqlite3
-import tempfile
-import uuid
-from pathlib import Path
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..infer import unique_names
-from ..storage import written
-from ..types import column_type
+from ..storage import handed_out
 from .base import Connector, ImportOptions, SourceError
+from .rows import read_by_tasks, typed_frame
 
 #: Row numbers of a task, and tasks at most.
 TASK_ROWS, MOST_TASKS = 100_000, 10_000
-#: Suffix of a column that keeps the cells of a mixed column as they were.
-CELL = "_cell"
-#: Numbers of kinds of cells in what the tasks give.
-KINDS = ("null", "integer", "real", "text")
-#: Rows that a task gives out at once.
-BATCH = 8192
-
 
 def _open(path: str) -> sqlite3.Connection:
     con = sqlite3.connect(f"file:{quote(path)}?mode=ro", uri=True)
@@ -61,57 +46,17 @@ def _ranges(con: sqlite3.Connection, table: str, columns: list[str], most: int |
     return [f"select * from {_quoted(table)} where {number} between {a} and {min(high, a + step - 1)}" for a in range(low, high + 1, step)]
 
 
-def _handed_out(spark: SparkSession, path: str) -> str:
-    """The name under which executors find the file, which the driver serves; each call has its own, as a file may have changed."""
-    folder = tempfile.mkdtemp(prefix="statloom-file-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    served = Path(folder, f"{uuid.uuid4().hex}.db")
-    try:
-        os.link(os.path.realpath(path), served)  # Spark would follow a symbolic link
-    except OSError:
-        shutil.copyfile(path, served)
-    spark.sparkContext.addFile(str(served))
-    return served.name
-
-
-def _cells(spark: SparkSession, file: str, queries: list[str], width: int) -> DataFrame:
-    """k0, s0, k1, s1, ...: kind and text of each cell."""
-
-    def read(batches):
-        import pyarrow as pa
+def _reader(file: str, queries: list[str]):
+    def read(piece: int):
         from pyspark import SparkFiles
 
-        types = [pa.int8(), pa.string()] * width
-        names = [f"{c}{i}" for i in range(width) for c in "ks"]
-        for batch in batches:
-            for at in batch.column("id").to_pylist():
-                con = _open(SparkFiles.get(file))
-                cursor = con.execute(queries[at])
-                while rows := cursor.fetchmany(BATCH):
-                    out = []
-                    for column in zip(*rows):
-                        kinds = [0 if v is None else 1 if isinstance(v, int) else 2 if isinstance(v, float) else 3 for v in column]
-                        out += [kinds, [None if v is None else "[blob]" if isinstance(v, bytes) else v if isinstance(v, str) else repr(v) for v in column]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
-                con.close()
-
-    schema = ", ".join(f"k{i} tinyint, s{i} string" for i in range(width))
-    return spark.range(0, len(queries), 1, len(queries)).mapInArrow(read, schema)
-
-
-def _column(i: int, name: str, kinds: set[str]) -> list:
-    kind = column_type(kinds)
-    k, s = F.col(f"k{i}"), F.col(f"s{i}")
-    real = s.try_cast("double")
-    if kind == "integer":
-        return [s.cast("bigint").alias(name)]
-    if kind == "real":
-        return [real.alias(name)]
-    text = F.when((k == 2) & (real == F.floor(real)) & (F.abs(real) < 1e15), real.cast("bigint").cast("string")).otherwise(s).alias(name)
-    if not kinds & {"integer", "real"}:
-        return [text]
-    cell = F.when(k == 1, s.try_cast("bigint").cast("variant")).when(k == 2, real.cast("variant")).when(k == 3, s.cast("variant"))
-    return [text, cell.alias(name + CELL)]
+        con = _open(SparkFiles.get(file))
+        try:
+            yield from con.execute(queries[piece])
+        finally:
+            con.close()
+
+    return read
 
 
 class SqliteConnector(Connector):
@@ -130,12 +75,5 @@ class SqliteConnector(Connector):
         with _open(path) as con:
             columns = [d[0] for d in con.execute(f"select * from {_quoted(chosen)} limit 0").description]
             queries = _ranges(con, chosen, columns, options.max_rows)
-        names = unique_names(columns)
-        raw, _ = written(_cells(spark, _handed_out(spark, path), queries, len(names)), "sqlite")
-        seen = raw.agg(*[F.collect_set(f"k{i}").alias(f"k{i}") for i in range(len(names))]).first()  # four kinds
-        out = []
-        for i, name in enumerate(names):
-            out += _column(i, name, {KINDS[k] for k in seen[i]} - {"null"})
-        df = raw.select(*out)
-        # a name with the suffix may be taken
-        return df.toDF(*unique_names(df.columns))
+        raw, _ = read_by_tasks(spark, len(queries), _reader(handed_out(spark, path), queries), "sqlite")
+        return typed_frame(raw, unique_names(columns))

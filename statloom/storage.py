@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -30,3 +32,16 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def handed_out(spark: SparkSession, path: str) -> str:
+    """The name under which tasks find a file of the driver (SparkFiles); each call has its own, as a file may have changed."""
+    folder = tempfile.mkdtemp(prefix="statloom-file-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    served = Path(folder, uuid.uuid4().hex + Path(path).suffix)
+    try:
+        os.link(os.path.realpath(path), served)  # Spark would follow a symbolic link
+    except OSError:
+        shutil.copyfile(path, served)
+    spark.sparkContext.addFile(str(served))
+    return served.name
