@@ -7,6 +7,7 @@ plus the longest single text.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -63,6 +64,16 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of jobs that have ended.
+
+    It does so once the driver's JVM has dropped what refers to them, which on a heap with room
+    may be long after; their results must have been written.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: A key that holds more than one row in so many is joined apart; there are fewer such keys than this.
 HOT_SHARE = 1000
 #: Rows that one task can take, whatever their key.

@@ -31,7 +31,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, chunks, grouped_runs, maybe_in, mix, scratch, spread_join, window_hash
+from .common import Words, bounded_batches, chunks, discard, grouped_runs, maybe_in, mix, release, scratch, spread_join, window_hash
 from .union_find import components
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -299,7 +299,9 @@ def family_parts(rows: DataFrame, num: int, den: int, block: int) -> tuple[DataF
     of several blocks again where they meet others; all else works on ids.
     """
     dealt = scratch(rows.withColumn("part", F.col("doc_id")), "dealt")
+    release(rows.sparkSession)
     first = scratch(_verified(dealt, ("family", "mine"), num, den), "parts")
+    release(rows.sparkSession)
     nodes = first.select("node", "label")
     large = dealt.where("mine_n > 1")
     if large.isEmpty():
@@ -313,6 +315,7 @@ def family_parts(rows: DataFrame, num: int, den: int, block: int) -> tuple[DataF
     joined = scratch(_verified(some, ("family", "mine"), num, den), "parts").select(F.col("node").alias("label"), F.col("label").alias("part"))
     links = joined.select(F.col("label").alias("u"), F.col("part").alias("v")).where("u <> v")
     named = scratch(ids.join(joined, "label", "left").withColumn("part", F.coalesce("part", "label")).drop("label"), "large")
+    release(rows.sparkSession)
     # what is still outside of the family's main part meets every block
     most = named.groupBy("family", "part").agg(F.count("*").alias("size")).groupBy("family").agg(F.max_by("part", F.struct("size", "part")).alias("main"))
     named = named.join(most, "family")
@@ -354,12 +357,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     first = docs.where("doc_id is not null").mapInArrow(first_tokens, "doc_id long, tokens array<long>").join(reps, "doc_id", "left_semi")
     first = scratch(first, "first")
     rank.destroy()
+    release(spark)
     posted = first.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.shiftright("t", 1).alias("token"), F.col("t").bitwiseAND(1).alias("small"))
     hubs = posted.groupBy("token").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w"), F.max("small").alias("small"), F.count("*").alias("n")).where("v < w and small = 1").select("token", "v", "n")
     hubs = scratch(hubs, "hubs")
     total = hubs.agg(F.sum("n")).first()[0] or 0
     stars = spread_join(posted.select("token", "doc_id"), hubs, ["token"], total).where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
     family = scratch(components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
+    for done in (first, hubs):
+        discard(done)
+    release(spark)
 
     def tokens_of(batches):
         import pyarrow as pa
