@@ -292,10 +292,10 @@ def dealt_in_blocks(rows: DataFrame, key: str, name: str, block: int) -> DataFra
     return rows.join(sized, key).withColumn(name, F.pmod(F.xxhash64("doc_id"), F.col(f"{name}_n")).cast("int"))
 
 
-def family_parts(rows: DataFrame, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
+def family_parts(rows: DataFrame, num: int, den: int, block: int, first_tokens: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(node, label: for each id the least one that links within its block reach) and links (u, v) between such labels.
 
-    rows: family, doc_id, n, mine, mine_n (as dealt) and tokens.  Token sets are shuffled once, those of families
+    rows: family, doc_id, n, mine, mine_n (as dealt) and tokens; first_tokens: doc_id, tokens (without it any two sets of a family may link).  Token sets are shuffled once, those of families
     of several blocks again where they meet others; all else works on ids.
     """
     dealt = scratch(rows.withColumn("part", F.col("doc_id")), "dealt")
@@ -322,12 +322,20 @@ def family_parts(rows: DataFrame, num: int, den: int, block: int) -> tuple[DataF
     out = scratch(dealt_in_blocks(named.where("part <> main").select("family", "doc_id", "n", "part", "mine_n"), "family", "i", block), "outside")
     if out.isEmpty():
         return nodes, links
-    n_out = out.select("family", "i_n").distinct()
     shape = ("family", "i", "j", "part", "doc_id")
-    inside = named.where("part = main").join(n_out, "family").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1))).withColumn("j", F.col("mine"))
-    sent = out.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("mine_n") - 1)))
-    both = out.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1))).withColumn("j", -1 - F.greatest("i", "k")).withColumn("i", F.least("i", "k"))
-    met = inside.select(*shape).unionByName(sent.select(*shape)).unionByName(both.select(*shape)).join(sets, "doc_id")
+    # sets that link share a first token, so a set goes only to blocks that hold one of its own
+    every = ids.select("doc_id", F.lit(0).cast("long").alias("token"))
+    posted = every if first_tokens is None else first_tokens.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.shiftright("t", 1).alias("token"))
+    outer = scratch(out.select("family", "doc_id", "part", "i").join(posted, "doc_id"), "outer-tokens")
+    main = named.where("part = main").join(out.select("family").distinct(), "family", "left_semi").select("family", "doc_id", "part", "mine")
+    main = scratch(main.join(posted, "doc_id").join(outer.select("family", "token").distinct(), ["family", "token"], "left_semi"), "main-tokens")
+    met_in = outer.select("family", "token", F.col("i").alias("k")).distinct()
+    inside = main.join(met_in, ["family", "token"]).withColumn("i", F.col("k")).withColumn("j", F.col("mine"))
+    sent = outer.join(main.select("family", "token", F.col("mine").alias("j")).distinct(), ["family", "token"])
+    both = outer.join(met_in, ["family", "token"]).withColumn("j", -1 - F.greatest("i", "k")).withColumn("i", F.least("i", "k"))
+    met = scratch(inside.select(*shape).unionByName(sent.select(*shape)).unionByName(both.select(*shape)).distinct(), "met")
+    release(rows.sparkSession)
+    met = met.join(sets, "doc_id")
     found = _verified(met, ("family", "i", "j"), num, den).select(F.col("node").alias("u"), F.col("label").alias("v")).where("u <> v")
     return nodes, links.unionByName(found)
 
@@ -364,8 +372,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     total = hubs.agg(F.sum("n")).first()[0] or 0
     stars = spread_join(posted.select("token", "doc_id"), hubs, ["token"], total).where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
     family = scratch(components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
-    for done in (first, hubs):
-        discard(done)
+    discard(hubs)
     release(spark)
 
     def tokens_of(batches):
@@ -381,7 +388,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = scratch(dealt_in_blocks(family.join(sizes, "doc_id"), "family", "mine", block), "placed")
     members = maybe_in(docs.where("doc_id is not null"), "doc_id", placed.select("doc_id")).where("maybe").join(placed, "doc_id")
     tokens = members.select(*kept, "text").mapInArrow(tokens_of, "family long, doc_id long, n long, mine int, mine_n int, tokens binary").where("length(tokens) > 0")
-    nodes, links = family_parts(tokens, num, den, block)
+    nodes, links = family_parts(tokens, num, den, block, first)
 
     # a row whose id stands for several sets ties their classes together
     several = named.groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("a"), F.max(F.struct("d1", "d2")).alias("b")).where("a <> b").select("doc_id")
