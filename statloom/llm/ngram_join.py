@@ -5,12 +5,14 @@ equal sets form a class; only class representatives are compared.
 
 The tree's upper levels are spread over the cluster, its lower levels live in tasks:
 
-* candidates: tokens have one order for all sets, rare ones first, by a merged count sketch of
+* candidates: sets have keys such that linked ones share one; sets that keys connect form a family,
+  and sets of different families never link.  From a similarity of about 0.87 on keys are whole
+  segments of a set (``segments.py``).  Below it segments are too short to tell sets apart, and keys
+  are first tokens: tokens have one order for all sets, rare ones first, by a merged count sketch of
   the whole corpus (any order gives the same result; this one keeps passages that many documents
-  share out of the way).  Linked sets share a token among their first ones: of the smaller set
+  share out of the way), and linked sets share a token among their first ones, of the smaller set
   those that it can lack and still reach ``2t / (1 + t)`` of itself, of the larger those that
-  it can lack and still reach ``t`` of itself.  Sets that such tokens connect form a family;
-  sets of different families never link;
+  it can lack and still reach ``t`` of itself;
 * lower levels: within a family, nodes hold OR-combined token bitmaps and size ranges.  A
   dual traversal drops node pairs whose largest possible overlap is too small; surviving
   leaf pairs are verified exactly.
@@ -32,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, bounded_batches, chunks, discard, grouped_runs, maybe_in, mix, release, scratch, spread_join, window_hash
+from .segments import segment_keys, suits
 from .union_find import components
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -183,8 +186,8 @@ def tree_links(tokens: list[np.ndarray], num: int, den: int, bits: int | None =
     return links
 
 
-def _describe(n: int):
-    """For each row its id, set size and 128-bit set digest; then the partition's count sketch in parts."""
+def _describe(n: int, sketch: bool):
+    """For each row its id, set size and 128-bit set digest; then, if asked for, the partition's count sketch in parts."""
 
     def describe(batches):
         import pyarrow as pa
@@ -200,12 +203,15 @@ def _describe(n: int):
             for i, salt in enumerate((3, 5)):
                 if len(full):
                     digest[i, full] = mix(np.add.reduceat(mix(tokens ^ np.uint64(salt)), at[full]) ^ size[full].astype(np.uint64))
-            cell, times = np.unique(_cell(tokens), return_counts=True)
-            count[cell] = np.minimum(count[cell] + times, 255)
+            if sketch:
+                cell, times = np.unique(_cell(tokens), return_counts=True)
+                count[cell] = np.minimum(count[cell] + times, 255)
             none = pa.nulls(len(texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=names
             )
+        if not sketch:
+            return
         one, task = pa.nulls(1), TaskContext.get().partitionId()
         for i, part in enumerate(count.reshape(-1, 1 << LOG2_PART)):
             if part.any():
@@ -337,32 +343,37 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    read = scratch(docs.mapInArrow(_describe(n), "doc_id long, n_shingles long, d1 long, d2 long, part int, bucket int, cells binary"), "described")
+    by_segments = suits(num, den)
+    read = scratch(docs.mapInArrow(_describe(n, not by_segments), "doc_id long, n_shingles long, d1 long, d2 long, part int, bucket int, cells binary"), "described")
     described = read.where("part is null").select("doc_id", "n_shingles", "d1", "d2")
-    rank = spark.sparkContext.broadcast(_ranks(read.where("part is not null").select("part", "bucket", "cells")))
+    rank = None if by_segments else spark.sparkContext.broadcast(_ranks(read.where("part is not null").select("part", "bucket", "cells")))
 
     named = described.where("doc_id is not null and n_shingles > 0")
     classes = scratch(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
 
-    def first_tokens(batches):
+    def candidate_keys(batches):
         import pyarrow as pa
 
         for batch, texts in chunks(batches, "text"):
-            tokens, small, at = prefixes(*shingle_sets(texts, n), num, den, rank.value)
-            # the lowest bit says whether the token counts for the smaller set; what remains of the hash is enough for candidates
-            held = (tokens & ~np.uint64(1) | small).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(held))], names=["doc_id", "tokens"])
+            sets = shingle_sets(texts, n)
+            keys, small, at = segment_keys(*sets, num, den) if by_segments else prefixes(*sets, num, den, rank.value)
+            # the lowest bit says whether the key counts for the smaller set; what remains of the hash is enough for candidates
+            held = (keys & ~np.uint64(1) | small).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(held))], names=["doc_id", "keys"])
 
     reps = classes.select(F.col("least").alias("doc_id")).distinct()
-    first = docs.where("doc_id is not null").mapInArrow(first_tokens, "doc_id long, tokens array<long>").join(reps, "doc_id", "left_semi")
+    first = docs.where("doc_id is not null").mapInArrow(candidate_keys, "doc_id long, keys array<long>").join(reps, "doc_id", "left_semi")
     first = scratch(first, "first")
-    rank.destroy()
+    if rank is not None:
+        rank.destroy()
     release(spark)
-    posted = first.select("doc_id", F.explode("tokens").alias("t")).select("doc_id", F.shiftright("t", 1).alias("token"), F.col("t").bitwiseAND(1).alias("small"))
-    hubs = posted.groupBy("token").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("w"), F.max("small").alias("small"), F.count("*").alias("n")).where("v < w and small = 1").select("token", "v", "n")
+    posted = first.select("doc_id", F.explode("keys").alias("t")).select("doc_id", F.shiftright("t", 1).alias("key"), F.col("t").bitwiseAND(1).alias("small"))
+    hubs = posted.groupBy("key").agg(F.min("doc_id").alias("v"), F.max("small").alias("small"), F.count("*").alias("n")).where("n > 1 and small = 1").select("key", "v", "n")
     hubs = scratch(hubs, "hubs")
+    release(spark)
     total = hubs.agg(F.sum("n")).first()[0] or 0
-    stars = spread_join(posted.select("token", "doc_id"), hubs, ["token"], total).where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
+    posted = maybe_in(posted.select("key", "doc_id"), "key", hubs.select("key")).where("maybe").drop("maybe")
+    stars = spread_join(posted, hubs, ["key"], total).where("doc_id > v").select(F.col("doc_id").alias("u"), "v")
     family = scratch(components(stars).select(F.col("node").alias("doc_id"), F.col("component").alias("family")), "families")
     for done in (first, hubs):
         discard(done)
