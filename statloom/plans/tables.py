@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import run_sql
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels", "embeddings")
 
 
@@ -18,4 +20,4 @@ def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     frames = {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\b{t}\b", text)}
     for t, df in frames.items():
         df.createOrReplaceTempView(t)
-    return spark.sql(text)
+    return run_sql(spark, text)

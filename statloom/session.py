@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "statloom", master: str | None = None, partitions: int | None = None, **conf: str) -> SparkSession:
@@ -21,3 +23,13 @@ def session(name: str = "statloom", master: str | None = None, partitions: int |
     for k, v in (settings | conf).items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def run_sql(spark: SparkSession, text: str) -> DataFrame:
+    """A query without a bound on the rows of a recursion; Spark's bound on its steps (100) stays.
+
+    Spark has the bound on rows (a million by default) for a session only, and reads it when the query runs.
+    """
+    if re.search(r"\brecursive\b", text, re.IGNORECASE):
+        spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    return spark.sql(text)

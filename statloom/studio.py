@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions import dialect
 from .infer import RAW, dataset_name
 from .operators import charts, cluster, groups, hypothesis, profile, series
+from .session import run_sql
 from .sources import cache
 from .sources.base import ImportOptions, Registry, default_registry
 from .types import type_name
@@ -81,7 +82,7 @@ class Studio:
     def frame(self, source: str) -> DataFrame:
         """A dataset's name, or SQL text."""
         text = source.strip().rstrip(";").strip()
-        return self.spark.table(f"`{text}`") if text in self.datasets else self.spark.sql(text)
+        return self.spark.table(f"`{text}`") if text in self.datasets else run_sql(self.spark, text)
 
     def query(self, sql: str, limit: int = DEFAULT_LIMIT, record: bool = True) -> QueryResult:
         df = self.frame(sql)
