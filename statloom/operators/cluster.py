@@ -9,6 +9,7 @@ assigned batch by batch, by array operations.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,25 @@ class KMeans:
     dropped: int
 
 
+def _cells(features: list[str]) -> list[Column]:
+    return [F.col(c).try_cast("double") for c in features]
+
+
+def _finite(cells: list[Column]) -> Column:
+    """Whether no cell is null, infinite or no number (which Spark takes for more than infinite)."""
+    return reduce(Column.__and__, [F.abs(x) < float("inf") for x in cells])
+
+
 def vector(features: list[str]) -> Column:
     """The features as an array of doubles, null where one is no finite number."""
-    cells = F.array(*[F.col(c).try_cast("double") for c in features])
-    return F.when(F.forall(cells, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), cells)
+    cells = _cells(features)
+    return F.when(_finite(cells), F.array(*cells))
+
+
+def _values(df: DataFrame, features: list[str], g: Column) -> DataFrame:
+    """g and the complete rows' features as columns of their own, v0, v1, ...: no array is built of each row."""
+    cells = _cells(features)
+    return df.where(_finite(cells)).select(g.cast("int").alias("g"), *[x.alias(f"v{i}") for i, x in enumerate(cells)])
 
 
 def _matrix(column) -> np.ndarray:
@@ -109,13 +125,14 @@ def lloyd(z: np.ndarray, k: int, seed: int, restarts: int = 3, rounds: int = 30)
 
 
 def full_rounds(v: DataFrame, models: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int = FULL_ROUNDS) -> list[tuple[np.ndarray, float, np.ndarray]]:
-    """Centroids, inertia and rows of each centroid after rounds over all rows of v (g: place of the row's model; v).
+    """Centroids, inertia and rows of each centroid after rounds over all rows of v (g: place of the row's model; v0, v1, ...).
 
     models: centroids, mean, scale.  A task gives out sums for each centroid only; a centroid without
     rows stays where it is.  Inertia and rows are those of the centroids before the last move.
     """
     centroids = [c for c, *_ in models]
     width = len(models[0][1])
+    names = ["g", *[f"v{i}" for i in range(width)]]
     for _ in range(rounds):
 
         def sums(batches, centroids=centroids):
@@ -123,14 +140,19 @@ def full_rounds(v: DataFrame, models: list[tuple[np.ndarray, np.ndarray, np.ndar
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                g, x = batch.column("g").to_numpy(), _matrix(batch.column("v"))
+                g, *x = (batch.column(c).to_numpy() for c in names)
                 for i in np.unique(g):
-                    z = (x[g == i] - models[i][1]) / models[i][2]
-                    d = _distances(z, centroids[i])
-                    own = d.argmin(1)
+                    mine = g == i
+                    z = [(c[mine] - m) / s for c, m, s in zip(x, *models[i][1:])]
+                    least, own = np.full(len(z[0]), np.inf), np.zeros(len(z[0]), np.int64)
+                    for k, centroid in enumerate(centroids[i]):
+                        d = sum((c - m) ** 2 for c, m in zip(z, centroid))
+                        own[d < least] = k
+                        least = np.minimum(least, d)
                     n[i] += np.bincount(own, minlength=len(n[i]))
-                    far[i] += np.bincount(own, d.min(1), len(n[i]))
-                    np.add.at(total[i], own, z)
+                    far[i] += np.bincount(own, least, len(n[i]))
+                    for j, c in enumerate(z):
+                        total[i][:, j] += np.bincount(own, c, len(n[i]))
             places = [(i, k) for i, c in enumerate(centroids) for k in range(len(c)) if n[i][k]]
             columns = zip(*[(i, k, int(n[i][k]), far[i][k], total[i][k].tolist()) for i, k in places]) if places else [[]] * 5
             kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.list_(pa.float64()))
@@ -156,8 +178,7 @@ def kmeans(df: DataFrame, features: list[str], k: int = 3, seed: int = 42) -> KM
     z, mean, scale, n, dropped = _training(df, features)
     c, inertia = lloyd(z, min(k, len(z)), seed, 3 if n <= TRAIN_ROWS else 1)
     if n > TRAIN_ROWS:
-        v = df.select(F.lit(0).alias("g"), vector(features).alias("v")).where("v is not null")
-        ((c, inertia, _),) = full_rounds(v, [(c, mean, scale)])
+        ((c, inertia, _),) = full_rounds(_values(df, features, F.lit(0)), [(c, mean, scale)])
     c = c[np.lexsort(c.T[::-1])]
     return KMeans(c * scale + mean, mean, scale, inertia, n, dropped)
 
@@ -192,10 +213,10 @@ def kmeans_groups(df: DataFrame, by: list[str], shown: list[tuple], features: li
     order = sorted(found)
     rows = []
     if order:
-        place = F.element_at(F.create_map(*[F.lit(x) for i, g in enumerate(order) for x in (g, i)]), F.col("g"))
+        place = F.element_at(F.create_map(*[F.lit(x) for i, g in enumerate(order) for x in (g, i)]), F.col("_g"))
         many = max(fitted[g][0] for g in order) > TRAIN_ROWS
         models = [(np.array(found[g]), *fitted[g][1:]) for g in order]
-        for g, (_, _, count) in zip(order, full_rounds(v.where(F.col("g").isin(order)).select(place.cast("int").alias("g"), "v"), models, FULL_ROUNDS if many else 1)):
+        for g, (_, _, count) in zip(order, full_rounds(_values(known.where(F.col("_g").isin(order)), features, place), models, FULL_ROUNDS if many else 1)):
             rows += [(i, int(n), *shown[g], None) for i, n in enumerate(count) if n]
     rows += [(None, None, *values, "no complete rows") for g, values in enumerate(shown) if g not in found]
     kinds = T.StructType([T.StructField("cluster", T.IntegerType()), T.StructField("count", T.LongType()), *df.select(*by).schema.fields, T.StructField("error", T.StringType())])

@@ -59,3 +59,17 @@ def test_errors_of_groups_are_kept(spark, monkeypatch):
     assert {k: sorted(v, key=str) for k, v in found.items()} == {("big", None): [1500, 1500], ("none", "no complete rows"): [None], ("one", None): [5], ("two", None): [1, 1]}
     with pytest.raises(ValueError):
         groups.for_each(df, ["g"], "cluster", features=["x"], k=1)
+
+
+def test_rounds_read_plain_columns(spark):
+    """Rows reach the rounds over all rows as plain columns, without a lambda or an array of each row; incomplete rows are left out."""
+    rows = [("1.5", 2.0), ("x", 2.0), (None, 2.0), ("1", None), ("1", float("nan")), ("1", float("inf")), ("-inf", 1.0), ("-3", -4.0)]
+    df = spark.createDataFrame(rows, "x string, y double")
+    values = cluster._values(df, ["x", "y"], F.lit(0))
+    assert sorted(map(tuple, values.collect())) == [(0, -3.0, -4.0), (0, 1.5, 2.0)]
+    plan = values._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and "array" not in plan
+    complete = [[-3.0, -4.0], [1.5, 2.0]]
+    vectors = df.select(cluster.vector(["x", "y"]).alias("v"))
+    assert sorted(r["v"] for r in vectors.collect() if r["v"]) == complete
+    assert "lambda" not in vectors._jdf.queryExecution().executedPlan().toString()
