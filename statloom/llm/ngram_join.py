@@ -42,8 +42,11 @@ _FOLD[65:91] += 32
 #: Bits of a node's bitmap at most.
 MAP_BITS = 1 << 16
 FANOUT = 8
-#: Cells of the count sketch that orders tokens: 4 MB are broadcast, whatever the corpus.
-LOG2_CELLS = 22
+#: Cells of the count sketch that orders tokens, a byte each to broadcast: 4 to 32 MB.  Chance keeps passages of few
+#: documents apart from single tokens while a cell counts some six tokens at most, so there are more cells for more text.
+LOG2_CELLS, MOST_LOG2_CELLS = 22, 25
+#: Bytes of text to a cell, about: four tokens.
+CELL_BYTES = 28
 #: Cells of a part of the sketch that travels and is merged as one row.
 LOG2_PART = 16
 #: Fragments of one part that a task merges at once, about; after two such steps few are left of any corpus.
@@ -76,15 +79,20 @@ def prefix_lengths(size: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np
     return np.minimum(smaller, size), np.minimum(either, size)
 
 
-def _cell(tokens: np.ndarray) -> np.ndarray:
-    return (mix(tokens ^ np.uint64(0x7F4A7C159E3779B9)) >> np.uint64(64 - LOG2_CELLS)).astype(np.int64)
+def log2_cells(text_bytes: int) -> int:
+    """The size of the sketch for so much text."""
+    return min(max(int(text_bytes // CELL_BYTES).bit_length(), LOG2_CELLS), MOST_LOG2_CELLS)
+
+
+def _cell(tokens: np.ndarray, log2: int) -> np.ndarray:
+    return (mix(tokens ^ np.uint64(0x7F4A7C159E3779B9)) >> np.uint64(64 - log2)).astype(np.int64)
 
 
 def prefixes(tokens: np.ndarray, at: np.ndarray, num: int, den: int, rank: np.ndarray):
     """(tokens, whether needed as the smaller set's, offsets): the first tokens of each set, in the order of their cells' rank, then of their hash."""
     size = np.diff(at)
     doc = np.repeat(np.arange(len(size)), size)
-    order = np.lexsort((mix(tokens), rank[_cell(tokens)], doc))
+    order = np.lexsort((mix(tokens), rank[_cell(tokens, len(rank).bit_length() - 1)], doc))
     place = np.arange(len(tokens)) - np.repeat(at[:-1], size)
     smaller, either = prefix_lengths(size, num, den)
     keep = place < np.repeat(either, size)
@@ -186,15 +194,15 @@ def tree_links(tokens: list[np.ndarray], num: int, den: int, bits: int | None =
     return links
 
 
-def _describe(n: int, sketch: bool):
-    """For each row its id, set size and 128-bit set digest; then, if asked for, the partition's count sketch in parts."""
+def _describe(n: int, log2: int):
+    """For each row its id, set size and 128-bit set digest; then, unless log2 is 0, the partition's count sketch of 2**log2 cells in parts."""
 
     def describe(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         names = ["doc_id", "n_shingles", "d1", "d2", "part", "bucket", "cells"]
-        count = np.zeros(1 << LOG2_CELLS, np.uint8)
+        count = np.zeros(1 << log2 if log2 else 0, np.uint8)
         for batch, texts in chunks(batches, "text"):
             tokens, at = shingle_sets(texts, n)
             size = np.diff(at)
@@ -203,14 +211,14 @@ def _describe(n: int, sketch: bool):
             for i, salt in enumerate((3, 5)):
                 if len(full):
                     digest[i, full] = mix(np.add.reduceat(mix(tokens ^ np.uint64(salt)), at[full]) ^ size[full].astype(np.uint64))
-            if sketch:
-                cell, times = np.unique(_cell(tokens), return_counts=True)
+            if log2:
+                cell, times = np.unique(_cell(tokens, log2), return_counts=True)
                 count[cell] = np.minimum(count[cell] + times, 255)
             none = pa.nulls(len(texts))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digest[0].view(np.int64)), pa.array(digest[1].view(np.int64)), none.cast(pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], names=names
             )
-        if not sketch:
+        if not log2:
             return
         one, task = pa.nulls(1), TaskContext.get().partitionId()
         for i, part in enumerate(count.reshape(-1, 1 << LOG2_PART)):
@@ -243,7 +251,7 @@ def _merged(packed) -> np.ndarray:
     return total
 
 
-def _ranks(fragments: DataFrame) -> np.ndarray:
+def _ranks(fragments: DataFrame, log2: int) -> np.ndarray:
     """For each cell eight times the binary logarithm of its count, 255 at most: the partitions' sketches, merged in three steps."""
 
     def some(key, pdf):
@@ -262,8 +270,8 @@ def _ranks(fragments: DataFrame) -> np.ndarray:
     for _ in range(2):
         merged = merged.withColumn("bucket", F.floor(F.col("bucket") / FAN_IN).cast("int")).groupBy("part", "bucket").applyInPandas(some, "part int, bucket int, cells binary")
     merged = merged.groupBy("part").applyInPandas(last, shape)
-    out = np.zeros((1 << (LOG2_CELLS - LOG2_PART), 1 << LOG2_PART), np.uint8)
-    for r in merged.collect():  # 2**LOG2_CELLS bytes at most, whatever the corpus
+    out = np.zeros((1 << (log2 - LOG2_PART), 1 << LOG2_PART), np.uint8)
+    for r in merged.collect():  # 2**log2 bytes at most
         out[r["part"]] = np.frombuffer(r["cells"], np.uint8)
     return out.ravel()
 
@@ -344,9 +352,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     by_segments = suits(num, den)
-    read = scratch(docs.mapInArrow(_describe(n, not by_segments), "doc_id long, n_shingles long, d1 long, d2 long, part int, bucket int, cells binary"), "described")
+    log2 = 0 if by_segments else log2_cells(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    read = scratch(docs.mapInArrow(_describe(n, log2), "doc_id long, n_shingles long, d1 long, d2 long, part int, bucket int, cells binary"), "described")
     described = read.where("part is null").select("doc_id", "n_shingles", "d1", "d2")
-    rank = None if by_segments else spark.sparkContext.broadcast(_ranks(read.where("part is not null").select("part", "bucket", "cells")))
+    rank = None if by_segments else spark.sparkContext.broadcast(_ranks(read.where("part is not null").select("part", "bucket", "cells"), log2))
 
     named = described.where("doc_id is not null and n_shingles > 0")
     classes = scratch(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
