@@ -12,8 +12,12 @@ import os
 import numpy as np
 
 _LOADED: dict = {}
+#: Bytes of text whose words are looked up together.
+GATHERED_BYTES = 3 << 20
 #: Words in one call of the tokenizer.
 CALL_WORDS = 4096
+#: Words whose ids are gathered at once.
+SLICE_WORDS = 1 << 16
 
 
 def load(path: str):
@@ -47,6 +51,8 @@ def _of_words(tok, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 #: Distinct words that a worker remembers between chunks; beyond that it starts anew.
 REMEMBERED = 1 << 20
+#: Remembered words among which others are looked up at once.
+LOOKUP_WORDS = 1 << 17
 
 
 class _Memory:
@@ -65,17 +71,20 @@ class _Memory:
 
         if len(self.words) > REMEMBERED:
             self.__init__()
-        found = pc.index_in(words, value_set=self.words)
-        new = words.filter(pc.is_null(found))
-        if len(new):
-            ids, at = _of_words(tok, new.to_pylist())
-            place = np.array(pc.fill_null(found, -1), np.int64)
-            place[place < 0] = len(self.words) + np.arange(len(new))
-            self.words = pa.concat_arrays([self.words, new])
-            self.at = np.concatenate([self.at, self.at[-1] + at[1:]])
+        # by blocks of words, as Arrow builds a hash table of what it is asked to look in
+        place, rest, at = np.full(len(words), -1, np.int64), words, np.arange(len(words))
+        for first in range(0, len(self.words), LOOKUP_WORDS):
+            found = pc.index_in(rest, value_set=self.words.slice(first, LOOKUP_WORDS))
+            known = pc.is_valid(found).to_numpy(zero_copy_only=False)
+            place[at[known]] = first + found.drop_null().to_numpy()
+            rest, at = rest.filter(pc.is_null(found)), at[~known]
+        if len(rest):
+            ids, ends = _of_words(tok, rest.to_pylist())
+            place[at] = len(self.words) + np.arange(len(rest))
+            self.words = pa.concat_arrays([self.words, rest])
+            self.at = np.concatenate([self.at, self.at[-1] + ends[1:]])
             self.ids = np.concatenate([self.ids, ids])
-            return place
-        return np.array(found, np.int64)
+        return place
 
 
 _MEMORY: dict[str, _Memory] = {}
@@ -91,16 +100,24 @@ def _coded(path: str, texts: list[bytes]):
     first = split.offsets.to_numpy()
     coded = split.flatten().dictionary_encode()
     place = memory.places(tok, coded.dictionary)
-    return memory, place[coded.indices.to_numpy()], first - first[0]
+    return memory, place.astype(np.int32)[coded.indices.to_numpy()], first - first[0]
 
 
 def token_ids(path: str, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i+1]]."""
     memory, word, first = _coded(path, texts)
-    size = np.diff(memory.at)[word]
-    stop = np.concatenate([[0], np.cumsum(size)])
-    where = np.arange(stop[-1]) + np.repeat(memory.at[word] - stop[:-1], size)
-    return memory.ids[where], stop[first]
+    size, begin = np.diff(memory.at).astype(np.int32), memory.at[:-1].astype(np.int32)
+    stop = np.zeros(len(word) + 1, np.int64)
+    np.cumsum(size[word], out=stop[1:])
+    ids = np.empty(stop[-1], np.uint32)
+    # by slices of words: what is held for each token but its id is bounded
+    for a in range(0, len(word), SLICE_WORDS):
+        some, at = word[a : a + SLICE_WORDS], stop[a : a + SLICE_WORDS + 1]
+        many = size[some]
+        where = np.repeat(begin[some] - (at[:-1] - at[0]).astype(np.int32), many)
+        where += np.arange(len(where), dtype=np.int32)
+        ids[at[0] : at[-1]] = memory.ids[where]
+    return ids, stop[first]
 
 
 def token_counts(path: str, texts: list[bytes]) -> np.ndarray:
@@ -109,11 +126,11 @@ def token_counts(path: str, texts: list[bytes]) -> np.ndarray:
     return np.diff(stop[first])
 
 
-def gathered(batches, text: str, columns: list[str], limit: int = 12 << 20):
+def gathered(batches, text: str, columns: list[str], limit: int = GATHERED_BYTES):
     """(a table of the columns, texts as bytes) of several Arrow batches at once, about limit bytes of text."""
     import pyarrow as pa
 
-    from .common import chunks
+    from .common import chunks, trim
 
     held, texts, size = [], [], 0
     for part, some in chunks(batches, text, limit):
@@ -123,5 +140,6 @@ def gathered(batches, text: str, columns: list[str], limit: int = 12 << 20):
         if size >= limit:
             yield pa.Table.from_batches(held).combine_chunks(), texts
             held, texts, size = [], [], 0
+            trim()
     if held:
         yield pa.Table.from_batches(held).combine_chunks(), texts
