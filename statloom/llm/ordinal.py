@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, chunks, mix
+from .common import Words, bounded_batches, chunks, mix, trim
 from .text_stats import labelled_sample
 
 #: Labelled documents used for fitting, at most.
@@ -89,6 +89,16 @@ class Ordinal:
         score = np.bincount(doc, self.weights[slot], len(texts))
         return _sigmoid(score[:, None] - self.thresholds)
 
+    def __getstate__(self):
+        """Only weights other than 0 are sent: a few thousand of 2**LOG2_WEIGHTS."""
+        at = np.flatnonzero(self.weights).astype(np.int32)
+        return at, self.weights[at], len(self.weights), self.thresholds
+
+    def __setstate__(self, state):
+        at, weights, size, self.thresholds = state
+        self.weights = np.zeros(size, weights.dtype)
+        self.weights[at] = weights
+
 
 def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
@@ -101,12 +111,21 @@ def informative(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades:
     g = np.zeros(size)
     for k in range(n_grades):
         share = max((grade == k).mean(), 1e-9) if len(grade) else 1.0
-        own = np.bincount(slot[grade[doc] == k], minlength=size)
+        own = np.bincount(slot[(grade == k)[doc]], minlength=size)
         with np.errstate(divide="ignore", invalid="ignore"):
             g += np.where(own > 0, 2 * own * np.log(own / (total * share)), 0)
     return g >= least_g
 
 
+def _ranks(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with return_inverse, for small whole numbers: 32 bits each and no sort of all."""
+    there = np.zeros(int(x.max(initial=-1)) + 1, bool)
+    there[x] = True
+    rank = np.cumsum(there, dtype=np.int32)
+    rank -= 1
+    return np.flatnonzero(there), rank[x]
+
+
 def fit_ordinal(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades: int, least: int = 4, ridge: float = 5e-4, rounds: int = 250, rate: float = 0.05, screen: np.ndarray | None = None, lowering: bool = True) -> Ordinal:
     """Maximum likelihood by full-batch Adam; slots in fewer than ``least`` sampled documents, or that tell nothing of the grade, keep weight 0.
 
@@ -114,7 +133,7 @@ def fit_ordinal(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades:
     document, so a short one is not rejected for want of evidence.
     """
     n = max(len(grade), 1)
-    known, slot = np.unique(slot, return_inverse=True)  # far fewer than there are weights
+    known, slot = _ranks(slot)  # far fewer than there are weights
     telling = informative(doc, slot, grade, n_grades) if screen is None else screen[known]
     common = (np.bincount(slot, minlength=len(known)) >= least) & telling
     doc, slot = doc[common[slot]], slot[common[slot]]
@@ -123,7 +142,7 @@ def fit_ordinal(doc: np.ndarray, slot: np.ndarray, grade: np.ndarray, n_grades:
     if len(np.unique(grade)) < 2:
         only = int(grade[0]) if len(grade) else n_grades - 1
         return Ordinal(np.zeros(1 << LOG2_WEIGHTS, np.float32), np.where(np.arange(n_grades - 1) < only, -40.0, 40.0))
-    used, slot = np.unique(slot, return_inverse=True)
+    used, slot = _ranks(slot)
     size, weights = len(used), np.zeros(len(used))
     # rarer grades weigh more, by the square root of how much rarer they are
     counts = np.bincount(grade, minlength=n_grades)
@@ -172,10 +191,14 @@ def fit_grades(docs: DataFrame, graded: DataFrame, n_grades: int, most: int = SA
 
     sample = labelled_sample(docs, graded, ["grade"], most).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"), "text")
     rows = sample.mapInArrow(hashed, "doc_id long, grade int, slots binary").toPandas().sort_values(["doc_id", "slots"])  # at most `most` rows
-    slots = [np.frombuffer(s, np.int32) for s in rows["slots"]]
-    doc = np.repeat(np.arange(len(slots), dtype=np.int32), [len(s) for s in slots])
-    slot = np.concatenate(slots) if slots else np.zeros(0, np.int32)
-    return fit_ordinal(doc, slot, rows["grade"].to_numpy(np.int64), n_grades)
+    grade = rows["grade"].to_numpy(np.int64)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), rows["slots"].map(len).to_numpy(np.int64) // 4)
+    slot = np.frombuffer(b"".join(rows["slots"]), np.int32)
+    del rows
+    model = fit_ordinal(doc, slot, grade, n_grades)
+    del doc, slot
+    trim()
+    return model
 
 
 def grade_documents(docs: DataFrame, model: Ordinal, least_grade: int, cut: float = 0.5, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
