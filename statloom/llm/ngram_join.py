@@ -5,11 +5,14 @@ equal sets form a class; only class representatives are compared.
 
 The tree's upper levels are spread over the cluster, its lower levels live in tasks:
 
+* peeling (below a similarity of about 0.87): a set that holds more tokens of its own, which no other set has, than a
+  linked one can lack, links with nothing and goes.  Tokens are counted exactly, a slice of their hashes
+  in each round, among the sets that are left; so what stays are sets that others cover nearly whole, however large the corpus;
 * candidates: sets have keys such that linked ones share one; sets that keys connect form a family,
   and sets of different families never link.  From a similarity of about 0.87 on keys are whole
   segments of a set (``segments.py``).  Below it segments are too short to tell sets apart, and keys
   are first tokens: tokens have one order for all sets, rare ones first, by a merged count sketch of
-  the whole corpus (any order gives the same result; this one keeps passages that many documents
+  the sets that peeling left (any order gives the same result; this one keeps passages that many documents
   share out of the way), and linked sets share a token among their first ones, of the smaller set
   those that it can lack and still reach ``2t / (1 + t)`` of itself, of the larger those that
   it can lack and still reach ``t`` of itself;
@@ -30,10 +33,10 @@ take no part in links; rows that share an id are one node of the graph; extra co
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import Words, bounded_batches, chunks, discard, grouped_runs, maybe_in, mix, release, scratch, spread_join, window_hash
+from .common import Words, bounded_batches, chunks, discard, grouped_runs, maybe_in, mix, passing, release, scratch, spread_join, window_hash
 from .segments import segment_keys, suits
 from .union_find import components
 
@@ -53,6 +56,10 @@ LOG2_PART = 16
 FAN_IN = 64
 #: Tokens of a block at most, about.
 BLOCK_TOKENS = 4_000_000
+#: A round of peeling counts one token in so many of the corpus.
+ROUND_SHARE = 8
+#: Slices of tokens are ranges of a hash of so many bits.
+SLICE_BITS = 32
 
 
 def shingle_sets(texts: list[bytes], n: int):
@@ -194,6 +201,10 @@ def tree_links(tokens: list[np.ndarray], num: int, den: int, bits: int | None =
     return links
 
 
+#: What _describe gives.
+DESCRIBED = "doc_id long, n_shingles long, d1 long, d2 long, part int, bucket int, cells binary"
+
+
 def _describe(n: int, log2: int):
     """For each row its id, set size and 128-bit set digest; then, unless log2 is 0, the partition's count sketch of 2**log2 cells in parts."""
 
@@ -276,6 +287,50 @@ def _ranks(fragments: DataFrame, log2: int) -> np.ndarray:
     return out.ravel()
 
 
+def token_slice(tokens: np.ndarray, at: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, offsets) of the sets' tokens in a slice of the hashes, from low to below high."""
+    h = mix(tokens ^ np.uint64(0x3243F6A8885A308D)) >> np.uint64(64 - SLICE_BITS)
+    keep = (h >= low) & (h < high)
+    return tokens[keep], np.concatenate([[0], np.cumsum(keep)])[at]
+
+
+def peeled(docs: DataFrame, sets: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """doc_id of the sets that may link with another one; no link is lost.
+
+    sets: doc_id, n_shingles and whether the id stands for several sets; such ids stay.  The other set of a link lacks
+    at most ``(1 - t) * n_shingles`` tokens, so a set with more tokens of its own than that goes.  Slices counted
+    while sets were there that have gone since have no fewer such tokens now.  Each round reads the texts
+    of the sets that are left and shuffles one token in ROUND_SHARE of the corpus at most, so slices widen as sets go.
+    """
+    spark, seen = docs.sparkSession, Observation()
+    spare = F.when(~F.col("several"), F.expr(f"{den - num} * n_shingles div {den}"))
+    left = sets.select("doc_id", "n_shingles", spare.alias("spare"), F.lit(0).cast("long").alias("own"))
+    left = scratch(left.observe(seen, F.sum("n_shingles").alias("tokens")), "left")
+    total = held = seen.get["tokens"] or 0
+    low, end = 0, 1 << SLICE_BITS
+    while held and low < end:
+        high = min(end, low + max(1, end * total // (ROUND_SHARE * held)))
+
+        def sliced(batches, low=low, high=high):
+            import pyarrow as pa
+
+            for batch, texts in chunks(batches, "text"):
+                tokens, at = token_slice(*shingle_sets(texts, n), low, high)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens.view(np.int64)))], names=["doc_id", "tokens"])
+
+        posted = maybe_in(docs, "doc_id", left.select("doc_id")).where("maybe").select("doc_id", "text").mapInArrow(sliced, "doc_id long, tokens array<long>")
+        alone = posted.select("doc_id", F.explode("tokens").alias("t")).groupBy("t").agg(F.min("doc_id").alias("doc_id"), F.max("doc_id").alias("last")).where("doc_id = last")
+        alone = alone.groupBy("doc_id").agg(F.count("*").alias("more"))
+        seen, before = Observation(), left
+        left = left.join(alone, "doc_id", "left").withColumn("own", F.col("own") + F.coalesce("more", F.lit(0))).drop("more").where("spare is null or own <= spare")
+        left = scratch(left.observe(seen, F.sum("n_shingles").alias("tokens")), "left")
+        held = seen.get["tokens"] or 0
+        discard(before)
+        release(spark)
+        low = high
+    return left.select("doc_id")
+
+
 def _verified(dealt: DataFrame, keys: tuple[str, ...], num: int, den: int) -> DataFrame:
     """(keys, node, label) for each group of dealt (keys, part, doc_id, tokens): label is the least part that links reach from part node; groups are bounded by how they are dealt.
 
@@ -352,13 +407,29 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bounded_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     by_segments = suits(num, den)
-    log2 = 0 if by_segments else log2_cells(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    read = scratch(docs.mapInArrow(_describe(n, log2), "doc_id long, n_shingles long, d1 long, d2 long, part int, bucket int, cells binary"), "described")
-    described = read.where("part is null").select("doc_id", "n_shingles", "d1", "d2")
-    rank = None if by_segments else spark.sparkContext.broadcast(_ranks(read.where("part is not null").select("part", "bucket", "cells"), log2))
+    described = scratch(docs.mapInArrow(_describe(n, 0), DESCRIBED).select("doc_id", "n_shingles", "d1", "d2"), "described", keep=True)
+    with passing(spark):
+        found = scratch(_class_components(docs, described, by_segments, n, num, den, block), "found", keep=True)
+    total = described.count()
+    alone = described.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return spread_join(described.where("doc_id is not null and n_shingles > 0"), found, ["d1", "d2"], total).select("doc_id", "n_shingles", "component_id").unionByName(alone)
 
+
+def _class_components(docs: DataFrame, described: DataFrame, by_segments: bool, n: int, num: int, den: int, block: int) -> DataFrame:
+    """d1, d2 (a class of equal sets), n (its rows), component_id."""
+    spark = docs.sparkSession
     named = described.where("doc_id is not null and n_shingles > 0")
+    docs = docs.where("doc_id is not null")
     classes = scratch(named.groupBy("d1", "d2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
+    reps = classes.select(F.col("least").alias("doc_id")).distinct()
+    able, rank = docs, None
+    if not by_segments:
+        sets = named.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), (F.min(F.struct("d1", "d2")) != F.max(F.struct("d1", "d2"))).alias("several"))
+        reps = peeled(docs, sets.join(reps, "doc_id"), n, num, den)
+        able = maybe_in(docs, "doc_id", reps).where("maybe").select("doc_id", "text")
+        log2 = log2_cells(able.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+        fragments = able.mapInArrow(_describe(n, log2), DESCRIBED).where("part is not null")
+        rank = spark.sparkContext.broadcast(_ranks(fragments.select("part", "bucket", "cells"), log2))
 
     def candidate_keys(batches):
         import pyarrow as pa
@@ -370,8 +441,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             held = (keys & ~np.uint64(1) | small).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(held))], names=["doc_id", "keys"])
 
-    reps = classes.select(F.col("least").alias("doc_id")).distinct()
-    first = docs.where("doc_id is not null").mapInArrow(candidate_keys, "doc_id long, keys array<long>").join(reps, "doc_id", "left_semi")
+    first = able.mapInArrow(candidate_keys, "doc_id long, keys array<long>").join(reps, "doc_id", "left_semi")
     first = scratch(first, "first")
     if rank is not None:
         rank.destroy()
@@ -399,7 +469,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = ("family", "doc_id", "n", "mine", "mine_n")
     sizes = named.groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
     placed = scratch(dealt_in_blocks(family.join(sizes, "doc_id"), "family", "mine", block), "placed")
-    members = maybe_in(docs.where("doc_id is not null"), "doc_id", placed.select("doc_id")).where("maybe").join(placed, "doc_id")
+    members = maybe_in(docs, "doc_id", placed.select("doc_id")).where("maybe").join(placed, "doc_id")
     tokens = members.select(*kept, "text").mapInArrow(tokens_of, "family long, doc_id long, n long, mine int, mine_n int, tokens binary").where("length(tokens) > 0")
     nodes, links = family_parts(tokens, num, den, block)
 
@@ -412,7 +482,4 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     # an id with no links of its own may still be tied to others
     labels = classes.select("least").distinct().join(nodes.withColumnRenamed("node", "least"), "least", "left").withColumn("label", F.coalesce("label", "least"))
     linked = labels.join(linked, "label", "left").select("least", F.coalesce("component", "label").alias("component"))
-    found = scratch(classes.join(linked, "least").select("d1", "d2", "n", F.col("component").alias("component_id")), "found")
-    total = described.count()
-    alone = described.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return spread_join(named, found, ["d1", "d2"], total).select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return classes.join(linked, "least").select("d1", "d2", "n", F.col("component").alias("component_id"))
